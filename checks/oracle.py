@@ -75,7 +75,7 @@ SLOTS = """slots AS (
          sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) // count(*) AS k
   FROM events JOIN region ON user_id % 5 = r_regionkey GROUP BY ALL)"""
 RAIN_ALL = """rain_all AS (
-  SELECT mandi, period, coalesce(sum(CASE WHEN k >= 40 THEN k * 35 / 8192.0::DOUBLE END), 0.0::DOUBLE) AS mm
+  SELECT mandi, period, coalesce(sum(CASE WHEN k >= 40 THEN k * (30 + 3 * r_regionkey) / 8192.0::DOUBLE END), 0.0::DOUBLE) AS mm
   FROM slots GROUP BY mandi, period)"""
 RAIN = """rain AS (SELECT mandi, round(mm, 1) AS rain_3d_mm,
     CASE WHEN mm >= 5 THEN 'WET' ELSE 'DRY' END AS signal,

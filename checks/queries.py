@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketboard.config import LANGUAGE_CODES, PROTECTED_TERMS, SERIES
 from marketboard.functions.names import canonical_name
 from marketboard.functions.numbers import signed_round
-from marketboard.functions.text import mask_terms, masked_terms, restore_terms, speech_text
+from marketboard.functions.text import restore_terms, speech_text
 from marketboard.operators import (
     advice,
     audit,
@@ -64,6 +64,17 @@ def price_series(spark: SparkSession, sf: str) -> DataFrame:
     return latest.as_series(silver(spark, sf))
 
 
+def saved_silver(spark: SparkSession, sf: str) -> DataFrame:
+    """The silver table written once, for queries that read it several times."""
+    path = work_path(spark, "silver")
+    tables.write_table(silver(spark, sf), path)
+    return tables.read_table(spark, path)
+
+
+def saved_series(spark: SparkSession, sf: str) -> DataFrame:
+    return latest.as_series(saved_silver(spark, sf))
+
+
 def rain(spark: SparkSession, sf: str) -> DataFrame:
     return signals.weather_signals(star.latest_weather_documents(spark, sf))
 
@@ -599,13 +610,13 @@ def future_dates(spark, sf):
 
 @query
 def holdout_metrics(spark, sf):
-    rows = price_series(spark, sf)
+    rows = saved_series(spark, sf)
     return forecast.evaluate(rows, forecast.train(rows))
 
 
 @query
 def paired_by_position(spark, sf):
-    rows = price_series(spark, sf)
+    rows = saved_series(spark, sf)
     pairs = series.pair_by_position(
         series.test_part(rows), forecast.forecast(forecast.train(rows), 45)
     )
@@ -615,7 +626,7 @@ def paired_by_position(spark, sf):
 
 @query
 def paired_by_date(spark, sf):
-    rows = price_series(spark, sf)
+    rows = saved_series(spark, sf)
     pairs = series.pair_by_date(
         series.test_part(rows), forecast.forecast(forecast.train(rows), 45)
     )
@@ -625,19 +636,18 @@ def paired_by_date(spark, sf):
 
 @query
 def backtest_detail(spark, sf):
-    rows = price_series(spark, sf)
+    rows = saved_series(spark, sf)
     return text(forecast.backtest(rows, forecast.train(rows)), "date")
 
 
 @query
 def backtest_summary(spark, sf):
-    rows = price_series(spark, sf)
+    rows = saved_series(spark, sf)
     return forecast.backtest_summary(forecast.backtest(rows, forecast.train(rows)))
 
 
-def _runs(spark, sf):
+def _runs(rows: DataFrame) -> DataFrame:
     """Runs of three training sizes over all series."""
-    rows = price_series(spark, sf)
     each = [
         runs.ledger(
             forecast.evaluate(rows, forecast.train(rows, n), n),
@@ -651,7 +661,7 @@ def _runs(spark, sf):
 
 @query
 def run_ledger(spark, sf):
-    return _runs(spark, sf).select(
+    return _runs(saved_series(spark, sf)).select(
         "run_id", "run_name", *SERIES, "start_time", "end_time", "status",
         F.col("params")["train_days"].alias("train_days"),
         F.col("params")["crop"].alias("param_crop"),
@@ -663,27 +673,28 @@ def run_ledger(spark, sf):
 
 @query
 def ranked_runs(spark, sf):
-    return runs.ranked_runs(runs.run_summary(_runs(spark, sf)), good_below=60.0)
+    return runs.ranked_runs(runs.run_summary(_runs(saved_series(spark, sf))), good_below=60.0)
 
 
 @query
 def best_run(spark, sf):
-    return runs.best_run(runs.run_summary(_runs(spark, sf)))
+    return runs.best_run(runs.run_summary(_runs(saved_series(spark, sf))))
 
 
 @query
 def best_run_per_series(spark, sf):
-    return runs.best_run_per_series(runs.run_summary(_runs(spark, sf)))
+    return runs.best_run_per_series(runs.run_summary(_runs(saved_series(spark, sf))))
 
 
 @query
 def models_of_best_runs(spark, sf):
     """Model rows saved with their run id, read back, and only those of the best runs kept."""
     path = work_path(spark, "models")
-    ledger = _runs(spark, sf).checkpoint()
+    rows = saved_series(spark, sf)
+    ledger = _runs(rows).checkpoint()
     for n in RUN_SIZES:
         ids = ledger.filter(F.col("start_time") == RUN_STARTED_MS + n).select(*SERIES, "run_id")
-        fits = forecast.train(price_series(spark, sf), n).join(ids, SERIES)
+        fits = forecast.train(rows, n).join(ids, SERIES)
         tables.write_table(fits, path, mode="append")
     best = runs.best_run_per_series(runs.run_summary(ledger))
     chosen = runs.models_of_runs(tables.read_table(spark, path), best)
@@ -693,7 +704,9 @@ def models_of_best_runs(spark, sf):
 
 @query
 def price_outlook(spark, sf):
-    rows = outlook.outlook(silver(spark, sf), forecast.forecast(_models(spark, sf)))
+    daily = saved_silver(spark, sf)
+    models = forecast.train(latest.as_series(daily))
+    rows = outlook.outlook(daily, forecast.forecast(models))
     return text(rounded(rows, 2, "price", "yhat_lower", "yhat_upper"), "date")
 
 
@@ -701,7 +714,7 @@ def price_outlook(spark, sf):
 
 
 def _texts(spark, sf):
-    return star.table(spark, sf, "documents").select("doc_id", "text")
+    return star.spread_table(spark, sf, "documents", ["doc_id", "text"])
 
 
 @query
@@ -767,19 +780,12 @@ def prompts(spark, sf):
 
 @query
 def masked_texts(spark, sf):
-    rows = _advised(spark, sf)
-    told = F.array_join(
-        F.transform(
-            F.array_sort(F.map_entries(masked_terms(F.col("recommendation"), PROTECTED_TERMS))),
-            lambda e: F.concat(e["key"], F.lit("="), e["value"]),
-        ),
-        ",",
-    )
+    rows = advice.with_mask(_advised(spark, sf), "recommendation")
+    told = F.transform("mask.found", lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return text(
         rows.select(
-            *SERIES, "date",
-            mask_terms(F.col("recommendation"), PROTECTED_TERMS).alias("masked"),
-            told.alias("placeholders"),
+            *SERIES, "date", F.col("mask.masked").alias("masked"),
+            F.array_join(told, ",").alias("placeholders"),
         ),
         "date",
     )
@@ -789,10 +795,9 @@ def masked_texts(spark, sf):
 def restored_texts(spark, sf):
     """Whole documents masked on common words and restored."""
     terms = ["the", "que", "und", "los"]
-    body = F.col("text")
-    masked = mask_terms(body, terms)
-    present = masked_terms(body, terms)
-    return _texts(spark, sf).select(
+    rows = advice.with_mask(_texts(spark, sf), "text", terms)
+    masked, present = F.col("mask.masked"), F.map_from_entries("mask.found")
+    return rows.select(
         "doc_id",
         F.md5(masked).alias("masked_digest"),
         F.md5(restore_terms(masked, terms, present)).alias("restored_digest"),
@@ -808,8 +813,7 @@ def speech_texts(spark, sf):
 @query
 def language_routing(spark, sf):
     rows = _advised(spark, sf).select(*SERIES, "date", F.col("recommendation").alias("text"))
-    languages = [*LANGUAGE_CODES, "Swahili"]
-    wanted = rows.withColumn("language", F.explode(F.array(*[F.lit(x) for x in languages])))
+    wanted = advice.in_languages(advice.with_mask(rows), [*LANGUAGE_CODES, "Swahili"])
     routed = advice.route_language(wanted)
     return (
         routed.groupBy("language", "language_code", "needs_translation", *SERIES)
@@ -917,20 +921,17 @@ def advisory_board_scored(spark, sf):
     )
     encoder = vectors.fit_encoder(passages)
     stored = vectors.encode(passages, encoder).drop("id").withColumnRenamed("number", "id")
-    crops = ticks(spark, sf).select(
-        canonical_name(F.col("crop"), star.ALIASES).alias("crop")
-    ).distinct().filter(F.col("crop").isin(star.CROPS))
-    asked = crops.select(
+    daily = saved_silver(spark, sf)
+    asked = daily.select("crop").distinct().select(
         F.xxhash64("crop").alias("query_id"), "crop",
         F.concat(F.col("crop"), F.lit(" storage harvest price")).alias("text"),
     )
     found = retrieval.retrieve(vectors.encode(asked, encoder), stored)
     keyed = found.withColumn("crop_key", F.lower("crop"))
-    prices_ = silver(spark, sf)
-    view = outlook.outlook(prices_, forecast.forecast(_models(spark, sf)))
-    rows = board.advisory_board(
-        features.gold(prices_), rain(spark, sf), keyed, outlook=view
+    view = outlook.outlook(
+        daily, forecast.forecast(forecast.train(latest.as_series(daily)))
     )
+    rows = board.advisory_board(features.gold(daily), rain(spark, sf), keyed, outlook=view)
     return rows.select(
         *SERIES, "decision", "weather", "advisory_source",
         F.size("outlook").alias("outlook_points"),

@@ -44,6 +44,34 @@ def placeholder(position: int) -> str:
     return f"__TERM{position}__"
 
 
+def masking(text: Column, terms: Sequence[str]) -> Column:
+    """Mask protected terms, in list order, and tell which ones were there.
+
+    Gives struct(masked, found): each term replaced by its placeholder, and the (key, value) pairs of
+    placeholder and term. A term counts only if it is still there once the terms before it are
+    masked, so the list is folded over the text step by step.
+    """
+    pair = "struct<key: string, value: string>"
+    steps = F.array(
+        *[
+            F.struct(F.lit(placeholder(i)).alias("key"), F.lit(term).alias("value"))
+            for i, term in enumerate(terms)
+        ]
+    )
+    start = F.struct(text.alias("masked"), F.array().cast(f"array<{pair}>").alias("found"))
+
+    def step(done: Column, it: Column) -> Column:
+        masked = done["masked"]
+        return F.struct(
+            F.replace(masked, it["value"], it["key"]).alias("masked"),
+            F.when(
+                F.contains(masked, it["value"]), F.array_append(done["found"], it)
+            ).otherwise(done["found"]).alias("found"),
+        )
+
+    return F.aggregate(steps, start, step)
+
+
 def mask_terms(text: Column, terms: Sequence[str]) -> Column:
     """Replace each protected term, in list order, by its placeholder."""
     return reduce(
@@ -53,24 +81,6 @@ def mask_terms(text: Column, terms: Sequence[str]) -> Column:
     )
 
 
-def masked_terms(text: Column, terms: Sequence[str]) -> Column:
-    """Map placeholder -> term of the terms that masking replaces.
-
-    A term counts only if it is still there once the terms before it are masked.
-    """
-    entries = []
-    current = text
-    for i, term in enumerate(terms):
-        entries.append(
-            F.when(
-                F.contains(current, F.lit(term)),
-                F.struct(F.lit(placeholder(i)).alias("key"), F.lit(term).alias("value")),
-            )
-        )
-        current = F.replace(current, F.lit(term), F.lit(placeholder(i)))
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
-
-
 def restore_terms(text: Column, terms: Sequence[str], present: Column | None = None) -> Column:
     """Put the protected terms back, only those listed in `present` when that map is given."""
     restored = text

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketboard.config import LANGUAGE_CODES, PROTECTED_TERMS, SPEECH_MAX_CHARS
 from marketboard.functions.numbers import fixed
-from marketboard.functions.text import mask_terms, masked_terms, speech_text, template
+from marketboard.functions.text import masking, speech_text, template
 
 # ---- fixed values: wording of the prompt and of the template answer ---------------------------
 SYSTEM_PROMPT = (
@@ -72,6 +72,18 @@ def language_table(spark, codes: Mapping[str, str] = LANGUAGE_CODES) -> DataFram
     return spark.createDataFrame(list(codes.items()), "language string, language_code string")
 
 
+def with_mask(
+    rows: DataFrame, text: str = "text", terms: Sequence[str] = PROTECTED_TERMS
+) -> DataFrame:
+    """Add the masking of a text column as struct column mask."""
+    return rows.withColumn("mask", masking(F.col(text), terms))
+
+
+def in_languages(rows: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """One row per wanted language, the list being the caller's literal."""
+    return rows.withColumn("language", F.explode(F.array(*[F.lit(x) for x in languages])))
+
+
 def route_language(
     rows: DataFrame,
     text: str = "text",
@@ -85,8 +97,12 @@ def route_language(
 
     Adds language_code, needs_translation, source_text (masked if it is to be translated), the map
     placeholders that restores it, and speech_source. The home language and unknown ones pass
-    through unchanged. The language table is a literal of nine rows, hence the broadcast.
+    through unchanged. Mask a text before it is multiplied by languages (with_mask), and it is
+    masked once; rows without a mask get one here. The language table is a literal of nine rows,
+    hence the broadcast.
     """
+    if "mask" not in rows.columns:
+        rows = with_mask(rows, text, terms)
     table = language_table(rows.sparkSession, codes).withColumnRenamed("language", language)
     routed = rows.join(F.broadcast(table), language, "left")
     foreign = F.col("language_code").isNotNull() & (F.col(language) != home)
@@ -94,8 +110,8 @@ def route_language(
     return routed.withColumns(
         {
             "needs_translation": foreign,
-            "source_text": F.when(foreign, mask_terms(original, terms)).otherwise(original),
-            "placeholders": F.when(foreign, masked_terms(original, terms)),
+            "source_text": F.when(foreign, F.col("mask.masked")).otherwise(original),
+            "placeholders": F.when(foreign, F.map_from_entries("mask.found")),
             "speech_source": speech_text(original, speech_chars),
         }
-    )
+    ).drop("mask")

@@ -15,6 +15,17 @@ DIGIT_BITS = 21
 DIGITS = 3
 
 
+def exploded(rows: DataFrame, column: str, position: str, element: str) -> DataFrame:
+    """Rows per array element with its 0-based position.
+
+    Written as an outer explode: for an inner one the optimizer puts a size filter below, which
+    would build the whole array a second time just to count it.
+    """
+    others = [c for c in rows.columns if c != column]
+    outer = rows.select(*others, F.posexplode_outer(column).alias(position, element))
+    return outer.filter(F.col(position).isNotNull())
+
+
 def text_chunks(
     texts: DataFrame,
     text: str = "text",
@@ -32,7 +43,7 @@ def text_chunks(
     chunked = listed.select(
         *others, word_windows(F.col("_words"), size, overlap, min_chars).alias("_chunks")
     )
-    return chunked.select(*others, F.posexplode("_chunks").alias("chunk_pos", "chunk"))
+    return exploded(chunked, "_chunks", "chunk_pos", "chunk")
 
 
 def document_chunks(
@@ -69,8 +80,11 @@ def running_offsets(counts: DataFrame, key: str, count: str) -> DataFrame:
     however many keys the table has, and offsets add up from the top down. A level and the one
     above it read the same exchange.
     """
-    rows = counts.select(
-        F.col(key).cast("bigint").alias("_key"), F.col(count).cast("bigint").alias("_n")
+    # never-null columns: a not-null filter derived on one level would make its exchange differ
+    whole = counts.filter(F.col(key).isNotNull())
+    rows = whole.select(
+        F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("_key"),
+        F.coalesce(F.col(count).cast("bigint"), F.lit(0)).alias("_n"),
     )
     levels = []
     for digit in range(DIGITS):
@@ -91,7 +105,7 @@ def running_offsets(counts: DataFrame, key: str, count: str) -> DataFrame:
         levels.append(level)
         # the first of each group of siblings stands for the group on the next level
         rows = level.filter(F.col("_before").isNull()).select(
-            F.col("_up").alias("_key"), F.col("_total").alias("_n")
+            F.col("_up").alias("_key"), F.coalesce("_total", F.lit(0)).alias("_n")
         )
 
     def descend(above: DataFrame, level: DataFrame) -> DataFrame:
@@ -110,12 +124,14 @@ def with_chunk_ids(
 ) -> DataFrame:
     """Explode document_chunks into rows with chunk_id = prefix + running number from 0.
 
-    The number follows (document, page, position). Ids have four digits, more where needed.
+    The number follows (document, page, position). Ids have four digits, more where needed. The
+    counts per document come from the column n_chunks if a saved table has it.
     """
-    sizes = documents.select(key, F.size(chunks).alias("_size"))
-    numbered = documents.join(running_offsets(sizes, key, "_size"), key)
-    others = [c for c in documents.columns if c not in (chunks,)]
-    rows = numbered.select(*others, "offset", F.posexplode(chunks).alias("_pos", "_chunk"))
+    stored = "n_chunks" in documents.columns
+    sizes = documents.select(key, F.col("n_chunks") if stored else F.size(chunks).alias("n_chunks"))
+    numbered = documents.join(running_offsets(sizes, key, "n_chunks"), key)
+    others = [c for c in documents.columns if c not in (chunks, "n_chunks")]
+    rows = exploded(numbered, chunks, "_pos", "_chunk")
     return rows.select(
         F.format_string(prefix + "%04d", F.col("offset") + F.col("_pos")).alias("chunk_id"),
         *others,

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketboard.functions.text import words
@@ -106,69 +106,59 @@ def centroids(vectors: DataFrame, label: str, column: str = "embedding") -> Data
 # ---- search ---------------------------------------------------------------------------------
 
 
-def _best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best rows by (score descending, id ascending)."""
-    if len(scores) > k:
-        bound = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.nonzero(scores >= bound)[0]
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
-
-
-def _search(query_frame: pd.DataFrame, k: int, by_tag: bool, digits: int, best_of):
-    """A function from vector batches to the k best hits per query seen by the task.
+def _searcher(k: int, by_tag: bool, digits: int = SCORE_DIGITS, block: int = 256):
+    """Build search(query_frame, vector_batches) -> hit frames, with the k best hits per query.
 
-    Everything it needs comes in as a value, so tasks do not have to import this package.
+    The search is a nested function, so tasks get it by value and need not import this package.
     """
-    query_ids = query_frame["query_id"].to_numpy()
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in query_frame["embedding"]])
-    tags = query_frame["tag"].to_numpy() if by_tag else None
 
-    def run(batches):
-        kept = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in query_ids]
+    def best(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Positions of the k best rows by (score descending, id ascending)."""
+        if len(scores) > k:
+            bound = np.partition(scores, len(scores) - k)[len(scores) - k]
+            keep = np.nonzero(scores >= bound)[0]
+        else:
+            keep = np.arange(len(scores))
+        return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+
+    def search(queries: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries = queries[queries["embedding"].notna()]
+        if queries.empty:
+            return
+        query_ids = queries["query_id"].to_numpy()
+        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in queries["embedding"]])
+        wanted = queries["tag"].to_numpy() if by_tag else None
+        held = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in query_ids]
         for batch in batches:
             batch = batch[batch["embedding"].notna()]
             if batch.empty:
                 continue
             ids = batch["id"].to_numpy()
             rows = np.stack([np.asarray(v, dtype=np.float64) for v in batch["embedding"]])
-            row_tags = batch["tag"].to_numpy() if by_tag else None
-            for start in range(0, len(query_ids), 256):
-                scores = np.round(rows @ matrix[start : start + 256].T, digits) + 0.0
-                for j in range(scores.shape[1]):
-                    q = start + j
-                    column, own = scores[:, j], ids
+            tags = batch["tag"].to_numpy() if by_tag else None
+            for start in range(0, len(query_ids), block):
+                scores = np.round(rows @ matrix[start : start + block].T, digits) + 0.0
+                for q in range(start, start + scores.shape[1]):
+                    column, own = scores[:, q - start], ids
                     if by_tag:
-                        match = row_tags == tags[q]
-                        column, own = column[match], own[match]
-                    top = best_of(column, own, k)
-                    merged = np.concatenate([kept[q][0], column[top]])
-                    merged_ids = np.concatenate([kept[q][1], own[top]])
-                    top = best_of(merged, merged_ids, k)
-                    kept[q] = (merged[top], merged_ids[top])
-        sizes = [len(s) for s, _ in kept]
+                        fits = tags == wanted[q]
+                        column, own = column[fits], own[fits]
+                    top = best(column, own)
+                    merged = np.concatenate([held[q][0], column[top]])
+                    merged_ids = np.concatenate([held[q][1], own[top]])
+                    top = best(merged, merged_ids)
+                    held[q] = (merged[top], merged_ids[top])
+        sizes = [len(scores) for scores, _ in held]
         if sum(sizes):
             yield pd.DataFrame(
                 {
                     "query_id": np.repeat(query_ids, sizes),
-                    "id": np.concatenate([i for _, i in kept]),
-                    "score": np.concatenate([s for s, _ in kept]),
+                    "id": np.concatenate([ids for _, ids in held]),
+                    "score": np.concatenate([scores for scores, _ in held]),
                 }
             )
 
-    return run
-
-
-def _portable(function):
-    """A copy of a module-level function that is shipped by value."""
-    import types
-
-    copy = types.FunctionType(
-        function.__code__, {"np": np, "pd": pd}, function.__name__, function.__defaults__
-    )
-    copy.__module__ = "__main__"
-    return copy
+    return search
 
 
 def nearest(
@@ -204,9 +194,11 @@ def nearest(
 
 
 def _scan(query_frame: pd.DataFrame, vectors: DataFrame, k: int, tagged: bool) -> DataFrame:
-    if query_frame.empty:
-        return vectors.sparkSession.createDataFrame([], HITS)
-    run = _portable(_search)(query_frame, k, tagged, SCORE_DIGITS, _portable(_best_of))
+    search = _searcher(k, tagged)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return search(query_frame, batches)
+
     return vectors.mapInPandas(run, HITS)
 
 
@@ -217,21 +209,19 @@ def _grid(
     across = math.ceil(query_rows / cell_rows)
     down = math.ceil(max(vectors.count(), 1) / cell_rows)
 
-    def block(column: str, blocks: int):
+    def block(column: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
-    def every(blocks: int):
+    def every(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     left = queries.withColumn("_q", block("query_id", across)).withColumn("_v", every(down))
     right = vectors.withColumn("_v", block("id", down)).withColumn("_q", every(across))
-    search, best_of = _portable(_search), _portable(_best_of)
-    digits = SCORE_DIGITS
+    search = _searcher(k, tagged)
 
     def cell(some_queries: pd.DataFrame, some_vectors: pd.DataFrame) -> pd.DataFrame:
-        if not some_queries.empty and not some_vectors.empty:
-            for hits in search(some_queries, k, tagged, digits, best_of)([some_vectors]):
-                return hits
+        for hits in search(some_queries, iter([some_vectors])):
+            return hits
         return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype(
             {"query_id": "int64", "id": "int64", "score": "float64"}
         )

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from marketboard.config import SERIES
 from marketboard.functions.numbers import fixed
 from marketboard.functions.text import filled
-from marketboard.operators.advice import route_language, with_recommendation
+from marketboard.operators.advice import (
+    in_languages,
+    route_language,
+    with_mask,
+    with_recommendation,
+)
 from marketboard.operators.latest import at_crop_date, latest_per_series, price_board
 from marketboard.operators.retrieval import context_blocks
 from marketboard.operators.signals import verdicts
@@ -55,8 +60,8 @@ def advisory_rows(
             F.array_sort(F.collect_list(points)).alias("outlook")
         )
         full = full.join(nested, SERIES, "left")
-    wanted = F.explode(F.array(*[F.lit(x) for x in languages]))
-    return route_language(full.withColumn("language", wanted), text="recommendation")
+    masked = with_mask(full, "recommendation")
+    return route_language(in_languages(masked, languages), text="recommendation")
 
 
 def board_records(rows: DataFrame) -> DataFrame:

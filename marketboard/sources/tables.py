@@ -57,6 +57,16 @@ def read_table(
     return rows.filter(filter_expr) if filter_expr else rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores if it has fewer splits than there are cores.
+
+    An input of one row group would keep the whole first stage in one task. A large table has more
+    splits than cores and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def append_evolving(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> None:
     """Append rows whose columns may differ from those already there.
 

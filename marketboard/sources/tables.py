@@ -61,10 +61,13 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal a small input out to all cores if it has fewer splits than there are cores.
 
     An input of one row group would keep the whole first stage in one task. A large table has more
-    splits than cores and passes unchanged, without a shuffle.
+    splits than cores and passes unchanged, without a shuffle. Rows are dealt by a hash of all their
+    columns, which unlike a round-robin deal needs no sort to be repeatable.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *df.columns)
 
 
 def append_evolving(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> None:

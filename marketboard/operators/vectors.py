@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketboard.functions.text import words
 
@@ -65,7 +66,8 @@ def encode_with(
 
     Its vectors are scaled to unit length here.
     """
-    schema = texts.schema.add(output, "array<float>")
+    added = T.StructField(output, T.ArrayType(T.FloatType()))
+    schema = T.StructType([*texts.schema.fields, added])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_encoder()

@@ -439,7 +439,7 @@ LANGUAGES = "languages(language, language_code) AS (VALUES " + ", ".join(
 COUNT_TERMS = " + ".join(f"contains({masked('recommendation', PROTECTED_TERMS[:i])}, '{t}')::INT" for i, t in enumerate(PROTECTED_TERMS))
 ORACLE["language_routing"] = with_(*ADVISED, LANGUAGES, """routed AS (SELECT *, language_code IS NOT NULL AND language <> 'English'
   AS foreign_ FROM answered, languages)""") + f"""SELECT language, language_code, foreign_::INT AS needs_translation, crop, mandi,
-  count(*) AS rows, max(CASE WHEN foreign_ THEN {masked('recommendation', PROTECTED_TERMS)} ELSE recommendation END) AS last_text,
+  count(*) AS rows, CAST(sum(CAST('0x' || left(md5(CASE WHEN foreign_ THEN {masked('recommendation', PROTECTED_TERMS)} ELSE recommendation END), 8) AS BIGINT)) AS BIGINT) AS digest,
   CAST(sum(CASE WHEN foreign_ THEN {COUNT_TERMS} ELSE 0 END) AS BIGINT) AS placeholders FROM routed GROUP BY 1, 2, 3, 4, 5"""
 
 # ---- vectors ----------------------------------------------------------------------------------------
@@ -485,3 +485,44 @@ ORACLE["medallion_stages"] = with_(*MODELS, *PASSAGES, "held AS (SELECT * FROM s
   UNION ALL SELECT 'gold', (SELECT count(*) FROM silver) UNION ALL SELECT 'models', (SELECT count(*) FROM models)
   UNION ALL SELECT 'backtest', (SELECT count(*) FROM held) UNION ALL SELECT 'best_runs', (SELECT count(*) FROM models)
   UNION ALL SELECT 'chunks', (SELECT count(*) FROM passages) UNION ALL SELECT 'vectors', (SELECT count(*) FROM passages)"""
+
+# Hashed term vectors: 32-bit murmur3 of each distinct token, written out over its bytes.
+M32 = "4294967296::HUGEINT"
+
+
+def times(x: str, c: int) -> str:
+    return f"CAST((CAST({x} AS HUGEINT) * {c}) % {M32} AS BIGINT)"
+
+
+def turned(x: str, by: int) -> str:
+    return f"((({x}) << {by}) & 4294967295 | (({x}) >> {32 - by}))"
+
+
+def stirred(k: str) -> str:
+    return times(turned(times(k, 0xCC9E2D51), 15), 0x1B873593)
+
+
+TERM_HASH = [
+    f"tokens AS (SELECT doc_id, unnest({words('lower(text)')}) AS tok FROM documents)",
+    "terms AS (SELECT tok, hex(encode(tok)) AS h, octet_length(encode(tok)) AS n FROM (SELECT DISTINCT tok FROM tokens))",
+    """bytes AS (SELECT tok, n, list_transform(range(0, n), lambda i:
+   CAST((strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1 AS BIGINT)) AS b FROM terms)""",
+    """blocks4 AS (SELECT tok, n, b, list_transform(range(0, n // 4), lambda i:
+   b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS ks,
+   CAST(list_sum(list_transform(range((n // 4) * 4, n), lambda i: b[i + 1] << (8 * CAST(i % 4 AS INT)))) AS BIGINT) AS tail FROM bytes)""",
+    f"""mixed AS (SELECT tok, n, tail, list_reduce(list_prepend(42::BIGINT, list_transform(ks, lambda k: {stirred('k')})),
+   lambda h, k: CAST((CAST({turned('xor(h, k)', 13)} AS HUGEINT) * 5 + 3864292196) % {M32} AS BIGINT)) AS h FROM blocks4)""",
+    f"ended AS (SELECT tok, xor(CASE WHEN tail IS NULL THEN h ELSE xor(h, {stirred('tail')}) END, CAST(n AS BIGINT)) AS h FROM mixed)",
+    f"f1 AS (SELECT tok, {times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM ended)",
+    f"f2 AS (SELECT tok, {times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM f1)",
+    "hashed AS (SELECT tok, xor(h, h >> 16) % 64 AS dim FROM f2)",
+]
+ORACLE["text_embeddings"] = with_(
+    *TERM_HASH,
+    "tf AS (SELECT doc_id, dim, count(*) AS n FROM tokens JOIN hashed USING (tok) GROUP BY doc_id, dim)",
+    """idf AS (SELECT dim, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) AS w
+   FROM tf GROUP BY dim)""",
+    "weighted AS (SELECT doc_id, dim, n * w AS v FROM tf JOIN idf USING (dim))",
+    "lengths AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM weighted GROUP BY doc_id)",
+) + """SELECT doc_id, CAST(dim AS INT) AS dim, round(CAST(CAST(v / norm AS FLOAT) AS DOUBLE), 4) AS weight
+   FROM weighted JOIN lengths USING (doc_id) WHERE v <> 0"""

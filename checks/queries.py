@@ -108,19 +108,14 @@ def stream_rerun(spark, sf):
     """Ingest, ingest again without new files, then once more after new files came."""
     source = _csv_folder(spark, sf)
     target, progress = work_path(spark, "bronze"), work_path(spark, "progress")
-    counts = []
+    counts = work_path(spark, "counts")
     for step in ("first", "again", "more"):
         if step == "more":
             ticks(spark, sf).write.mode("append").option("header", True).csv(source)
         ingest_price_csv(spark, source, target, progress)
-        counts.append(
-            tables.read_table(spark, target)
-            .groupBy("mandi")
-            .agg(F.count("*").alias("rows"))
-            .select(F.lit(step).alias("step"), "mandi", "rows")
-            .checkpoint()
-        )
-    return outlook.concat_all(counts)
+        rows = tables.read_table(spark, target).groupBy("mandi").agg(F.count("*").alias("rows"))
+        tables.write_table(rows.withColumn("step", F.lit(step)), counts, mode="append")
+    return tables.read_table(spark, counts)
 
 
 @query
@@ -689,9 +684,10 @@ def best_run_per_series(spark, sf):
 @query
 def models_of_best_runs(spark, sf):
     """Model rows saved with their run id, read back, and only those of the best runs kept."""
-    path = work_path(spark, "models")
+    path, kept = work_path(spark, "models"), work_path(spark, "runs")
     rows = saved_series(spark, sf)
-    ledger = _runs(rows).checkpoint()
+    tables.write_table(_runs(rows), kept)
+    ledger = tables.read_table(spark, kept)
     for n in RUN_SIZES:
         ids = ledger.filter(F.col("start_time") == RUN_STARTED_MS + n).select(*SERIES, "run_id")
         fits = forecast.train(rows, n).join(ids, SERIES)
@@ -819,7 +815,9 @@ def language_routing(spark, sf):
         routed.groupBy("language", "language_code", "needs_translation", *SERIES)
         .agg(
             F.count("*").alias("rows"),
-            F.max("source_text").alias("last_text"),
+            F.sum(
+                F.conv(F.substring(F.md5("source_text"), 1, 8), 16, 10).cast("bigint")
+            ).alias("digest"),
             F.sum(F.coalesce(F.size(F.map_keys("placeholders")), F.lit(0))).alias("placeholders"),
         )
         .withColumn("needs_translation", F.col("needs_translation").cast("int"))
@@ -887,7 +885,7 @@ def text_embeddings(spark, sf):
     """Unit vectors of whole documents as (doc_id, dim, weight) rows without the zeros."""
     texts = _texts(spark, sf)
     encoded = vectors.encode(texts, vectors.fit_encoder(texts, size=64))
-    cells = encoded.select("doc_id", F.posexplode("embedding").alias("dim", "weight"))
+    cells = chunks.exploded(encoded.select("doc_id", "embedding"), "embedding", "dim", "weight")
     return cells.filter(F.col("weight") != 0).select(
         "doc_id", "dim", F.round(F.col("weight").cast("double"), 4).alias("weight")
     )

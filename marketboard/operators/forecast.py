@@ -26,8 +26,6 @@ from marketboard.functions.numbers import exact_mean, signed_round
 from marketboard.operators.series import (
     error_metrics,
     long_enough,
-    pair_by_date,
-    pair_by_position,
     test_part,
     train_part,
 )
@@ -121,13 +119,13 @@ def evaluate(
 ) -> DataFrame:
     """MAPE and MAE of each model on the rows after its training rows, paired by position.
 
-    A model without test rows gets the no-pairs error in both columns.
+    The i-th of these rows meets the forecast of the i-th day after training, whatever its own date;
+    the model is evaluated there directly, so no forecast rows are made and joined. A model without
+    such rows gets the no-pairs error in both columns.
     """
-    held_out = test_part(series, train_rows)
-    sizes = held_out.groupBy(*keys).agg(F.count("*").cast("int").alias("_periods"))
-    predicted = forecast(models.join(sizes, list(keys)), F.col("_periods"), keys)
-    metrics = error_metrics(pair_by_position(held_out, predicted, keys), keys)
-    return models.select(*keys).join(metrics, list(keys), "left").withColumns(
+    held_out = test_part(series, train_rows).join(models, list(keys))
+    pairs = held_out.withColumn("yhat", yhat(F.date_add("last_train", F.col("pos"))))
+    return models.select(*keys).join(error_metrics(pairs, keys), list(keys), "left").withColumns(
         {c: F.coalesce(c, F.lit(NO_PAIRS_ERROR)) for c in ("mape", "mae")}
     )
 
@@ -138,13 +136,13 @@ def backtest(
     train_rows: int = TRAIN_ROWS,
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
-    """Actual against forecast by date after the training rows: whole numbers and error %."""
-    held_out = test_part(series, train_rows)
-    ends = held_out.groupBy(*keys).agg(F.max("ds").alias("_end"))
-    horizon = F.datediff("_end", "last_train")
-    predicted = forecast(models.join(ends, list(keys)), horizon, keys)
-    pairs = pair_by_date(held_out, predicted, keys)
-    return pairs.select(
+    """Actual against forecast by date after the training rows: whole numbers and error %.
+
+    The horizon is the last of these dates, so every one of them has its forecast.
+    """
+    held_out = test_part(series, train_rows).join(models, list(keys))
+    value = held_out.withColumn("yhat", yhat(F.col("ds")))
+    return value.select(
         *keys,
         F.col("ds").alias("date"),
         F.col("y").cast("bigint").alias("actual"),

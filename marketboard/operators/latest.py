@@ -33,9 +33,16 @@ def at_table_date(
 
 
 def at_crop_date(rows: DataFrame, mandis: Sequence[str] | None = None) -> DataFrame:
-    """Rows of each crop at that crop's own last date, then only the listed mandis."""
-    last = rows.groupBy("crop").agg(F.max("date").alias("date"))
-    return keep_targets(rows.join(last, ["crop", "date"], "left_semi"), None, mandis)
+    """Rows of each crop at that crop's own last date, then only the listed mandis.
+
+    `rows` is unique per date and series, as the silver and gold tables are. A row at the last date
+    of its crop is then the last of its series, so one aggregate over the table finds the
+    candidates and the dates compare among one row per series.
+    """
+    newest = latest_per_series(rows).withColumn(
+        "_last", F.max("date").over(Window.partitionBy("crop"))
+    )
+    return keep_targets(newest.filter(F.col("date") == F.col("_last")).drop("_last"), None, mandis)
 
 
 def price_board(rows: DataFrame) -> DataFrame:

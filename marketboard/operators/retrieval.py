@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketboard.config import OVER_FETCH, TOP_K
@@ -63,23 +63,31 @@ def first_passages_any(passages: DataFrame, top_k: int = TOP_K, order: str = "id
     return top.withColumn("rank", F.row_number().over(Window.orderBy(order)))
 
 
-def context_blocks(passages: DataFrame, keys: list[str]) -> DataFrame:
-    """All passages of a key as one numbered text, in rank order: columns keys, context.
+def ranked_lists(passages: DataFrame, keys: list[str]) -> DataFrame:
+    """The passages of a key as one array in rank order: columns keys, passages.
 
     Give it the output of a retrieval, which holds at most top_k passages per key.
     """
-    listed = passages.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(F.struct("rank", "source_doc", "crop", F.col("page"), "text"))
-        ).alias("_list")
-    )
+    entry = F.struct("rank", "source_doc", "crop", "page", "text")
+    return passages.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("passages"))
+
+
+def context_text(listed: Column) -> Column:
+    """An array of passages as one numbered text."""
     # ---- fixed values: layout of one entry --------------------------------------------------
-    entry = lambda p, i: F.concat(
-        F.lit("[Advisory "), (i + F.lit(1)).cast("string"),
-        F.lit("] Source: "), filled(p["source_doc"], "unknown"),
-        F.lit(" | Crop: "), filled(p["crop"], "?"),
-        F.lit(" | Page: "), filled(p["page"], "?"),
-        F.lit("\n"), p["text"],
-    )
-    blocks = F.array_join(F.transform("_list", entry), "\n\n")
-    return listed.select(*keys, blocks.alias("context"))
+    def entry(p: Column, i: Column) -> Column:
+        return F.concat(
+            F.lit("[Advisory "), (i + F.lit(1)).cast("string"),
+            F.lit("] Source: "), filled(p["source_doc"], "unknown"),
+            F.lit(" | Crop: "), filled(p["crop"], "?"),
+            F.lit(" | Page: "), filled(p["page"], "?"),
+            F.lit("\n"), p["text"],
+        )
+
+    return F.array_join(F.transform(listed, entry), "\n\n")
+
+
+def context_blocks(passages: DataFrame, keys: list[str]) -> DataFrame:
+    """All passages of a key as one numbered text, in rank order: columns keys, context."""
+    listed = ranked_lists(passages, keys)
+    return listed.select(*keys, context_text(F.col("passages")).alias("context"))

@@ -17,22 +17,22 @@ from marketboard.operators.advice import (
     with_recommendation,
 )
 from marketboard.operators.latest import at_crop_date, latest_per_series, price_board
-from marketboard.operators.retrieval import context_blocks
+from marketboard.operators.retrieval import context_text, ranked_lists
 from marketboard.operators.signals import verdicts
 
 
 def crop_passages(passages: DataFrame) -> DataFrame:
     """One row per crop_key: its context block, its first passage and that passage's source."""
-    blocks = context_blocks(passages, ["crop_key"])
-    first = passages.filter(F.col("rank") == 1).select(
+    first = F.get("passages", F.lit(0))
+    return ranked_lists(passages, ["crop_key"]).select(
         "crop_key",
-        F.col("text").alias("advisory_text"),
+        context_text(F.col("passages")).alias("context"),
+        first["text"].alias("advisory_text"),
         F.concat(
-            F.lit("Source: "), filled(F.col("source_doc"), "unknown"),
-            F.lit(" | Page "), filled(F.col("page"), "?"),
+            F.lit("Source: "), filled(first["source_doc"], "unknown"),
+            F.lit(" | Page "), filled(first["page"], "?"),
         ).alias("advisory_source"),
     )
-    return blocks.join(first, "crop_key")
 
 
 def advisory_rows(

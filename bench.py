@@ -1,4 +1,8 @@
-"""Time the headline queries; prints one JSON line."""
+"""Time the headline queries; prints one JSON line.
+
+The flagship query runs once before the clock starts, so that the first timing is not that of a cold
+engine.
+"""
 
 from __future__ import annotations
 
@@ -48,7 +52,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()  # start the engine
+    QUERIES[HEADLINE[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         begun = time.monotonic()

@@ -208,7 +208,7 @@ PASSAGES = [
 
 
 def firsts(k: int) -> str:
-    return f"""firsts AS (SELECT *, lower(crop) AS crop_key, row_number() OVER (PARTITION BY lower(crop) ORDER BY id) AS rank
+    return f"""firsts AS (SELECT *, lower(crop) AS crop_key, row_number() OVER (PARTITION BY lower(crop) ORDER BY length(id), id) AS rank
    FROM passages QUALIFY rank <= {k})"""
 
 
@@ -413,7 +413,7 @@ ORACLE["text_chunks_all"] = runs_of_words(120, 90, "true")
 ORACLE["chunk_table"] = with_(*PASSAGES) + "SELECT id AS chunk_id, crop, source_doc, page, text FROM passages"
 ORACLE["first_passages"] = with_(*PASSAGES, firsts(3)) + \
     "SELECT crop_key, CAST(rank AS INT) AS rank, id, source_doc, page, text FROM firsts"
-ORACLE["first_passages_any"] = with_(*PASSAGES) + """SELECT CAST(row_number() OVER (ORDER BY id) AS INT) AS rank, id,
+ORACLE["first_passages_any"] = with_(*PASSAGES) + """SELECT CAST(row_number() OVER (ORDER BY length(id), id) AS INT) AS rank, id,
   source_doc, page, text FROM passages QUALIFY rank <= 10"""
 ORACLE["context_blocks"] = with_(*PASSAGES, firsts(3), BLOCKS) + "SELECT * FROM blocks"
 ADVISED = [*PRICE_GOLD, *WEATHER, decided("d", "gold"), answered("d")]
@@ -502,27 +502,57 @@ def stirred(k: str) -> str:
     return times(turned(times(k, 0xCC9E2D51), 15), 0x1B873593)
 
 
-TERM_HASH = [
-    f"tokens AS (SELECT doc_id, unnest({words('lower(text)')}) AS tok FROM documents)",
-    "terms AS (SELECT tok, hex(encode(tok)) AS h, octet_length(encode(tok)) AS n FROM (SELECT DISTINCT tok FROM tokens))",
-    """bytes AS (SELECT tok, n, list_transform(range(0, n), lambda i:
+def hashed_terms(source: str, key: str, size: int) -> list[str]:
+    """Tokens of the texts of a relation and the vector cell of each distinct token."""
+    return [
+        f"tokens AS (SELECT {key} AS doc_id, unnest({words('lower(text)')}) AS tok FROM {source})",
+        "terms AS (SELECT tok, hex(encode(tok)) AS h, octet_length(encode(tok)) AS n FROM (SELECT DISTINCT tok FROM tokens))",
+        """bytes AS (SELECT tok, n, list_transform(range(0, n), lambda i:
    CAST((strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1 AS BIGINT)) AS b FROM terms)""",
-    """blocks4 AS (SELECT tok, n, b, list_transform(range(0, n // 4), lambda i:
+        """blocks4 AS (SELECT tok, n, b, list_transform(range(0, n // 4), lambda i:
    b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS ks,
    CAST(list_sum(list_transform(range((n // 4) * 4, n), lambda i: b[i + 1] << (8 * CAST(i % 4 AS INT)))) AS BIGINT) AS tail FROM bytes)""",
-    f"""mixed AS (SELECT tok, n, tail, list_reduce(list_prepend(42::BIGINT, list_transform(ks, lambda k: {stirred('k')})),
+        f"""mixed AS (SELECT tok, n, tail, list_reduce(list_prepend(42::BIGINT, list_transform(ks, lambda k: {stirred('k')})),
    lambda h, k: CAST((CAST({turned('xor(h, k)', 13)} AS HUGEINT) * 5 + 3864292196) % {M32} AS BIGINT)) AS h FROM blocks4)""",
-    f"ended AS (SELECT tok, xor(CASE WHEN tail IS NULL THEN h ELSE xor(h, {stirred('tail')}) END, CAST(n AS BIGINT)) AS h FROM mixed)",
-    f"f1 AS (SELECT tok, {times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM ended)",
-    f"f2 AS (SELECT tok, {times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM f1)",
-    "hashed AS (SELECT tok, xor(h, h >> 16) % 64 AS dim FROM f2)",
-]
-ORACLE["text_embeddings"] = with_(
-    *TERM_HASH,
-    "tf AS (SELECT doc_id, dim, count(*) AS n FROM tokens JOIN hashed USING (tok) GROUP BY doc_id, dim)",
-    """idf AS (SELECT dim, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) AS w
+        f"ended AS (SELECT tok, xor(CASE WHEN tail IS NULL THEN h ELSE xor(h, {stirred('tail')}) END, CAST(n AS BIGINT)) AS h FROM mixed)",
+        f"f1 AS (SELECT tok, {times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM ended)",
+        f"f2 AS (SELECT tok, {times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM f1)",
+        f"hashed AS (SELECT tok, xor(h, h >> 16) % {size} AS dim FROM f2)",
+        "tf AS (SELECT doc_id, dim, count(*) AS n FROM tokens JOIN hashed USING (tok) GROUP BY doc_id, dim)",
+    ]
+
+
+def unit_cells(fitted_on: str, total: str) -> list[str]:
+    """Cells of the unit vectors of all texts; document frequencies come from some of them."""
+    return [
+        f"""idf AS (SELECT dim, ln(({total} + 1.0::DOUBLE) / (count(*) FILTER ({fitted_on}) + 1.0::DOUBLE)) AS w
    FROM tf GROUP BY dim)""",
-    "weighted AS (SELECT doc_id, dim, n * w AS v FROM tf JOIN idf USING (dim))",
-    "lengths AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM weighted GROUP BY doc_id)",
-) + """SELECT doc_id, CAST(dim AS INT) AS dim, round(CAST(CAST(v / norm AS FLOAT) AS DOUBLE), 4) AS weight
-   FROM weighted JOIN lengths USING (doc_id) WHERE v <> 0"""
+        "weighted AS (SELECT doc_id, dim, n * w AS v FROM tf JOIN idf USING (dim))",
+        "lengths AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM weighted GROUP BY doc_id)",
+        """cells AS (SELECT doc_id, dim, CAST(CAST(v / norm AS FLOAT) AS DOUBLE) AS weight
+   FROM weighted JOIN lengths USING (doc_id) WHERE v <> 0)""",
+    ]
+
+
+ORACLE["text_embeddings"] = with_(
+    *hashed_terms("documents", "doc_id", 64), *unit_cells("true", "(SELECT count(*) FROM documents)")
+) + "SELECT doc_id, CAST(dim AS INT) AS dim, round(weight, 4) AS weight FROM cells"
+ORACLE["advisory_board_scored"] = with_(
+    *LATEST_ADVISED,
+    *PASSAGES,
+    # passages have ids from 0 up, the six questions ids from -6 to -1
+    """texts AS (SELECT CAST(substr(id, 7) AS BIGINT) AS id, crop, source_doc, page, text FROM passages
+   UNION ALL SELECT -row_number() OVER (ORDER BY crop), crop, NULL, NULL, crop || ' storage harvest price'
+   FROM (SELECT DISTINCT crop FROM silver))""",
+    *hashed_terms("texts", "id", 256),
+    *unit_cells("doc_id >= 0", "(SELECT count(*) FROM passages)"),
+    """scored AS (SELECT q.doc_id AS query_id, p.doc_id AS id, round(sum(q.weight * p.weight), 6) AS score
+   FROM cells q JOIN cells p ON q.dim = p.dim AND q.doc_id < 0 AND p.doc_id >= 0 GROUP BY 1, 2)""",
+    # passages that share no cell with the question score 0 and come last
+    """near AS (SELECT q.id AS query_id, q.crop AS wanted, p.id, p.crop, p.source_doc, p.page, coalesce(score, 0) AS score
+   FROM texts q JOIN texts p ON q.id < 0 AND p.id >= 0 LEFT JOIN scored s ON s.query_id = q.id AND s.id = p.id
+   QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY coalesce(score, 0) DESC, p.id) <= 6)""",
+    """best AS (SELECT *, 'Source: ' || source_doc || ' | Page ' || page AS advisory_source FROM near WHERE crop = wanted
+   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1)""",
+) + f"""SELECT a.crop, mandi, decision, signal || ' — ' || {one('rain_3d_mm')} || ' mm' AS weather, advisory_source,
+  22 AS outlook_points FROM answered a LEFT JOIN best b ON b.wanted = a.crop"""

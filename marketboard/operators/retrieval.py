@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from marketboard.config import OVER_FETCH, TOP_K
 from marketboard.functions.names import same_name
 from marketboard.functions.text import filled
-from marketboard.operators.vectors import nearest
+from marketboard.operators.vectors import nearest, query_size
+
+# Most hits (queries x k) that are broadcast; a hit is an id, a score and a crop name.
+MAX_BROADCAST_HITS = 200_000
 
 
 def retrieve(
@@ -25,18 +28,26 @@ def retrieve(
     Default: the top_k * over_fetch nearest of all vectors are found first and the crop is checked
     after, so a query may get fewer than top_k passages. With `prefilter`, only vectors of the
     wanted crop compete, and every query needs a crop.
+
+    The number of hits is known from the number of queries. While it is small the hits are
+    broadcast to the passages, which then stay where they are; beyond that the two sides shuffle.
     """
+    size = query_size(queries)
     if prefilter:
+        k = top_k
         hits = nearest(
             queries.withColumn("tag", F.lower("crop")),
             vectors.withColumn("tag", F.lower("crop")),
-            top_k, tagged=True, **search,
+            k, tagged=True, size=size, **search,
         )
     else:
-        hits = nearest(queries, vectors, top_k * over_fetch, **search)
-    passages = hits.drop("rank").join(vectors.drop("embedding"), "id")
+        k = top_k * over_fetch
+        hits = nearest(queries, vectors, k, size=size, **search)
     wanted = queries.select("query_id", F.col("crop").alias("_wanted"))
-    fitting = passages.join(wanted, "query_id").filter(
+    asked = hits.drop("rank").join(wanted, "query_id")
+    if size.rows * k <= MAX_BROADCAST_HITS:
+        asked = F.broadcast(asked)
+    fitting = vectors.drop("embedding").join(asked, "id").filter(
         F.col("_wanted").isNull() | same_name(F.col("crop"), F.col("_wanted"))
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
@@ -47,20 +58,25 @@ def retrieve(
     )
 
 
+def _stored_order(column: str) -> list[Column]:
+    """Ascending order of running numbers and of texts that end in one: shorter ones first."""
+    return [F.length(F.col(column).cast("string")), F.col(column)]
+
+
 def first_passages(passages: DataFrame, top_k: int = TOP_K, order: str = "id") -> DataFrame:
     """Unscored retrieval for all crops at once: the first top_k passages in stored order.
 
     Crops compare without regard to case; the column crop_key holds the lower-cased name.
     """
     keyed = passages.withColumn("crop_key", F.lower("crop"))
-    stored = Window.partitionBy("crop_key").orderBy(order)
+    stored = Window.partitionBy("crop_key").orderBy(*_stored_order(order))
     return keyed.withColumn("rank", F.row_number().over(stored)).filter(F.col("rank") <= top_k)
 
 
 def first_passages_any(passages: DataFrame, top_k: int = TOP_K, order: str = "id") -> DataFrame:
     """Unscored retrieval without a crop: the first top_k passages of all."""
-    top = passages.orderBy(order).limit(top_k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(order)))
+    top = passages.orderBy(*_stored_order(order)).limit(top_k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*_stored_order(order))))
 
 
 def ranked_lists(passages: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -163,11 +164,23 @@ def _searcher(k: int, by_tag: bool, digits: int = SCORE_DIGITS, block: int = 256
     return search
 
 
+class QuerySize(NamedTuple):
+    rows: int
+    dimensions: int
+
+
+def query_size(queries: DataFrame) -> QuerySize:
+    """Count the queries; runs a job over the query side only."""
+    dimensions = F.coalesce(F.max(F.size("embedding")), F.lit(0))
+    return QuerySize(*queries.agg(F.count("*"), dimensions).first())
+
+
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,
     k: int,
     tagged: bool = False,
+    size: QuerySize | None = None,
     max_shipped: int = MAX_SHIPPED_VALUES,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
@@ -184,13 +197,11 @@ def nearest(
     extra = ["tag"] if tagged else []
     queries = queries.select("query_id", "embedding", *extra)
     vectors = vectors.select("id", "embedding", *extra)
-    size = queries.agg(
-        F.count("*").alias("rows"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")
-    ).first()
-    if size["rows"] * size["dim"] <= max_shipped:
+    size = size or query_size(queries)
+    if size.rows * size.dimensions <= max_shipped:
         hits = _scan(queries.toPandas(), vectors, k, tagged)
     else:
-        hits = _grid(queries, vectors, k, tagged, size["rows"], cell_rows)
+        hits = _grid(queries, vectors, k, tagged, size.rows, cell_rows)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -18,6 +18,9 @@ TABLES = (
 ).split()
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
 def _rows(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return Counter(tuple(row[i] for i in order) for row in rows), [names[i] for i in order]
@@ -34,6 +37,10 @@ def compare(spark: SparkSession, con, sf: str, name: str) -> tuple[bool, str]:
     names = [d[0] for d in cursor.description]
     want, want_names = _rows(names, cursor.fetchall())
     types = dict(df.dtypes)
+    sql_types = {d[0]: str(d[1]) for d in cursor.description}
+    odd = {c: (t, sql_types.get(c)) for c, t in types.items() if SQL_TYPES.get(t) != sql_types.get(c)}
+    if odd and got_names == want_names:
+        return False, f"types differ: {odd}"
     if got_names != want_names:
         return False, f"columns {got_names} != {want_names}"
     if got != want:

@@ -76,7 +76,12 @@ def saved_series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rain(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.weather_signals(star.latest_weather_documents(spark, sf))
+    """The weather signals as a saved table: its size is known when a join with it is planned, so
+    the large side need not shuffle by market."""
+    path = work_path(spark, "signals")
+    rows = signals.weather_signals(star.latest_weather_documents(spark, sf))
+    tables.write_table(rows, path)
+    return tables.read_table(spark, path)
 
 
 def text(df: DataFrame, *columns: str) -> DataFrame:

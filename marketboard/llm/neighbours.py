@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,16 @@ from pyspark.sql import functions as F
 
 from marketboard.llm.common import saved
 
-TREES = 24
+TREES = 48
 #: Vectors on which the trees are grown, at most, in the order of a hash.
 SAMPLE_ROWS = 50_000
 #: Indexed vectors in a leaf, about; and the least sampled ones, which bounds the forest.
-LEAF_ROWS = 48
+LEAF_ROWS = 24
 LEAF_SAMPLES = 6
-#: Indexed vectors, counted in each tree, that the leaves of one query hold at least.
-SEARCH_ROWS = 6000
+#: The leaves of one query hold so many indexed vectors, counted in each tree, times the root of all of them.
+SEARCH_FACTOR = 60
+#: Queries whose vectors are sent to all tasks at once.
+QUERY_BLOCK = 4096
 NEIGHBOURS = 10
 SEED = 11
 
@@ -37,44 +40,60 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def grown_tree(sample: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normals, thresholds and children of the nodes of one tree; the root is node 0, a child below zero is a leaf."""
+    random = np.random.default_rng(seed)
+    normals, thresholds, children = [], [], []
+    leaves = 0
+
+    def split(rows: np.ndarray) -> tuple[np.ndarray, np.float32, np.ndarray] | None:
+        for _ in range(3):
+            one, two = random.choice(len(rows), 2, replace=False)
+            normal = sample[rows[one]] - sample[rows[two]]
+            if np.any(normal):
+                normal = normal / np.linalg.norm(normal)
+                at = sample[rows] @ normal
+                threshold = np.float32(np.median(at))
+                right = at > threshold
+                return (normal, threshold, right) if right.any() and not right.all() else None
+        return None
+
+    # (rows, depth left, the parent node and side that lead here)
+    waiting = [(np.arange(len(sample)), depth, -1, 0)]
+    while waiting:
+        rows, left, parent, side = waiting.pop()
+        found = split(rows) if left > 0 and len(rows) >= 2 * LEAF_SAMPLES else None
+        if found or parent < 0:
+            # A root without a split gets one that sends everything to its first child.
+            normal, threshold, right = found or (np.zeros(sample.shape[1], np.float32), np.float32(0), None)
+            name = len(thresholds)
+            normals.append(normal)
+            thresholds.append(threshold)
+            children.append([-1, -1])
+            if found:
+                waiting += [(rows[right], left - 1, name, 1), (rows[~right], left - 1, name, 0)]
+            else:
+                leaves = 1
+        else:
+            leaves += 1
+            name = -leaves
+        if parent >= 0:
+            children[parent][side] = name
+    return np.array(normals, np.float32), np.array(thresholds, np.float32), np.array(children, np.int64)
+
+
 class Forest:
-    """Trees as flat arrays: for each node its normal, threshold and children; a leaf is a child below zero."""
-
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = SEED):
-        random = np.random.default_rng(seed)
-        self.normals: list[np.ndarray] = []
-        self.thresholds: list[float] = []
-        self.children: list[list[int]] = []
-        self.leaves = 0
-        self.roots = [self._grow(sample, np.arange(len(sample)), depth, random) for _ in range(trees)]
-        self.normals = np.array(self.normals, np.float32).reshape(len(self.thresholds), sample.shape[1])
-        self.thresholds = np.array(self.thresholds, np.float32)
-        self.children = np.array(self.children, np.int64).reshape(-1, 2)
-
-    def _grow(self, sample: np.ndarray, rows: np.ndarray, depth: int, random: np.random.Generator) -> int:
-        line = None
-        if depth > 0 and len(rows) >= 2 * LEAF_SAMPLES:
-            for _ in range(3):
-                one, two = random.choice(len(rows), 2, replace=False)
-                normal = sample[rows[one]] - sample[rows[two]]
-                if np.any(normal):
-                    line = normal / np.linalg.norm(normal)
-                    break
-        if line is None:
-            self.leaves += 1
-            return -self.leaves
-        at = sample[rows] @ line
-        threshold = np.float32(np.median(at))
-        right = at > threshold
-        if right.all() or not right.any():
-            self.leaves += 1
-            return -self.leaves
-        node = len(self.thresholds)
-        self.normals.append(line)
-        self.thresholds.append(threshold)
-        self.children.append([0, 0])
-        self.children[node] = [self._grow(sample, rows[side], depth - 1, random) for side in (~right, right)]
-        return node
+    """Trees in flat arrays: normals, thresholds and children of all nodes; leaves are numbered below zero."""
+
+    def __init__(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.normals = np.concatenate([t[0] for t in trees])
+        self.thresholds = np.concatenate([t[1] for t in trees])
+        self.roots = np.append(0, np.cumsum([len(t[1]) for t in trees]))[:-1].tolist()
+        moved, leaves = [], 0
+        for root, (_, _, children) in zip(self.roots, trees, strict=True):
+            moved.append(np.where(children >= 0, children + root, children - leaves))
+            leaves += int(-children.min())
+        self.children = np.concatenate(moved)
 
     def leaf_of(self, vectors: np.ndarray, root: int) -> np.ndarray:
         at = np.full(len(vectors), root)
@@ -104,8 +123,8 @@ class Forest:
         return found
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+def _matrix(column: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), width)
 
 
 def classes(vectors: DataFrame, key: str, vector: str, neighbours: int) -> DataFrame:
@@ -117,16 +136,43 @@ def classes(vectors: DataFrame, key: str, vector: str, neighbours: int) -> DataF
     return few.groupBy("code").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_set("id")).alias("ids"))
 
 
-def grown(indexed: DataFrame, rows: int) -> Forest | None:
-    """A forest on the vectors that come first by hash; they are its only part that is not of the whole table."""
-    sample = indexed.orderBy(F.xxhash64("code"), "code").limit(SAMPLE_ROWS).select("vector").toArrow().column(0).combine_chunks()
-    if not len(sample):
+def grown(indexed: DataFrame, rows: int, trees: int = TREES) -> Forest | None:
+    """A forest on the vectors that come first by hash, the only step that does not see the whole table.
+
+    Each tree is grown in a task of its own from the sample.
+    """
+    spark = indexed.sparkSession
+    sample = indexed.orderBy(F.xxhash64("code"), "code").limit(SAMPLE_ROWS).select(F.col("vector").cast("array<float>")).toArrow()
+    column = sample.column(0).combine_chunks()
+    if not len(column):
         return None
-    widths = set(np.diff(sample.offsets.to_numpy()))
+    widths = set(np.diff(column.offsets.to_numpy()))
     if len(widths) > 1:
         raise ValueError(f"vectors have different dimensions: {sorted(widths)}")
-    points = _matrix(sample, int(widths.pop())).astype(np.float32)
-    return Forest(points, max(0, int(np.ceil(np.log2(max(rows, 1) / LEAF_ROWS)))))
+    shared = spark.sparkContext.broadcast(_matrix(column, int(widths.pop()), np.float32))
+    depth = max(0, int(np.ceil(np.log2(max(rows, 1) / LEAF_ROWS))))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree in batch.column(0).to_pylist():
+                parts = grown_tree(shared.value, depth, SEED + tree)
+                yield pa.RecordBatch.from_arrays([pa.array([tree]), *(pa.array([p.tobytes()]) for p in parts)], ["tree", "a", "b", "c"])
+
+    made = spark.range(trees, numPartitions=trees).mapInArrow(grow, "tree long, a binary, b binary, c binary").collect()
+    width = shared.value.shape[1]
+    return Forest(
+        [
+            (np.frombuffer(r["a"], np.float32).reshape(-1, width), np.frombuffer(r["b"], np.float32), np.frombuffer(r["c"], np.int64).reshape(-1, 2))
+            for r in sorted(made, key=lambda r: r["tree"])
+        ]
+    )
+
+
+def _distance(a: Column, b: Column, width: int) -> Column:
+    squares = [(a[i] - b[i]) * (a[i] - b[i]) for i in range(width)]
+    while len(squares) > 1:
+        squares = [sum(squares[i + 1 : i + 2], squares[i]) for i in range(0, len(squares), 2)]
+    return F.sqrt(squares[0])
 
 
 def nearest(
@@ -135,7 +181,7 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     neighbours: int = NEIGHBOURS,
-    search_rows: int = SEARCH_ROWS,
+    search_factor: float = SEARCH_FACTOR,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest other vectors that the forest finds for every row that is a query.
 
@@ -148,7 +194,9 @@ def nearest(
     asked = vectors.filter(queries & usable(F.col(vector)) & F.col(key).isNotNull())
     asked = asked.select(F.col(key).cast("long").alias("query_id"), F.xxhash64(F.col(vector).cast("array<double>")).alias("ask")).distinct()
     asked = saved(asked, "queries")
-    forest = grown(indexed, indexed.count())
+    rows = indexed.count()
+    search_rows = search_factor * rows**0.5
+    forest = grown(indexed, rows)
     if forest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(forest)
@@ -157,7 +205,7 @@ def nearest(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for batch in batches:
-            points = _matrix(batch.column(1), width).astype(np.float32)
+            points = _matrix(batch.column(1), width, np.float32)
             for root in trees.roots:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.leaf_of(points, root))], ["code", "leaf"])
 
@@ -168,7 +216,7 @@ def nearest(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for batch in batches:
-            points = _matrix(batch.column(1), width).astype(np.float32)
+            points = _matrix(batch.column(1), width, np.float32)
             found = [trees.search(p, sizes, search_rows) for p in points]
             codes = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.concatenate(found))], ["ask", "leaf"])
@@ -177,19 +225,19 @@ def nearest(
     # The walk is work for each query, so queries are dealt out to tasks anew.
     points = saved(points.repartition(spark.sparkContext.defaultParallelism, "ask"), "points")
     pairs = points.mapInArrow(search, "ask long, leaf long").join(places, "leaf").select("ask", "code").distinct()
-    met = pairs.join(indexed.select("code", "vector", F.col("ids")[0].alias("least")), "code")
-    met = met.join(points.select("ask", F.col("vector").alias("point")), "ask")
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = _matrix(batch.column(3), width) - _matrix(batch.column(4), width)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.sqrt(np.einsum("ij,ij->i", apart, apart)))], ["ask", "code", "least", "score"]
-            )
-
-    scored = met.select("ask", "code", "least", "vector", "point").mapInArrow(ranked, "ask long, code long, least long, score double")
+    # By hash, so blocks differ in size; on average they are half of what is sent at most.
+    blocks = -(-2 * points.count() // QUERY_BLOCK)
+    block = F.pmod(F.xxhash64("ask"), F.lit(max(1, blocks)))
     order = Window.partitionBy("ask").orderBy("score", "least")
-    best = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= neighbours + 2)
+    ranked = []
+    met = pairs.join(indexed.select("code", "vector", F.col("ids")[0].alias("least")), "code")
+    if blocks > 1:
+        met = saved(met, "met")
+    for number in range(max(1, blocks)):
+        some = F.broadcast(points.filter(block == number).select("ask", F.col("vector").alias("point")))
+        scored = met.join(some, "ask").select("ask", "code", "least", _distance(F.col("vector"), F.col("point"), width).alias("score"))
+        ranked.append(scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= neighbours + 2))
+    best = reduce(DataFrame.union, ranked)
     best = best.join(indexed.select("code", "ids"), "code")
     answers = asked.join(best, "ask").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("query_id != vec_id")
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")

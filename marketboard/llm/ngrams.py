@@ -23,6 +23,7 @@ from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -192,15 +193,19 @@ class Trie:
         m = int(np.frombuffer(data, np.int64, 1, at)[0])
         return cls(tokens, counts, pointers, contexts, np.frombuffer(data, np.uint8, m, at + 8))
 
-    def look_up(self, token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the tokens (0: not in training) and pair terms (NaN: the pair is not in training)."""
+    def places(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of tokens (-1: not in the trie) and their counts."""
         at = self.tokens.find(token)
-        count = np.where(at >= 0, self.counts[np.maximum(at, 0)], 0) if len(self.counts) else np.zeros(len(token), np.int64)
-        term = np.full(len(token), np.nan)
-        known = np.flatnonzero(at >= 0)
-        pair = self.contexts.find((at[known].astype(np.uint64) << np.uint64(KEY_BITS)) | context[known])
-        term[known[pair >= 0]] = restored(self.codes[pair[pair >= 0]])
-        return count, term
+        if not len(self.counts):
+            return at, np.zeros(len(token), np.int64)
+        return at, np.where(at >= 0, self.counts[np.maximum(at, 0)], 0)
+
+    def terms(self, place: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs, of a token's place and a context, the trie has, and their terms."""
+        known = np.flatnonzero(place >= 0)
+        pair = self.contexts.find((place[known].astype(np.uint64) << np.uint64(KEY_BITS)) | context[known])
+        there = pair >= 0
+        return known[there], restored(self.codes[pair[there]])
 
     def followers(self, token: int) -> int:
         """In how many contexts a token was seen."""
@@ -252,7 +257,7 @@ def packed(token: np.ndarray, context: np.ndarray, doc: np.ndarray, n: np.ndarra
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
-    """token, context, doc, n of the rows, and whether each document of the slice is learnt from."""
+    """The tokens and their rows' number, context, doc, n of the rows, and whether each document is learnt from."""
     runs, rows, wide, many, docs = np.frombuffer(data, np.int64, 5).tolist()
     at = 40
     tokens = np.frombuffer(data, np.uint64, runs, at)
@@ -267,7 +272,7 @@ def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     n = np.frombuffer(data, np.dtype(f"u{many}"), rows, at).astype(np.int64)
     at += rows * many
     train = np.unpackbits(np.frombuffer(data, np.uint8, -1, at), count=docs).astype(bool)
-    return np.repeat(tokens, sizes), context.reshape(-1).view("<u8").astype(np.uint64), doc, n, train
+    return tokens, sizes, context.reshape(-1).view("<u8"), doc, n, train
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -350,6 +355,7 @@ def scored(
                         pa.array(np.full(size, number, np.int64)),
                         pa.array(blobs, pa.binary()),
                         pa.nulls(size, pa_kind),
+                        pa.nulls(size, pa.int32()),
                         pa.nulls(size, pa.bool_()),
                         pa.nulls(size, pa.int64()),
                     ],
@@ -359,9 +365,10 @@ def scored(
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(docs, (number >> 8) % shards, np.int32)),
-                        pa.array(number + np.arange(docs)),
+                        pa.array(np.full(docs, number, np.int64)),
                         pa.nulls(docs, pa.binary()),
                         batch.column("key").slice(begin, docs),
+                        pa.array(np.arange(docs, dtype=np.int32)),
                         pa.array(held),
                         pa.array(sizes),
                     ],
@@ -369,7 +376,7 @@ def scored(
                 )
                 number += docs
 
-    columns = ["shard", "row", "blob", "key", "held", "n_tokens"]
+    columns = ["shard", "row", "blob", "key", "place", "held", "n_tokens"]
     pa_kind = documents.select(key).limit(0).toArrow().schema.field(0).type
     # Contexts are words and the start, so a word's count as a context is its count; that of the start is the texts'.
     texts_learnt = hot_counts.get(_HASH_END) or _count_of(counts, _HASH_END)
@@ -378,25 +385,37 @@ def scored(
         """Shards come one after another; of each, the blobs are kept in a file until all its pairs are counted."""
         current, spool = None, None
         for batch in batches:
-            for shard, row, blob, k, held, size in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if blob is None:
-                    yield _document_row(row, k, held, size, pa_kind)
-                    continue
-                if shard != current:
+            packs = batch.column("blob").is_valid()
+            yield batch.filter(pa.compute.invert(packs)).drop_columns(["shard"])
+            batch = batch.filter(packs)
+            for shard, row, blob in zip(*(batch.column(c) for c in columns[:3]), strict=True):
+                if shard.as_py() != current:
                     if spool:
                         yield from spool.answers()
-                    current, spool = shard, _Spool(chance_of, prior, hot_counts, texts_learnt, pa_kind)
-                spool.add(row, blob)
+                    current, spool = shard.as_py(), _Spool(chance_of, prior, hot_counts, texts_learnt, pa_kind)
+                spool.add(row.as_py(), blob.as_py())
         if spool:
             yield from spool.answers()
 
-    made = rows.mapInArrow(pack, f"shard int, row long, blob binary, key {kind}, held boolean, n_tokens long")
-    made = made.repartition(shards, "shard").sortWithinPartitions("shard")
-    sums = made.mapInArrow(score, f"row long, key {kind}, held boolean, n_tokens long, n_known long, base double, model double")
-    sums = sums.groupBy("row").agg(
-        F.first("key", ignorenulls=True).alias("key"), F.max("held").alias("held"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("model").alias("model"),
-    )
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices come one after another: their documents, and the sums of each shard for them."""
+        current, held = None, None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns[1:]), strict=True):
+                if row[0] != current:
+                    if held:
+                        yield held.totals()
+                    current, held = row[0], _Slice(pa_kind)
+                held.add(*row[1:])
+        if held:
+            yield held.totals()
+
+    carried = f"row long, blob binary, key {kind}, place int, held boolean, n_tokens long"
+    made = rows.mapInArrow(pack, f"shard int, {carried}")
+    made = made.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(score, carried)
+    # Slices have a bounded size, so all that is said of one meets in a task.
+    made = made.repartition("row").sortWithinPartitions("row")
+    sums = made.mapInArrow(gathered, f"key {kind}, held boolean, n_tokens long, n_known long, base double, model double")
     return sums.select(
         F.col("key").alias(key),
         F.col("held").alias("held_out"),
@@ -414,11 +433,33 @@ def _count_of(counts: DataFrame, token: int) -> int:
     return row["n"] if row else 0
 
 
-def _document_row(row: int, key, held: bool, size: int, kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([row]), pa.array([key], kind), pa.array([held]), pa.array([size]), pa.array([0]), pa.array([0.0]), pa.array([0.0])],
-        ["row", "key", "held", "n_tokens", "n_known", "base", "model"],
-    )
+class _Slice:
+    """The documents of one slice and sums over the shards for them."""
+
+    def __init__(self, kind: pa.DataType):
+        self.kind, self.documents, self.sums = kind, [], []
+
+    def add(self, blob: bytes | None, key, place: int | None, held: bool | None, n_tokens: int | None) -> None:
+        if blob is None:
+            self.documents.append((place, key, held, n_tokens))
+            return
+        n = len(blob) // SUMS.itemsize
+        self.sums.append(np.frombuffer(blob, SUMS, n))
+
+    def totals(self) -> pa.RecordBatch:
+        self.documents.sort(key=lambda d: d[0])
+        _, keys, held, sizes = zip(*self.documents, strict=True)
+        n = len(keys)
+        rows = np.concatenate(self.sums) if self.sums else np.zeros(0, SUMS)
+        known, base, model = (np.bincount(rows["doc"], rows[c], n) for c in ("known", "base", "model"))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, self.kind), pa.array(held), pa.array(sizes), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(model)],
+            ["key", "held", "n_tokens", "n_known", "base", "model"],
+        )
+
+
+#: What a shard says of a document.
+SUMS = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("model", "<f8")])
 
 
 class _Spool:
@@ -438,9 +479,9 @@ class _Spool:
     def add(self, row: int, blob: bytes) -> None:
         self.file.write(blob)
         self.blobs.append((row, len(blob)))
-        token, context, doc, n, train = unpacked(blob)
+        tokens, sizes, context, doc, n, train = unpacked(blob)
         learnt = train[doc]
-        self.waiting.append(_counted(token[learnt], context[learnt], n[learnt]))
+        self.waiting.append(_summed(np.repeat(tokens, sizes)[learnt], context[learnt], n[learnt]))
         self.waiting_rows += len(self.waiting[-1][0])
         if self.waiting_rows > self.MERGE_ROWS:
             self._merge()
@@ -465,36 +506,45 @@ class _Spool:
         self.file.close()
 
     def _answer(self, trie: Trie, row: int, blob: bytes) -> pa.RecordBatch:
-        token, context, doc, n, train = unpacked(blob)
-        count, term = trie.look_up(token, context)
+        tokens, sizes, context, doc, n, train = unpacked(blob)
+        place, count = trie.places(tokens)
         if len(self.hot):
             # Tokens that are dealt out by context have the count of the whole corpus, also where no pair was learnt.
-            at = np.minimum(np.searchsorted(self.hot, token), len(self.hot) - 1)
-            count = np.where(self.hot[at] == token, self.hot_totals[at], count)
-        chance = self.chance_of(count)
-        term = np.where(np.isnan(term), np.log10(self.prior * chance), term)
+            at = np.minimum(np.searchsorted(self.hot, tokens), len(self.hot) - 1)
+            count = np.where(self.hot[at] == tokens, self.hot_totals[at], count)
+        unseen = np.log10(self.prior * self.chance_of(count))
         # What each token adds as a context, by its own count, and the start of each text by the number of texts.
-        context_count = np.where(token == np.uint64(_HASH_END), self.texts_learnt, count)
-        term -= np.log10(context_count + self.prior)
-        size = len(train)
-        known = np.bincount(doc, n * (count > 0), size).astype(np.int64)
-        base = np.bincount(doc, n * np.log10(count + 0.5), size)
-        model = np.bincount(doc, n * term, size)
-        some = np.unique(doc)
-        empty = len(some)
+        follow = np.log10(np.where(tokens == np.uint64(_HASH_END), self.texts_learnt, count) + self.prior)
+        run = np.repeat(np.arange(len(tokens)), sizes)
+        term = unseen[run]
+        pairs, logs = trie.terms(place[run], context)
+        term[pairs] = logs
+        term -= follow[run]
+        docs = len(train)
+        sums = np.zeros(docs, SUMS)
+        sums["doc"] = np.arange(docs)
+        sums["known"] = np.bincount(doc, n * (count > 0)[run], docs)
+        sums["base"] = np.bincount(doc, n * np.log10(count + 0.5)[run], docs)
+        sums["model"] = np.bincount(doc, n * term, docs)
+        sums = sums[np.bincount(doc, minlength=docs) > 0]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(row + some), pa.nulls(empty, self.kind), pa.nulls(empty, pa.bool_()), pa.array(np.zeros(empty, np.int64)),
-                pa.array(known[some]), pa.array(base[some]), pa.array(model[some]),
+                pa.array([row]), pa.array([sums.tobytes()], pa.binary()), pa.nulls(1, self.kind), pa.nulls(1, pa.int32()),
+                pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()),
             ],
-            ["row", "key", "held", "n_tokens", "n_known", "base", "model"],
+            ["row", "blob", "key", "place", "held", "n_tokens"],
         )
 
 
 def _counted(token: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in order, with their sums."""
     order = np.lexsort((context, token))
-    token, context, n = token[order], context[order], n[order]
-    new = np.append(True, (token[1:] != token[:-1]) | (context[1:] != context[:-1])) if len(token) else np.zeros(0, bool)
-    begins = np.flatnonzero(new)
-    return token[begins], context[begins], np.add.reduceat(n, begins) if len(begins) else n
+    return _summed(token[order], context[order], n[order])
+
+
+def _summed(token: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal neighbours become one pair with their sum."""
+    if not len(token):
+        return token, context, n
+    begins = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (context[1:] != context[:-1])))
+    return token[begins], context[begins], np.add.reduceat(n, begins)

@@ -105,8 +105,8 @@ class Forest:
             inner = inner[at[inner] >= 0]
         return at
 
-    def search(self, vector: np.ndarray, sizes: dict[int, int], enough: int) -> list[int]:
-        """Leaves in the order of the shared queue until they hold enough rows."""
+    def search(self, vector: np.ndarray, sizes: np.ndarray, enough: float) -> list[int]:
+        """Leaves in the order of the shared queue until they hold enough rows; sizes: by the leaf's number."""
         margins = self.normals @ vector - self.thresholds
         queue = [(-np.inf, root) for root in self.roots]
         heapq.heapify(queue)
@@ -119,7 +119,7 @@ class Forest:
                 heapq.heappush(queue, (max(missed, abs(margin)), int(far)))
                 at = int(near)
             found.append(at)
-            held += sizes.get(at, 0)
+            held += int(sizes[-at])
         return found
 
 
@@ -149,7 +149,6 @@ def grown(indexed: DataFrame, rows: int, trees: int = TREES) -> Forest | None:
     widths = set(np.diff(column.offsets.to_numpy()))
     if len(widths) > 1:
         raise ValueError(f"vectors have different dimensions: {sorted(widths)}")
-    shared = spark.sparkContext.broadcast(_matrix(column, int(widths.pop()), np.float32))
     depth = max(0, int(np.ceil(np.log2(max(rows, 1) / LEAF_ROWS))))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +157,21 @@ def grown(indexed: DataFrame, rows: int, trees: int = TREES) -> Forest | None:
                 parts = grown_tree(shared.value, depth, SEED + tree)
                 yield pa.RecordBatch.from_arrays([pa.array([tree]), *(pa.array([p.tobytes()]) for p in parts)], ["tree", "a", "b", "c"])
 
-    made = spark.range(trees, numPartitions=trees).mapInArrow(grow, "tree long, a binary, b binary, c binary").collect()
-    width = shared.value.shape[1]
+    width = int(widths.pop())
+    shared = spark.sparkContext.broadcast(_matrix(column, width, np.float32))
+    del sample, column
+    # At most one leaf for LEAF_SAMPLES sampled vectors in each tree.
+    made = spark.range(trees, numPartitions=trees).mapInArrow(grow, "tree long, a binary, b binary, c binary").toArrow().sort_by("tree")
+    shared.destroy()
+    rows = zip(*(made.column(c) for c in "abc"), strict=True)
     return Forest(
         [
-            (np.frombuffer(r["a"], np.float32).reshape(-1, width), np.frombuffer(r["b"], np.float32), np.frombuffer(r["c"], np.int64).reshape(-1, 2))
-            for r in sorted(made, key=lambda r: r["tree"])
+            (
+                np.frombuffer(a.as_buffer(), np.float32).reshape(-1, width),
+                np.frombuffer(b.as_buffer(), np.float32),
+                np.frombuffer(c.as_buffer(), np.int64).reshape(-1, 2),
+            )
+            for a, b, c in rows
         ]
     )
 
@@ -211,7 +219,10 @@ def nearest(
 
     places = saved(indexed.select("code", "vector").mapInArrow(index, "code long, leaf long"), "leaves")
     # As many rows as the forest has leaves, which the sample bounds.
-    sizes = {r["leaf"]: r["n"] for r in places.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    counted = places.groupBy("leaf").agg(F.count("*").alias("n")).toArrow()
+    sizes = np.zeros(1 - int(forest.children.min(initial=-1)), np.int64)
+    sizes[-counted.column("leaf").to_numpy()] = counted.column("n").to_numpy()
+    del counted, forest
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value

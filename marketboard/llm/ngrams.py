@@ -6,8 +6,8 @@ logarithm parts into a term of the pair and its token and a term of the context,
 pairs of one token meet in one shard, whatever their context, and each shard returns sums by document.
 
 A shard is a trie of two levels, tokens and, under each token, the contexts that it followed. Both levels are Elias-Fano
-sequences; the second is made monotone by the token's place, so a context is found by successor search relative to
-its token. Pointers from the first level to the second are a third such sequence, and the smoothed probabilities of the
+sequences; contexts are numbered relative to their token, so a context is found by successor search in its token's
+range. Pointers from the first level to the second are a third such sequence, and the smoothed probabilities of the
 pairs are quantised to a byte. The levels lie in one file that is mapped into memory.
 
 Shards are as many as keep each to a bounded number of pairs. Tokens so frequent that they would fill a shard are dealt out by
@@ -39,6 +39,8 @@ SHARD_TOKENS = 2_000_000
 LEVELS = 255
 LOWEST, HIGHEST = 0.0, 10.0
 KEY_BITS = 40
+#: Bits that tell contexts apart within one unit: an unseen context passes for a seen one once in 2 ** UNIT_BITS.
+UNIT_BITS = 24
 #: Text that a task packs at once.
 SLICE_BYTES = 6 << 20
 
@@ -119,7 +121,7 @@ class EliasFano:
         return np.where(high > 0, place - (high - 1), 0)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Places of the wanted values, -1 where the successor is another value. Values are distinct."""
+        """Places of the wanted values, the first of equal ones; -1 where the successor is another value."""
         found = np.full(len(wanted), -1, np.int64)
         if not self.n:
             return found
@@ -157,6 +159,13 @@ def restored(codes: np.ndarray) -> np.ndarray:
     return codes * ((HIGHEST - LOWEST) / LEVELS) + LOWEST
 
 
+def relative(begin: np.ndarray, size: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Contexts as numbers relative to their token: spread evenly over as many units as the token has contexts, after the
+    units of the tokens before it. So the sequence is monotone and dense everywhere, however many contexts a token has."""
+    within = (context * size.astype(np.uint64)) >> np.uint64(KEY_BITS - UNIT_BITS)
+    return (begin.astype(np.uint64) << np.uint64(UNIT_BITS)) + within
+
+
 class Trie:
     """tokens (hashes), counts, pointers to their contexts, contexts relative to their token, quantised pair terms."""
 
@@ -174,11 +183,10 @@ class Trie:
         totals = np.add.reduceat(n, begins) if len(n) else np.zeros(0, np.int64)
         totals = np.array([counts.get(t, c) for t, c in zip(tokens.tolist(), totals.tolist(), strict=True)], np.int64)
         sizes = np.diff(np.append(begins, len(token)))
-        place = np.repeat(np.arange(len(tokens), dtype=np.uint64), sizes)
         terms = np.log10(n + prior * chance_of(np.repeat(totals, sizes)))
         parts = [EliasFano.of(tokens).to_bytes(), np.array([len(totals)], np.int64).tobytes(), totals.tobytes()]
         parts.append(EliasFano.of(np.append(begins, len(token))).to_bytes())
-        parts.append(EliasFano.of((place << np.uint64(KEY_BITS)) | context).to_bytes())
+        parts.append(EliasFano.of(relative(np.repeat(begins, sizes), np.repeat(sizes, sizes), context)).to_bytes())
         codes = quantised(terms)
         parts += [np.array([len(codes)], np.int64).tobytes(), codes.tobytes()]
         return b"".join(parts)
@@ -200,10 +208,12 @@ class Trie:
             return at, np.zeros(len(token), np.int64)
         return at, np.where(at >= 0, self.counts[np.maximum(at, 0)], 0)
 
-    def terms(self, place: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the pairs, of a token's place and a context, the trie has, and their terms."""
-        known = np.flatnonzero(place >= 0)
-        pair = self.contexts.find((place[known].astype(np.uint64) << np.uint64(KEY_BITS)) | context[known])
+    def terms(self, place: np.ndarray, run: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs the trie has, and their terms. place: of tokens; run: which of these tokens each context goes with."""
+        begin, end = (self.pointers.access(np.maximum(place, 0) + i).astype(np.int64) for i in (0, 1))
+        known = np.flatnonzero(place[run] >= 0)
+        run = run[known]
+        pair = self.contexts.find(relative(begin[run], (end - begin)[run], context[known]))
         there = pair >= 0
         return known[there], restored(self.codes[pair[there]])
 
@@ -517,7 +527,7 @@ class _Spool:
         follow = np.log10(np.where(tokens == np.uint64(_HASH_END), self.texts_learnt, count) + self.prior)
         run = np.repeat(np.arange(len(tokens)), sizes)
         term = unseen[run]
-        pairs, logs = trie.terms(place[run], context)
+        pairs, logs = trie.terms(place, run, context)
         term[pairs] = logs
         term -= follow[run]
         docs = len(train)

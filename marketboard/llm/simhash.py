@@ -10,6 +10,7 @@ come from candidate counts estimated from the bits of all classes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 from math import comb
 
@@ -33,7 +34,8 @@ BUCKET_ROWS = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 #: Rounds in which crowded buckets give way to their smallest member before pairs are formed.
-LEADER_ROUNDS = 8
+LEADER_ROUNDS = 4
+WIDE_BUCKET_ROWS = 256
 
 # ---- four words of 64 bits tell a similarity of 0.8 from a lower one ----------------------------
 WORDS = 4
@@ -208,8 +210,8 @@ def _close(a: str, b: str, words: int, distance: int) -> Column:
     return sum(apart[1:], apart[0]) <= distance
 
 
-def _crowded(index: DataFrame) -> DataFrame:
-    return index.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS).select("part", "key")
+def _crowded(index: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
+    return index.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > rows).select("part", "key")
 
 
 def _met(probes: DataFrame, index: DataFrame, words: int, distance: int) -> DataFrame:
@@ -252,23 +254,26 @@ def wide_links(classes: DataFrame, words: int = WORDS, distance: int = WIDE_DIST
     """
     plan = search_plan(classes, words, word_distance)
     index = saved(_parts(classes, plan, False), "index")
-    linked = []
+    where = ["part", "key"]
+    linked, settled, busy = [], [], index
     for _ in range(LEADER_ROUNDS):
-        crowded = saved(_crowded(index), "crowded")
+        # Only crowded buckets go on to an election; the others keep their members.
+        crowded = saved(_crowded(busy, WIDE_BUCKET_ROWS), "crowded")
+        settled.append(busy.join(crowded, where, "left_anti").select("node", "fp", *where))
         if crowded.isEmpty():
+            busy = None
             break
-        full = index.join(crowded, ["part", "key"])
-        leaders = full.groupBy("part", "key").agg(F.min(F.struct("node", "fp")).alias("head"))
-        leaders = leaders.select("part", "key", F.col("head.node").alias("v"), F.col("head.fp").alias("asked"))
-        joins = index.join(leaders, ["part", "key"], "left")
+        full = saved(busy.join(crowded, where, "left_semi").select("node", "fp", *where), "full")
+        leaders = full.groupBy(*where).agg(F.min(F.struct("node", "fp")).alias("head"))
+        leaders = leaders.select(*where, F.col("head.node").alias("v"), F.col("head.fp").alias("asked"))
         close = _close("asked", "fp", words, distance) & (F.col("v") != F.col("node"))
-        joins = saved(joins.withColumn("leaves", F.coalesce(close, F.lit(False))), "elected")
-        linked.append(joins.filter("leaves").select(F.col("node").alias("u"), "v").distinct())
-        index = joins.filter("not leaves").select("node", "fp", "part", "key")
-    pairs = _met(_parts(classes, plan, True), index, words, distance)
-    for more in linked:
-        pairs = pairs.union(more)
-    return pairs
+        voted = saved(full.join(leaders, where).withColumn("leaves", close), "elected")
+        linked.append(voted.filter("leaves").select(F.col("node").alias("u"), "v").distinct())
+        busy = voted.filter("not leaves").select("node", "fp", *where)
+    if busy is not None:
+        settled.append(busy)
+    index = reduce(DataFrame.union, settled)
+    return reduce(DataFrame.union, [_met(_parts(classes, plan, True), index, words, distance), *linked])
 
 
 def grouped(prints: DataFrame, key: str, linker) -> DataFrame:
@@ -307,7 +312,7 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
 
     @F.arrow_udf("array<long>")
     def words_of(column: pa.Array) -> pa.Array:
-        rows = [fingerprint(x or b"", SHINGLE_WORDS, word_count) for x in column.to_pylist()]
+        rows = [fingerprint(x.as_py() or b"", SHINGLE_WORDS, word_count) for x in column]
         flat = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
         return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, word_count, dtype=np.int32), flat)
 

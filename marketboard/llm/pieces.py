@@ -18,10 +18,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketboard.llm.common import per_text
+from marketboard.llm.common import per_text, slices
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
+#: Text whose words are merged together when ids themselves are returned.
+SLICE_BYTES = 2 << 20
 NO_RANK = np.int32(1 << 30)
 _WORDS = re.compile(" +[^ ]*")
 
@@ -303,8 +305,15 @@ def encoded(documents: DataFrame, text: str = "text", ids: str = "token_ids", mo
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
         known = vocabulary(model)
-        texts = [(x or b"").decode("utf-8", "replace") for x in column.to_pylist()]
-        return pa.array([with_ends(x, known).astype(np.int32) for x in encode_all(texts, known)], pa.list_(pa.int32()))
+        texts = [x or b"" for x in column.to_pylist()]
+        flat, sizes = [np.zeros(0, np.int32)], []
+        for begin, end in slices(texts, SLICE_BYTES):
+            made = encode_all([t.decode("utf-8", "replace") for t in texts[begin:end]], known)
+            made = [with_ends(x, known).astype(np.int32) for x in made]
+            sizes += [len(x) for x in made]
+            flat.append(np.concatenate(made))
+        ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
 
     return documents.withColumn(ids, run(F.col(text).cast("binary")))
 

@@ -9,6 +9,7 @@ large the corpus is, so only they reach the driver.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -61,26 +62,28 @@ def repeat_words(words: list[bytes]) -> int:
     return covered
 
 
-def counts_of(texts: list[bytes]) -> dict[str, np.ndarray]:
-    rows = np.zeros((len(texts), 10), np.int64)
-    for row, text in zip(rows, texts, strict=True):
-        words = text.split()
-        lines = [x for x in text.split(b"\n") if x.strip()]
-        size = len(text)
-        row[:] = (
-            len(words),
-            len(b"".join(words).decode("utf-8", "replace")),
-            size - len(text.translate(None, SYMBOLS)),
-            len(lines) - len(set(lines)),
-            repeat_words(words),
-            len(lines),
-            size - len(text.translate(None, _UPPER)),
-            size - len(text.translate(None, _LETTERS)),
-            size - len(text.translate(None, _OTHER)),
-            sum(map(STOP_WORDS.__contains__, text.lower().split())),
-        )
+def counts_of(texts: Iterable[bytes]) -> dict[str, np.ndarray]:
+    rows = [_counts(text) for text in texts]
     names = [part.split()[0] for part in f"{COUNTS}, {SHAPE}".split(", ")]
-    return dict(zip(names, rows.T, strict=True))
+    return dict(zip(names, np.array(rows, np.int64).reshape(-1, len(names)).T, strict=True))
+
+
+def _counts(text: bytes) -> tuple[int, ...]:
+    words = text.split()
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    size = len(text)
+    return (
+        len(words),
+        len(b"".join(words).decode("utf-8", "replace")),
+        size - len(text.translate(None, SYMBOLS)),
+        len(lines) - len(set(lines)),
+        repeat_words(words),
+        len(lines),
+        size - len(text.translate(None, _UPPER)),
+        size - len(text.translate(None, _LETTERS)),
+        size - len(text.translate(None, _OTHER)),
+        sum(map(STOP_WORDS.__contains__, text.lower().split())),
+    )
 
 
 def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -197,7 +200,7 @@ def good_documents(documents: DataFrame, text: str = "text", keep_from: float =
 
     @F.arrow_udf("long")
     def code(column: pa.Array) -> pa.Array:
-        counts = counts_of([x or b"" for x in column.to_pylist()])
+        counts = counts_of(x.as_py() or b"" for x in column)
         return pa.array(np.where(base_failed(counts), -1, pattern_codes(votes(counts))))
 
     plain = F.coalesce(F.col(text), F.lit("")).cast("binary")

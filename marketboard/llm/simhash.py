@@ -35,7 +35,8 @@ BUCKET_ROWS = 64
 BLOCK = 1 << 15
 #: Rounds in which crowded buckets give way to their smallest member before pairs are formed.
 LEADER_ROUNDS = 4
-WIDE_BUCKET_ROWS = 256
+#: Without the proof by neighbours even small buckets elect, else a large group of near copies would give pairs by its square.
+WIDE_BUCKET_ROWS = 8
 
 # ---- four words of 64 bits tell a similarity of 0.8 from a lower one ----------------------------
 WORDS = 4
@@ -248,9 +249,10 @@ def exact_links(classes: DataFrame, distance: int = 2) -> DataFrame:
 def wide_links(classes: DataFrame, words: int = WORDS, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE) -> DataFrame:
     """u, v: pairs within a distance over all words, found by any part of any word.
 
-    Pairs within word_distance in some word are never missed; more distant ones are found with the chance that one of
-    all parts agrees. A crowded bucket elects its smallest member, members close to it are linked to it and leave, and
-    the rest elect again; after some rounds what is left meets in pairs.
+    Pairs within word_distance in some word share a bucket; more distant ones do with the chance that one of all parts
+    agrees. A crowded bucket elects its smallest member, members close to it are linked to it and leave, and the rest
+    elect again; after some rounds what is left meets in pairs. So a member that left meets the others of the bucket only
+    through its leader, or in other buckets.
     """
     plan = search_plan(classes, words, word_distance)
     index = saved(_parts(classes, plan, False), "index")

@@ -24,9 +24,8 @@ def normalise_crops_by_table(raw: DataFrame, aliases: DataFrame) -> DataFrame:
     Plain left join: Spark broadcasts the alias table if it measures small and otherwise shuffles,
     splitting hot names by its skew-join rule.
     """
-    lookup = aliases.select(
-        F.lower("alias").alias("_alias"), F.col("name").alias("_name")
-    ).dropDuplicates(["_alias"])
+    # Spellings of one alias that disagree: the smallest name, whatever the order of the rows.
+    lookup = aliases.groupBy(F.lower("alias").alias("_alias")).agg(F.min("name").alias("_name"))
     joined = raw.join(lookup, F.lower(raw["crop"]) == lookup["_alias"], "left")
     return joined.withColumn("crop", F.coalesce("_name", F.initcap("crop"))).drop("_alias", "_name")
 

@@ -51,7 +51,7 @@ def train(
     whole = Window.partitionBy(*keys)
     x, y, line = F.col("_x"), F.col("y"), F.col("_line")
     rows = (
-        long_enough(train_part(series, train_rows), min(min_rows, train_rows), keys)
+        long_enough(train_part(series, train_rows, keys), min(min_rows, train_rows), keys)
         .withColumn("origin", F.min("ds").over(whole))
         .withColumn("_x", F.datediff("ds", "origin").cast("double"))
         .withColumn("slope", F.coalesce(F.regr_slope(y, x).over(whole), F.lit(0.0)))
@@ -123,7 +123,7 @@ def evaluate(
     the model is evaluated there directly, so no forecast rows are made and joined. A model without
     such rows gets the no-pairs error in both columns.
     """
-    held_out = test_part(series, train_rows).join(models, list(keys))
+    held_out = test_part(series, train_rows, keys).join(models, list(keys))
     pairs = held_out.withColumn("yhat", yhat(F.date_add("last_train", F.col("pos"))))
     return models.select(*keys).join(error_metrics(pairs, keys), list(keys), "left").withColumns(
         {c: F.coalesce(c, F.lit(NO_PAIRS_ERROR)) for c in ("mape", "mae")}
@@ -140,7 +140,7 @@ def backtest(
 
     The horizon is the last of these dates, so every one of them has its forecast.
     """
-    held_out = test_part(series, train_rows).join(models, list(keys))
+    held_out = test_part(series, train_rows, keys).join(models, list(keys))
     value = held_out.withColumn("yhat", yhat(F.col("ds")))
     return value.select(
         *keys,

@@ -26,14 +26,18 @@ def long_enough(
     return series.withColumn("_size", size).filter(F.col("_size") >= min_rows).drop("_size")
 
 
-def train_part(series: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def train_part(
+    series: DataFrame, train_rows: int = TRAIN_ROWS, keys: Sequence[str] = SERIES
+) -> DataFrame:
     """The first rows of each series; the rank filter runs before the shuffle as well."""
-    return numbered(series).filter(F.col("pos") <= train_rows)
+    return numbered(series, keys).filter(F.col("pos") <= train_rows)
 
 
-def test_part(series: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def test_part(
+    series: DataFrame, train_rows: int = TRAIN_ROWS, keys: Sequence[str] = SERIES
+) -> DataFrame:
     """The rows after the training rows, numbered from 1."""
-    later = numbered(series).filter(F.col("pos") > train_rows)
+    later = numbered(series, keys).filter(F.col("pos") > train_rows)
     return later.withColumn("pos", F.col("pos") - F.lit(train_rows))
 
 

@@ -116,20 +116,31 @@ def _searcher(k: int, by_tag: bool, digits: int = SCORE_DIGITS, block: int = 256
     """
 
     def best(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Positions of the k best rows by (score descending, id ascending)."""
+        """Positions of the k best rows by (score descending, id ascending). A score that is not
+        finite, as of a vector with NaN, is no hit.
+        """
+        finite = np.nonzero(np.isfinite(scores))[0]
+        scores, ids = scores[finite], ids[finite]
         if len(scores) > k:
             bound = np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = np.nonzero(scores >= bound)[0]
         else:
             keep = np.arange(len(scores))
-        return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+        return finite[keep[np.lexsort((ids[keep], -scores[keep]))][:k]]
+
+    def stacked(vectors: pd.Series, width: int | None = None) -> np.ndarray:
+        rows = [np.asarray(v, dtype=np.float64) for v in vectors]
+        widths = {len(row) for row in rows} | ({width} if width else set())
+        if len(widths) > 1:
+            raise ValueError(f"vectors have different dimensions: {sorted(widths)}")
+        return np.stack(rows)
 
     def search(queries: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries = queries[queries["embedding"].notna()]
         if queries.empty:
             return
         query_ids = queries["query_id"].to_numpy()
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in queries["embedding"]])
+        matrix = stacked(queries["embedding"])
         wanted = queries["tag"].to_numpy() if by_tag else None
         held = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in query_ids]
         for batch in batches:
@@ -137,7 +148,7 @@ def _searcher(k: int, by_tag: bool, digits: int = SCORE_DIGITS, block: int = 256
             if batch.empty:
                 continue
             ids = batch["id"].to_numpy()
-            rows = np.stack([np.asarray(v, dtype=np.float64) for v in batch["embedding"]])
+            rows = stacked(batch["embedding"], matrix.shape[1])
             tags = batch["tag"].to_numpy() if by_tag else None
             for start in range(0, len(query_ids), block):
                 scores = np.round(rows @ matrix[start : start + block].T, digits) + 0.0

@@ -16,7 +16,8 @@ def _is_path(target: str) -> bool:
 def ensure_namespace(spark: SparkSession, name: str, location: str | None = None) -> None:
     """Create a schema unless it exists. `name` may be multi-part; parts are quoted."""
     quoted = ".".join(f"`{part}`" for part in name.replace("`", "").split("."))
-    where = f" LOCATION '{location}'" if location else ""
+    escaped = (location or "").replace("\\", "\\\\").replace("'", "\\'")
+    where = f" LOCATION '{escaped}'" if location else ""
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted}{where}")
 
 

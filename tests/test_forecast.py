@@ -144,3 +144,14 @@ def test_preview(spark):
     rows = spark.createDataFrame([(i, None if i == 0 else str(i)) for i in range(50)], "i int, v string")
     got = outlook.preview(rows, ["i"]).collect()
     assert len(got) == 20 and got[0]["v"] == "—" and {r["row_count"] for r in got} == {50}
+
+
+def test_a_third_key_makes_series_of_its_own(spark):
+    import datetime
+
+    day = datetime.date(2024, 1, 1)
+    rows = [("Onion", "Pune", g, day + datetime.timedelta(i), 100.0 + i) for g in "AB" for i in range(40)]
+    table = spark.createDataFrame(rows, "crop string, mandi string, grade string, ds date, y double")
+    keys = ["crop", "mandi", "grade"]
+    assert series.train_part(table, 30, keys).groupBy("grade").count().filter("count = 30").count() == 2
+    assert series.test_part(table, 30, keys).groupBy("grade").count().filter("count = 10").count() == 2

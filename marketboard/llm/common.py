@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +17,21 @@ from marketboard.sources.storage import work_path
 BATCH_BYTES = 8 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Give tasks this package, for clusters on which it is not installed. Spark's own file server carries it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='package-')}/marketboard_code", "zip", root, "marketboard")
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

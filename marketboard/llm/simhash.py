@@ -10,7 +10,6 @@ come from candidate counts estimated from the bits of all classes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate, combinations
 from math import comb
 
@@ -33,41 +32,53 @@ PROBE_COST = 3.0
 BUCKET_ROWS = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
-#: Rounds in which crowded buckets give way to their smallest member before pairs are formed.
-LEADER_ROUNDS = 4
-#: Without the proof by neighbours even small buckets elect, else a large group of near copies would give pairs by its square.
-WIDE_BUCKET_ROWS = 8
-
-# ---- four words of 64 bits tell a similarity of 0.8 from a lower one ----------------------------
-WORDS = 4
-#: Distance over all words at a similarity of 0.8: 256 bits * acos(2 * 0.8 / 1.8) / pi, and a little more.
-WIDE_DISTANCE = 40
-#: Distance within one word up to which no pair escapes the candidates.
-WORD_DISTANCE = 3
-
 
-def fingerprint(text: bytes, shingle_words: int, words: int = 1) -> np.ndarray:
-    """Signed 64-bit words; a bit is set if it is set in more than half of the shingles' hashes. No words: zeros.
-
-    The first word is that of the hashes themselves, the others are of the hashes mixed again.
-    """
+# ---- near copies: more words find candidates, shingles decide ------------------------------------
+WORDS = 12
+#: As a fraction, so that a similarity of just so much counts.
+SIMILARITY = (4, 5)
+#: Distance within one word up to which no pair escapes the candidates; and the fewest parts of a word, which keep keys
+#: short. Of pairs at a similarity of 0.8 about 97 in 100 agree in one of the 48 parts, of those at 0.85 nearly all.
+WORD_DISTANCE = 3
+WORD_PARTS = 3
+#: Bits of a word differ with a chance of 0.151 at a similarity of 0.8. Candidates lie within the mean and three or more
+#: standard deviations: of two words where a bucket's rows meet, of all words after that.
+MEETING_WORDS, MEETING_DISTANCE = 2, 33
+CANDIDATE_DISTANCE = 152
+#: Larger buckets elect a leader first. Members this close to it are its copies without a look at their shingles: 2.5 standard
+#: deviations under the mean of 0.8.
+LEADER_ROWS, LEADER_WORDS, LEADER_DISTANCE = 8, 4, 92
+#: Members by which a group of a leader meets the rest: all of a small group, nearly, and so many of a large one.
+GROUP_MEMBERS = 64
+
+
+def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
+    """The hash of every shingle, repeats included; A-Z is lower-cased. Fewer words: one shingle; none: empty."""
     tokens = text.lower().split()
     if not tokens:
-        return np.zeros(words, np.int64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     starts = [0, *accumulate(len(w) + 1 for w in tokens)]
     span = min(shingle_words, len(tokens))
     hashed = xxhash.xxh64_intdigest
-    counts = np.zeros(words * BITS, np.int64)
-    total = len(tokens) - span + 1
-    for begin in range(0, total, BLOCK):
-        end = min(begin + BLOCK, total)
-        bounds = zip(starts[begin:end], starts[begin + span : end + span], strict=True)
-        first = np.array([hashed(joined[a : b - 1], SEED) for a, b in bounds], np.uint64)
-        hashes = np.stack([first, *(mixed(first, word) for word in range(1, words))], axis=1)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > total, bitorder="little").view("<i8").astype(np.int64)
+    bounds = zip(starts[: len(tokens) - span + 1], starts[span:], strict=True)
+    return np.fromiter((hashed(joined[a : b - 1], SEED) for a, b in bounds), np.uint64, len(tokens) - span + 1)
+
+
+def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Signed 64-bit words; a bit is set if it is set in more than half of the hashes. No hashes: zeros.
+
+    The first word is that of the hashes themselves, the others are of the hashes mixed again.
+    """
+    made = []
+    for word in range(words):
+        counts = np.zeros(BITS, np.int64)
+        for begin in range(0, len(hashes), BLOCK):
+            block = hashes[begin : begin + BLOCK]
+            of_word = (mixed(block, word) if word else block).astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(of_word, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        made.append(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8"))
+    return np.concatenate(made).astype(np.int64)
 
 
 def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
@@ -88,7 +99,7 @@ def fingerprints(
     """
 
     def run(texts: list[bytes]) -> dict:
-        rows = [fingerprint(t, shingle_words, words) for t in texts]
+        rows = [fingerprint(shingle_hashes(t, shingle_words), words) for t in texts]
         flat = pa.array(np.concatenate(rows))
         return {"fp": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, words, dtype=np.int32), flat)}
 
@@ -100,25 +111,27 @@ def node_of(fp: str, words: int) -> Column:
     return F.col(fp)[0] if words == 1 else F.xxhash64(fp)
 
 
-def bit_counts(classes: DataFrame, word: int = 0) -> tuple[np.ndarray, int]:
-    """How often two bits of a word are set together (64 x 64), over all classes, and the number of classes."""
+def bit_counts(classes: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """How often two bits of a word are set together (words x 64 x 64), over all classes, and the number of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((BITS, BITS), np.int64), 0
+        total, n = np.zeros((words, BITS, BITS), np.int64), 0
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            total += (bits.T @ bits).astype(np.int64)
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(-1, words)
+            for word in range(words):
+                bytes_of = np.ascontiguousarray(values[:, word]).view(np.uint8).reshape(-1, 8)
+                bits = np.unpackbits(bytes_of, axis=1, bitorder="little").astype(np.float32)
+                total[word] += (bits.T @ bits).astype(np.int64)
             n += len(values)
         if n:
             flat = np.append(total.ravel(), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(flat.size)), pa.array(flat)], ["cell", "n"])
 
-    cells = classes.select(F.col("fp")[word]).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    flat = np.zeros(BITS * BITS + 1, np.int64)
-    for row in cells.collect():
-        flat[row["cell"]] = row["n"]
-    return flat[:-1].reshape(BITS, BITS), int(flat[-1])
+    cells = classes.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    flat = np.zeros(words * BITS * BITS + 1, np.int64)
+    got = cells.toArrow()
+    flat[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return flat[:-1].reshape(words, BITS, BITS), int(flat[-1])
 
 
 def correlated_parts(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
@@ -169,14 +182,14 @@ def allocation(parts: list[list[int]], share: np.ndarray, n: int, distance: int)
     return best[distance + 1] if distance + 1 in best else (float("inf"), [])
 
 
-def search_plan(classes: DataFrame, words: int, distance: int) -> list[tuple[int, list[int], int]]:
+def search_plan(classes: DataFrame, words: int, distance: int, least_parts: int = 1) -> list[tuple[int, list[int], int]]:
     """(word, bits, radius) of every part that is searched; distance: within each word."""
     chosen = []
-    for word in range(words):
-        together, n = bit_counts(classes, word)
+    counted, n = bit_counts(classes, words)
+    for word, together in enumerate(counted):
         share = np.diag(together) / max(n, 1)
         plans = []
-        for parts in range(1, MAX_PARTS + 1):
+        for parts in range(least_parts, MAX_PARTS + 1):
             bits = correlated_parts(together, n, parts)
             cost, radii = allocation(bits, share, n, distance)
             plans.append((cost, parts, [(word, b, r) for b, r in zip(bits, radii, strict=False) if r >= 0]))
@@ -246,40 +259,58 @@ def exact_links(classes: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.union(spots.join(least.select("spot", "v"), "spot").filter("node > v").select(F.col("node").alias("u"), "v"))
 
 
-def wide_links(classes: DataFrame, words: int = WORDS, distance: int = WIDE_DISTANCE, word_distance: int = WORD_DISTANCE) -> DataFrame:
-    """u, v: pairs within a distance over all words, found by any part of any word.
+def _buckets(classes: DataFrame, plan: list[tuple[int, list[int], int]], probes: bool, words: int, carried: tuple = ()) -> DataFrame:
+    """node, carried columns, w (the first words), bucket: a row for each bucket of a class."""
+    rows = _parts(classes.select(F.struct("node", *carried).alias("node"), "fp"), plan, probes)
+    first = [F.col("fp")[i].alias(f"w{i}") for i in range(words)]
+    return rows.select("node.*", *first, F.xxhash64("part", "key").alias("bucket"))
 
-    Pairs within word_distance in some word share a bucket; more distant ones do with the chance that one of all parts
-    agrees. A crowded bucket elects its smallest member, members close to it are linked to it and leave, and the rest
-    elect again; after some rounds what is left meets in pairs. So a member that left meets the others of the bucket only
-    through its leader, or in other buckets.
+
+def _apart(a: list[Column], b: list[Column]) -> Column:
+    bits = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
+    return sum(bits[1:], bits[0])
+
+
+def _within(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
+    """Those of the pairs u, v whose whole fingerprints are within the distance."""
+    one = classes.select(F.col("node").alias("u"), F.col("fp").alias("fp_u"))
+    two = classes.select(F.col("node").alias("v"), F.col("fp").alias("fp_v"))
+    return pairs.join(one, "u").join(two, "v").filter(_close("fp_u", "fp_v", WORDS, distance)).select("u", "v")
+
+
+def leader_links(classes: DataFrame, plan: list[tuple[int, list[int], int]]) -> DataFrame:
+    """u, v: members of crowded buckets that are surely copies of the bucket's smallest member, v. One row a member and bucket."""
+    words = [f"w{i}" for i in range(LEADER_WORDS)]
+    index = _buckets(classes, [p for p in plan if p[0] < LEADER_WORDS], False, LEADER_WORDS)
+    leaders = index.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", *words)).alias("head"))
+    leaders = leaders.filter(F.col("n") > LEADER_ROWS).select("bucket", "head")
+    near = _apart([F.col(w) for w in words], [F.col("head")[w] for w in words]) <= MEETING_DISTANCE * LEADER_WORDS // MEETING_WORDS
+    met = index.join(leaders, "bucket").filter(near & (F.col("node") != F.col("head.node")))
+    return _within(met.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), classes, LEADER_DISTANCE)
+
+
+def candidate_links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sure links and candidates (u, v) of near copies.
+
+    A large group of near copies is first linked through leaders of crowded buckets; then classes of different groups that share a
+    bucket of any part of any word are candidates if their fingerprints are near. So no pairs form within a large group.
     """
-    plan = search_plan(classes, words, word_distance)
-    index = saved(_parts(classes, plan, False), "index")
-    where = ["part", "key"]
-    linked, settled, busy = [], [], index
-    for _ in range(LEADER_ROUNDS):
-        # Only crowded buckets go on to an election; the others keep their members.
-        crowded = saved(_crowded(busy, WIDE_BUCKET_ROWS), "crowded")
-        settled.append(busy.join(crowded, where, "left_anti").select("node", "fp", *where))
-        if crowded.isEmpty():
-            busy = None
-            break
-        full = saved(busy.join(crowded, where, "left_semi").select("node", "fp", *where), "full")
-        leaders = full.groupBy(*where).agg(F.min(F.struct("node", "fp")).alias("head"))
-        leaders = leaders.select(*where, F.col("head.node").alias("v"), F.col("head.fp").alias("asked"))
-        close = _close("asked", "fp", words, distance) & (F.col("v") != F.col("node"))
-        voted = saved(full.join(leaders, where).withColumn("leaves", close), "elected")
-        linked.append(voted.filter("leaves").select(F.col("node").alias("u"), "v").distinct())
-        busy = voted.filter("not leaves").select("node", "fp", *where)
-    if busy is not None:
-        settled.append(busy)
-    index = reduce(DataFrame.union, settled)
-    return reduce(DataFrame.union, [_met(_parts(classes, plan, True), index, words, distance), *linked])
+    plan = search_plan(classes, WORDS, WORD_DISTANCE, WORD_PARTS)
+    sure = saved(leader_links(classes, plan), "sure")
+    led = classes.select("node", "fp").join(components(sure), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = led.groupBy("root", F.pmod("node", F.lit(GROUP_MEMBERS)).alias("slot"))
+    members = saved(members.agg(F.min(F.struct("node", "fp")).alias("m")).select("m.*", "root"), "members")
+    words = [f"w{i}" for i in range(MEETING_WORDS)]
+    asked = _buckets(members, plan, True, MEETING_WORDS, ("root",))
+    asked = asked.select("bucket", F.col("node").alias("u"), F.col("root").alias("root_u"), *[F.col(w).alias(f"{w}_u") for w in words])
+    index = _buckets(members, plan, False, MEETING_WORDS, ("root",))
+    near = _apart([F.col(w) for w in words], [F.col(f"{w}_u") for w in words]) <= MEETING_DISTANCE
+    met = asked.join(index, "bucket").filter((F.col("u") > F.col("node")) & (F.col("root") != F.col("root_u")) & near)
+    return sure, saved(_within(met.select("u", F.col("node").alias("v")).distinct(), classes, CANDIDATE_DISTANCE), "candidates")
 
 
 def grouped(prints: DataFrame, key: str, linker) -> DataFrame:
-    """node, component_id, rows: the smallest key of the component of every fingerprint."""
+    """node, component_id, root: the smallest key of the component of every fingerprint."""
     classes = saved(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(key).alias("least")), "classes")
     roots = components(linker(classes))
     labelled = classes.select("node", "least").join(roots, "node", "left")
@@ -306,24 +337,43 @@ def near_duplicates(
 def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest key (null last), then the smallest text.
 
-    Near: shingles of five words and a similarity of 0.8 or more, as told by 256 bits. All columns unchanged. Of equal rows
-    one stays. Texts without words are one group.
+    Near: shingles of five words and a similarity of 0.8 or more. Fingerprints of the sets of shingles find the candidates, and
+    the sets decide (but for members of crowded buckets, see LEADER_DISTANCE). All columns unchanged. Of equal rows one
+    stays. Texts without words are one group. An empty table gives no rows.
     """
-    one, two = fresh(documents, "_node"), fresh(documents, "_copy")
-    word_count = WORDS
+    one = fresh(documents, "_node")
 
     @F.arrow_udf("array<long>")
     def words_of(column: pa.Array) -> pa.Array:
-        rows = [fingerprint(x.as_py() or b"", SHINGLE_WORDS, word_count) for x in column]
+        rows = [fingerprint(np.unique(shingle_hashes(x.as_py() or b"", SHINGLE_WORDS)), WORDS) for x in column]
         flat = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, word_count, dtype=np.int32), flat)
+        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, WORDS, dtype=np.int32), flat)
+
+    @F.arrow_udf("array<long>")
+    def shingles_of(column: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(x.as_py() or b"", SHINGLE_WORDS)).view(np.int64) for x in column]
+        return pa.array(sets, pa.list_(pa.int64()))
 
     body = F.col(text).cast("binary")
     # A row is known by its key and all of its text; rows that share both are equal for this purpose.
     mark = F.xxhash64(F.col(key), F.col(text))
     prints = documents.select(F.col(key).alias("key"), mark.alias("mark"), words_of(body).alias("fp"))
     prints = saved(prints.select("key", "mark", node_of("fp", WORDS).alias("node"), "fp"), "prints")
-    groups = grouped(prints, "key", wide_links).select("node", "root")
+
+    def links(classes: DataFrame) -> DataFrame:
+        sure, candidates = candidate_links(classes)
+        # The shingles of one text of each class that is in a candidate.
+        asked = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        chosen = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
+        texts = documents.select(mark.alias("mark"), body.alias("body")).join(chosen, "mark").dropDuplicates(["node"])
+        sets = saved(texts.select("node", shingles_of("body").alias("set")), "shingles")
+        both = candidates.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
+        both = both.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        alike = common * SIMILARITY[1] >= (F.size("a") + F.size("b") - common) * SIMILARITY[0]
+        return both.filter(alike).select("u", "v").union(sure)
+
+    groups = grouped(prints, "key", links).select("node", "root")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
     best = prints.join(groups, "node").groupBy("root").agg(F.min(order).alias("best")).select("best.key", "best.mark")
     best = best.select(F.col("mark").alias(one)).distinct()

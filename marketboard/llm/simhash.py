@@ -45,9 +45,8 @@ WORD_PARTS = 3
 #: standard deviations: of two words where a bucket's rows meet, of all words after that.
 MEETING_WORDS, MEETING_DISTANCE = 2, 33
 CANDIDATE_DISTANCE = 152
-#: Larger buckets elect a leader first. Members this close to it are its copies without a look at their shingles: 2.5 standard
-#: deviations under the mean of 0.8.
-LEADER_ROWS, LEADER_WORDS, LEADER_DISTANCE = 8, 4, 92
+#: Larger buckets of the first words elect a leader, whose copies are linked first.
+LEADER_ROWS, LEADER_WORDS = 8, 8
 #: Members by which a group of a leader meets the rest: all of a small group, nearly, and so many of a large one.
 GROUP_MEMBERS = 64
 
@@ -278,27 +277,24 @@ def _within(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").filter(_close("fp_u", "fp_v", WORDS, distance)).select("u", "v")
 
 
-def leader_links(classes: DataFrame, plan: list[tuple[int, list[int], int]]) -> DataFrame:
-    """u, v: members of crowded buckets that are surely copies of the bucket's smallest member, v. One row a member and bucket."""
-    words = [f"w{i}" for i in range(LEADER_WORDS)]
-    index = _buckets(classes, [p for p in plan if p[0] < LEADER_WORDS], False, LEADER_WORDS)
+def leader_pairs(classes: DataFrame, plan: list[tuple[int, list[int], int]]) -> DataFrame:
+    """u, v: members of crowded buckets near the bucket's smallest member, v. One row a member and bucket is joined."""
+    words = [f"w{i}" for i in range(MEETING_WORDS)]
+    index = _buckets(classes, [p for p in plan if p[0] < LEADER_WORDS], False, MEETING_WORDS)
     leaders = index.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", *words)).alias("head"))
     leaders = leaders.filter(F.col("n") > LEADER_ROWS).select("bucket", "head")
-    near = _apart([F.col(w) for w in words], [F.col("head")[w] for w in words]) <= MEETING_DISTANCE * LEADER_WORDS // MEETING_WORDS
+    near = _apart([F.col(w) for w in words], [F.col("head")[w] for w in words]) <= MEETING_DISTANCE
     met = index.join(leaders, "bucket").filter(near & (F.col("node") != F.col("head.node")))
-    return _within(met.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), classes, LEADER_DISTANCE)
+    return _within(met.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), classes, CANDIDATE_DISTANCE)
 
 
-def candidate_links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sure links and candidates (u, v) of near copies.
+def group_pairs(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]]) -> DataFrame:
+    """u, v: near classes of different groups (led: node, root) that share a bucket of any part of any word.
 
-    A large group of near copies is first linked through leaders of crowded buckets; then classes of different groups that share a
-    bucket of any part of any word are candidates if their fingerprints are near. So no pairs form within a large group.
+    No pairs form within a group, so a large group of copies costs its members and not their pairs.
     """
-    plan = search_plan(classes, WORDS, WORD_DISTANCE, WORD_PARTS)
-    sure = saved(leader_links(classes, plan), "sure")
-    led = classes.select("node", "fp").join(components(sure), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = led.groupBy("root", F.pmod("node", F.lit(GROUP_MEMBERS)).alias("slot"))
+    grouped_rows = classes.select("node", "fp").join(led, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = grouped_rows.groupBy("root", F.pmod("node", F.lit(GROUP_MEMBERS)).alias("slot"))
     members = saved(members.agg(F.min(F.struct("node", "fp")).alias("m")).select("m.*", "root"), "members")
     words = [f"w{i}" for i in range(MEETING_WORDS)]
     asked = _buckets(members, plan, True, MEETING_WORDS, ("root",))
@@ -306,7 +302,7 @@ def candidate_links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = _buckets(members, plan, False, MEETING_WORDS, ("root",))
     near = _apart([F.col(w) for w in words], [F.col(f"{w}_u") for w in words]) <= MEETING_DISTANCE
     met = asked.join(index, "bucket").filter((F.col("u") > F.col("node")) & (F.col("root") != F.col("root_u")) & near)
-    return sure, saved(_within(met.select("u", F.col("node").alias("v")).distinct(), classes, CANDIDATE_DISTANCE), "candidates")
+    return _within(met.select("u", F.col("node").alias("v")).distinct(), classes, CANDIDATE_DISTANCE)
 
 
 def grouped(prints: DataFrame, key: str, linker) -> DataFrame:
@@ -338,8 +334,8 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
     """One document of each group of near copies stays: the one with the smallest key (null last), then the smallest text.
 
     Near: shingles of five words and a similarity of 0.8 or more. Fingerprints of the sets of shingles find the candidates, and
-    the sets decide (but for members of crowded buckets, see LEADER_DISTANCE). All columns unchanged. Of equal rows one
-    stays. Texts without words are one group. An empty table gives no rows.
+    the sets decide. All columns unchanged. Of equal rows one stays. Texts without words are one group. An empty table gives
+    no rows.
     """
     one = fresh(documents, "_node")
 
@@ -360,18 +356,25 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
     prints = documents.select(F.col(key).alias("key"), mark.alias("mark"), words_of(body).alias("fp"))
     prints = saved(prints.select("key", "mark", node_of("fp", WORDS).alias("node"), "fp"), "prints")
 
-    def links(classes: DataFrame) -> DataFrame:
-        sure, candidates = candidate_links(classes)
-        # The shingles of one text of each class that is in a candidate.
-        asked = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        chosen = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose shingles are similar enough, told by one text of each class."""
+        pairs = saved(pairs, "candidates")
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        # Saved, so that its size is known when the join with all texts is planned.
+        chosen = saved(prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")), "chosen")
         texts = documents.select(mark.alias("mark"), body.alias("body")).join(chosen, "mark").dropDuplicates(["node"])
         sets = saved(texts.select("node", shingles_of("body").alias("set")), "shingles")
-        both = candidates.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
         both = both.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
         common = F.size(F.array_intersect("a", "b"))
-        alike = common * SIMILARITY[1] >= (F.size("a") + F.size("b") - common) * SIMILARITY[0]
-        return both.filter(alike).select("u", "v").union(sure)
+        enough = common * SIMILARITY[1] >= (F.size("a") + F.size("b") - common) * SIMILARITY[0]
+        return saved(both.filter(enough).select("u", "v"), "alike")
+
+    def links(classes: DataFrame) -> DataFrame:
+        plan = search_plan(classes, WORDS, WORD_DISTANCE, WORD_PARTS)
+        first = alike(leader_pairs(classes, plan))
+        led = components(first)
+        return alike(group_pairs(classes, led, plan)).union(first)
 
     groups = grouped(prints, "key", links).select("node", "root")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")

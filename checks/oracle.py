@@ -398,7 +398,9 @@ ORACLE["models_of_best_runs"] = with_(
     "p AS (" + " UNION ALL ".join(
         f"SELECT p.* FROM p_{n} p JOIN best b ON b.crop = p.crop AND b.mandi = p.mandi AND b.size = {n}" for n in RUN_SIZES) + ")",
 ) + f"SELECT crop, mandi, pos, CAST(ds AS VARCHAR) AS ds, {BAND} FROM p"
-ORACLE["price_outlook"] = with_(*MODELS, ahead("days", "10"), predict("p", "days"), """tail AS (SELECT crop, mandi, date, modal_price
+# served forecasts are fitted on all rows of a series
+ORACLE["price_outlook"] = with_(
+    *PRICES, SERIES_ROWS, fitted(1_000_000_000, "_all"), ahead("days", "10", "_all"), predict("p", "days", "_all"), """tail AS (SELECT crop, mandi, date, modal_price
   FROM silver QUALIFY row_number() OVER (PARTITION BY crop, mandi ORDER BY date DESC) <= 10)""",
   f"f AS (SELECT crop, mandi, pos, ds, {BAND} FROM p)") + f"""
   SELECT crop, mandi, 'actual' AS kind, {D}, round(modal_price, 2) + 0.0::DOUBLE AS price, NULL::DOUBLE AS yhat_lower, NULL::DOUBLE AS yhat_upper FROM tail

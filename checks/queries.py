@@ -706,7 +706,7 @@ def models_of_best_runs(spark, sf):
 @query
 def price_outlook(spark, sf):
     daily = saved_silver(spark, sf)
-    models = forecast.train(latest.as_series(daily))
+    models = forecast.train(latest.as_series(daily), None)
     rows = outlook.outlook(daily, forecast.forecast(models))
     return text(rounded(rows, 2, "price", "yhat_lower", "yhat_upper"), "date")
 
@@ -932,7 +932,7 @@ def advisory_board_scored(spark, sf):
     found = retrieval.retrieve(vectors.encode(asked, encoder), stored)
     keyed = found.withColumn("crop_key", F.lower("crop"))
     view = outlook.outlook(
-        daily, forecast.forecast(forecast.train(latest.as_series(daily)))
+        daily, forecast.forecast(forecast.train(latest.as_series(daily), None))
     )
     rows = board.advisory_board(features.gold(daily), rain(spark, sf), keyed, outlook=view)
     return rows.select(

@@ -37,22 +37,25 @@ def _weekday(ds: Column) -> Column:
 
 def train(
     series: DataFrame,
-    train_rows: int = TRAIN_ROWS,
+    train_rows: int | None = TRAIN_ROWS,
     min_rows: int = MIN_SERIES_ROWS,
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
     """One model row per series with at least `min_rows` rows.
 
-    All steps after the rank filter work on at most `train_rows` rows per series and keep the
-    series partitioning, so the job has a single exchange.
+    `train_rows` None fits the whole series: a forecast to be served follows its last actual price.
+    All steps after the rank filter keep the series partitioning, so the job has a single exchange.
     """
-    if min_rows > train_rows:
-        series = long_enough(series, min_rows, keys)
+    if train_rows is None:
+        first = long_enough(series, min_rows, keys)
+    else:
+        if min_rows > train_rows:
+            series = long_enough(series, min_rows, keys)
+        first = long_enough(train_part(series, train_rows, keys), min(min_rows, train_rows), keys)
     whole = Window.partitionBy(*keys)
     x, y, line = F.col("_x"), F.col("y"), F.col("_line")
     rows = (
-        long_enough(train_part(series, train_rows, keys), min(min_rows, train_rows), keys)
-        .withColumn("origin", F.min("ds").over(whole))
+        first.withColumn("origin", F.min("ds").over(whole))
         .withColumn("_x", F.datediff("ds", "origin").cast("double"))
         .withColumn("slope", F.coalesce(F.regr_slope(y, x).over(whole), F.lit(0.0)))
         .withColumn(

@@ -155,3 +155,12 @@ def test_a_third_key_makes_series_of_its_own(spark):
     keys = ["crop", "mandi", "grade"]
     assert series.train_part(table, 30, keys).groupBy("grade").count().filter("count = 30").count() == 2
     assert series.test_part(table, 30, keys).groupBy("grade").count().filter("count = 10").count() == 2
+
+
+def test_served_forecasts_follow_the_last_actual(table):
+    models = forecast.train(table, None)
+    last = table.groupBy("crop", "mandi").agg(F.max("ds").alias("last"), F.count("*").alias("n"))
+    both = models.join(last, ["crop", "mandi"])
+    assert models.count() > 0 and both.filter("last_train <> last OR n_train <> n").count() == 0
+    ahead = forecast.forecast(models).join(last, ["crop", "mandi"])
+    assert ahead.filter("ds <= last").count() == 0

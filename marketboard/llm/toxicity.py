@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +93,8 @@ def labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, label
     return rows.select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
 
 
-def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of each label that have each bucket (2 x buckets), and texts of each label."""
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """cell, clean, toxic: texts of each label that have each bucket; the cell after the last bucket counts all texts."""
     size = 1 << BUCKET_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,68 +106,79 @@ def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         cell = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[0, cell]), pa.array(counts[1, cell])], ["cell", "clean", "toxic"])
 
-    cells = rows.mapInArrow(run, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    got = cells.toArrow()
-    counts = np.zeros((2, size + 1), np.int64)
-    cell = got.column("cell").to_numpy()
-    counts[0, cell], counts[1, cell] = got.column("clean").to_numpy(), got.column("toxic").to_numpy()
-    return counts[:, :size], counts[:, size]
+    cells = rows.select("text", "label").mapInArrow(run, "cell long, clean long, toxic long")
+    return cells.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def log_ratios(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Naive Bayes log-count ratios, zero where they do not stand out."""
-    share = (counts + SMOOTHING) / (totals + 2 * SMOOTHING)[:, None]
-    ratio = np.log(share[1] / share[0])
-    error = np.sqrt(((1 - share) / (share * (totals + 2 * SMOOTHING)[:, None])).sum(axis=0))
-    strength = np.abs(ratio) / error
-    strength[strength < MIN_DEVIATIONS] = 0
-    if np.count_nonzero(strength) > MAX_FEATURES:
-        strength[strength < np.partition(strength, -MAX_FEATURES)[-MAX_FEATURES]] = 0
-    return np.where(strength > 0, ratio, 0.0)
+def log_ratios(cells: DataFrame, clean: int, toxic: int) -> DataFrame:
+    """cell, ratio: naive Bayes log-count ratios of the buckets that stand out, the strongest ones if they are too many."""
+
+    def share(count: str, total: int) -> Column:
+        return (F.col(count) + SMOOTHING) / (total + 2 * SMOOTHING)
+
+    def variance(count: str, total: int) -> Column:
+        return (1 - share(count, total)) / (share(count, total) * (total + 2 * SMOOTHING))
+
+    rows = cells.filter(F.col("cell") < 1 << BUCKET_BITS).withColumn("ratio", F.log(share("toxic", toxic) / share("clean", clean)))
+    rows = rows.withColumn("strength", F.abs("ratio") / F.sqrt(variance("toxic", toxic) + variance("clean", clean)))
+    rows = rows.filter(F.col("strength") >= MIN_DEVIATIONS)
+    return rows.orderBy(F.desc("strength"), "cell").limit(MAX_FEATURES).select("cell", "ratio")
 
 
 def fitted(rows: DataFrame) -> Model:
     """The classifier of a table (text as bytes, label); without texts of both labels it says one half of everything."""
-    counts, totals = bucket_counts(rows)
     size = 1 << BUCKET_BITS
-    if not totals.all():
-        return Model(np.zeros(size), 0.0)
-    ratio = log_ratios(counts, totals)
-    place = np.cumsum(ratio != 0) - 1
+    cells = saved(bucket_counts(rows), "counts")
+    totals = cells.filter(F.col("cell") == size).first()
+    weights = np.zeros(size)
+    if not totals or not totals["clean"] or not totals["toxic"]:
+        return Model(weights, 0.0)
+    features = log_ratios(cells, totals["clean"], totals["toxic"]).toArrow().sort_by("cell")
+    cell, value = features.column("cell").to_numpy(), features.column("ratio").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = ratio != 0
+        chosen = np.zeros(size, bool)
+        chosen[cell] = True
         for batch in batches:
-            found = [place[buckets_of_features(t, chosen)].astype(np.int32) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
-
-    # Of a bounded number of rows, the features only.
-    got = rows.mapInArrow(run, "label int, features array<int>").toArrow()
-    order = sorted(zip(got.column("label").to_pylist(), got.column("features").to_pylist(), strict=True))
-    target = np.array([float(label > 0) for label, _ in order])
-    sizes = np.array([len(f) for _, f in order])
-    row = np.repeat(np.arange(len(order)), sizes)
-    column = np.array([x for _, f in order for x in f], np.int64)
-    value = ratio[ratio != 0]
-    weight, bias = regression(row, column, value, target)
-    weights = np.zeros(size)
-    weights[ratio != 0] = weight * value
+            found = [np.searchsorted(cell, buckets_of_features(t, chosen)).astype(np.int32) for t in batch.column(0).to_pylist()]
+            listed = pa.array(found, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], listed], ["label", "mark", "features"])
+
+    # Of a bounded number of rows, the features only; in an order of their own, so that reruns add up alike.
+    marked = rows.select("text", "label", F.xxhash64("text").alias("mark"))
+    got = marked.mapInArrow(run, "label int, mark long, features array<int>").toArrow().combine_chunks()
+    got = got.take(pa.compute.sort_indices(got, [("label", "ascending"), ("mark", "ascending")]))
+    listed = got.column("features").combine_chunks()
+    target = (got.column("label").to_numpy() > 0).astype(float)
+    weight, bias = regression(np.diff(listed.offsets.to_numpy()), listed.flatten().to_numpy(), value, target)
+    weights[cell] = weight * value
     return Model(weights, bias)
 
 
-def regression(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a squared penalty by accelerated gradient steps; feature j has value[j] where it occurs."""
+def regression(sizes: np.ndarray, column: np.ndarray, value: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with a squared penalty by accelerated gradient steps.
+
+    Row i has the next sizes[i] entries of column; feature j has value[j] where it occurs. Rows are taken in blocks of
+    about BLOCK entries, which bounds what a step holds.
+    """
     n, width = len(target), len(value)
-    features = value[column]
+    ends = np.append(0, np.cumsum(sizes))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], BLOCK)), [0, n]))
+    blocks = [(slice(a, b), np.repeat(np.arange(b - a), sizes[a:b]), column[ends[a] : ends[b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
     weight, bias = np.zeros(width), 0.0
     ahead, ahead_bias = weight, bias
     # The largest curvature is bounded by a quarter of the mean squared length of a row, which is met in practice.
-    rate = 4.0 / (max(np.bincount(row, features**2, n).mean(), 1.0) + 1.0)
+    rate = 4.0 / (max(sum((value[c] ** 2).sum() for _, _, c in blocks) / n, 1.0) + 1.0)
     for step in range(STEPS):
-        chance = 1 / (1 + np.exp(-np.clip(np.bincount(row, features * ahead[column], n) + ahead_bias, -30, 30)))
-        error = (chance - target) / n
-        new = ahead - rate * (np.bincount(column, features * error[row], width) + PENALTY * ahead)
-        new_bias = ahead_bias - rate * float(error.sum())
+        slope, total = np.zeros(width), 0.0
+        weighed = value * ahead
+        for rows, row, at in blocks:
+            told = np.bincount(row, weighed[at], rows.stop - rows.start) + ahead_bias
+            error = (1 / (1 + np.exp(-np.clip(told, -30, 30))) - target[rows]) / n
+            slope += np.bincount(at, error[row], width)
+            total += float(error.sum())
+        new = ahead - rate * (value * slope + PENALTY * ahead)
+        new_bias = ahead_bias - rate * total
         push = step / (step + 3)
         ahead, ahead_bias = new + push * (new - weight), new_bias + push * (new_bias - bias)
         weight, bias = new, new_bias

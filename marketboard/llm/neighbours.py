@@ -29,6 +29,8 @@ LEAF_SAMPLES = 6
 SEARCH_FACTOR = 60
 #: Queries whose vectors are sent to all tasks at once.
 QUERY_BLOCK = 4096
+#: Pairs whose distances a task computes at once.
+PAIRS = 1 << 15
 NEIGHBOURS = 10
 SEED = 11
 
@@ -176,11 +178,27 @@ def grown(indexed: DataFrame, rows: int, trees: int = TREES) -> Forest | None:
     )
 
 
-def _distance(a: Column, b: Column, width: int) -> Column:
-    squares = [(a[i] - b[i]) * (a[i] - b[i]) for i in range(width)]
-    while len(squares) > 1:
-        squares = [sum(squares[i + 1 : i + 2], squares[i]) for i in range(0, len(squares), 2)]
-    return F.sqrt(squares[0])
+def _reranked(points: pa.Table, width: int, most: int):
+    """A task's work on codes, least ids, vectors and the queries that met them: the best codes of each query in each batch."""
+    order = points.sort_by("ask")
+    asks, places = order.column("ask").to_numpy(), _matrix(order.column("vector").combine_chunks(), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, least = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            vectors, met = _matrix(batch.column(2), width), batch.column(3)
+            row = np.repeat(np.arange(len(batch)), met.value_lengths().to_numpy())
+            ask = np.searchsorted(asks, met.flatten().to_numpy())
+            score = np.empty(len(row))
+            for begin in range(0, len(row), PAIRS):
+                part = slice(begin, begin + PAIRS)
+                score[part] = np.sqrt(((vectors[row[part]] - places[ask[part]]) ** 2).sum(axis=1))
+            by = np.lexsort((least[row], score, ask))
+            by = by[np.arange(len(by)) - np.searchsorted(ask[by], ask[by]) < most]
+            columns = [asks[ask[by]], code[row[by]], least[row[by]], score[by]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ask", "code", "least", "score"])
+
+    return run
 
 
 def nearest(
@@ -235,19 +253,22 @@ def nearest(
     points = asked.select("ask").distinct().join(indexed.select(F.col("code").alias("ask"), "vector"), "ask")
     # The walk is work for each query, so queries are dealt out to tasks anew.
     points = saved(points.repartition(spark.sparkContext.defaultParallelism, "ask"), "points")
-    pairs = points.mapInArrow(search, "ask long, leaf long").join(places, "leaf").select("ask", "code").distinct()
     # By hash, so blocks differ in size; on average they are half of what is sent at most.
-    blocks = -(-2 * points.count() // QUERY_BLOCK)
-    block = F.pmod(F.xxhash64("ask"), F.lit(max(1, blocks)))
-    order = Window.partitionBy("ask").orderBy("score", "least")
-    ranked = []
-    met = pairs.join(indexed.select("code", "vector", F.col("ids")[0].alias("least")), "code")
+    blocks = max(1, -(-2 * points.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("ask"), F.lit(blocks)).alias("block")
+    pairs = points.mapInArrow(search, "ask long, leaf long").join(places, "leaf")
+    # Queries gather at the vectors that they met, so a vector moves once for a block and not once for each query.
+    met = pairs.groupBy("code", block).agg(F.collect_set("ask").alias("asks"))
+    met = met.join(indexed.select("code", "vector", F.col("ids")[0].alias("least")), "code").select("code", "least", "vector", "asks", "block")
     if blocks > 1:
         met = saved(met, "met")
-    for number in range(max(1, blocks)):
-        some = F.broadcast(points.filter(block == number).select("ask", F.col("vector").alias("point")))
-        scored = met.join(some, "ask").select("ask", "code", "least", _distance(F.col("vector"), F.col("point"), width).alias("score"))
-        ranked.append(scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= neighbours + 2))
+    order = Window.partitionBy("ask").orderBy("score", "least")
+    ranked = []
+    for number in range(blocks):
+        some = points.filter(block == number).toArrow()
+        scores = met.filter(F.col("block") == number).drop("block")
+        scores = scores.mapInArrow(_reranked(some, width, neighbours + 2), "ask long, code long, least long, score double")
+        ranked.append(scores.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= neighbours + 2))
     best = reduce(DataFrame.union, ranked)
     best = best.join(indexed.select("code", "ids"), "code")
     answers = asked.join(best, "ask").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("query_id != vec_id")

@@ -9,9 +9,7 @@ from marketboard.config import OVER_FETCH, TOP_K
 from marketboard.functions.names import same_name
 from marketboard.functions.text import filled
 from marketboard.operators.vectors import nearest, query_size
-
-# Most hits (queries x k) that are broadcast; a hit is an id, a score and a crop name.
-MAX_BROADCAST_HITS = 200_000
+from marketboard.sources.storage import work_path
 
 
 def retrieve(
@@ -27,26 +25,26 @@ def retrieve(
     queries: query_id, embedding, crop (NULL asks for any crop). vectors: id, embedding, crop, ....
     Default: the top_k * over_fetch nearest of all vectors are found first and the crop is checked
     after, so a query may get fewer than top_k passages. With `prefilter`, only vectors of the
-    wanted crop compete, and every query needs a crop.
+    wanted crop compete, for a query without a crop all of them.
 
-    The number of hits is known from the number of queries. While it is small the hits are
-    broadcast to the passages, which then stay where they are; beyond that the two sides shuffle.
+    The queries are saved first, so they are computed once; hits join their passages as Spark sees
+    fit when it knows how many there are.
     """
-    size = query_size(queries)
+    path = work_path(queries.sparkSession, "queries")
+    queries.select("query_id", "embedding", "crop").write.parquet(path)
+    queries = queries.sparkSession.read.parquet(path)
     if prefilter:
-        k = top_k
-        hits = nearest(
-            queries.withColumn("tag", F.lower("crop")),
-            vectors.withColumn("tag", F.lower("crop")),
-            k, tagged=True, size=size, **search,
-        )
+        tagged = queries.filter(F.col("crop").isNotNull()).withColumn("tag", F.lower("crop"))
+        own = vectors.withColumn("tag", F.lower("crop"))
+        hits = nearest(tagged, own, top_k, tagged=True, **search)
+        untagged = queries.filter(F.col("crop").isNull())
+        size = query_size(untagged)
+        if size.rows:
+            hits = hits.union(nearest(untagged, vectors, top_k, size=size, **search))
     else:
-        k = top_k * over_fetch
-        hits = nearest(queries, vectors, k, size=size, **search)
+        hits = nearest(queries, vectors, top_k * over_fetch, **search)
     wanted = queries.select("query_id", F.col("crop").alias("_wanted"))
     asked = hits.drop("rank").join(wanted, "query_id")
-    if size.rows * k <= MAX_BROADCAST_HITS:
-        asked = F.broadcast(asked)
     fitting = vectors.drop("embedding").join(asked, "id").filter(
         F.col("_wanted").isNull() | same_name(F.col("crop"), F.col("_wanted"))
     )

@@ -109,68 +109,57 @@ def centroids(vectors: DataFrame, label: str, column: str = "embedding") -> Data
 # ---- search ---------------------------------------------------------------------------------
 
 
-def _searcher(k: int, by_tag: bool, digits: int = SCORE_DIGITS, block: int = 256):
+def _searcher(k: int, digits: int = SCORE_DIGITS, block: int = 256):
     """Build search(query_frame, vector_batches) -> hit frames, with the k best hits per query.
 
+    A vector that is NULL or holds NULL, NaN or an infinite element takes no part, on either side.
     The search is a nested function, so tasks get it by value and need not import this package.
     """
 
-    def best(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Positions of the k best rows by (score descending, id ascending). A score that is not
-        finite, as of a vector with NaN, is no hit.
-        """
-        finite = np.nonzero(np.isfinite(scores))[0]
-        scores, ids = scores[finite], ids[finite]
-        if len(scores) > k:
-            bound = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = np.nonzero(scores >= bound)[0]
-        else:
-            keep = np.arange(len(scores))
-        return finite[keep[np.lexsort((ids[keep], -scores[keep]))][:k]]
-
-    def stacked(vectors: pd.Series, width: int | None = None) -> np.ndarray:
-        rows = [np.asarray(v, dtype=np.float64) for v in vectors]
+    def usable(frame: pd.DataFrame, key: str, width: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and the matrix of the vectors that take part."""
+        frame = frame[frame["embedding"].notna()]
+        rows = [np.asarray(v, dtype=np.float64) for v in frame["embedding"]]
         widths = {len(row) for row in rows} | ({width} if width else set())
         if len(widths) > 1:
             raise ValueError(f"vectors have different dimensions: {sorted(widths)}")
-        return np.stack(rows)
+        matrix = np.stack(rows) if rows else np.empty((0, width or 0))
+        finite = np.isfinite(matrix).all(axis=1)
+        return frame[key].to_numpy()[finite], matrix[finite]
+
+    def best(asked: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The k best hits of every query by (score descending, id ascending)."""
+        order = np.lexsort((ids, -scores, asked))
+        asked, ids, scores = asked[order], ids[order], scores[order]
+        place = np.arange(len(asked)) - np.searchsorted(asked, asked)
+        return asked[place < k], ids[place < k], scores[place < k]
+
+    def met(matrix: np.ndarray, rows: np.ndarray, ids: np.ndarray, start: int):
+        """Hits of a block of queries: what may be among the k best before rounding, then exactly."""
+        scores = matrix[start : start + block] @ rows.T
+        if len(rows) > k:
+            bound = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k]
+            asked, at = np.nonzero(scores >= (bound - 2 * 10.0**-digits)[:, None])
+        else:
+            asked, at = (x.ravel() for x in np.indices(scores.shape))
+        return best(asked + start, ids[at], np.round(scores[asked, at], digits) + 0.0)
 
     def search(queries: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries = queries[queries["embedding"].notna()]
-        if queries.empty:
+        query_ids, matrix = usable(queries, "query_id", None)
+        if not len(query_ids):
             return
-        query_ids = queries["query_id"].to_numpy()
-        matrix = stacked(queries["embedding"])
-        wanted = queries["tag"].to_numpy() if by_tag else None
-        held = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in query_ids]
+        starts = range(0, len(query_ids), block)
+        held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * len(starts)
         for batch in batches:
-            batch = batch[batch["embedding"].notna()]
-            if batch.empty:
+            ids, rows = usable(batch, "id", matrix.shape[1])
+            if not len(ids):
                 continue
-            ids = batch["id"].to_numpy()
-            rows = stacked(batch["embedding"], matrix.shape[1])
-            tags = batch["tag"].to_numpy() if by_tag else None
-            for start in range(0, len(query_ids), block):
-                scores = np.round(rows @ matrix[start : start + block].T, digits) + 0.0
-                for q in range(start, start + scores.shape[1]):
-                    column, own = scores[:, q - start], ids
-                    if by_tag:
-                        fits = tags == wanted[q]
-                        column, own = column[fits], own[fits]
-                    top = best(column, own)
-                    merged = np.concatenate([held[q][0], column[top]])
-                    merged_ids = np.concatenate([held[q][1], own[top]])
-                    top = best(merged, merged_ids)
-                    held[q] = (merged[top], merged_ids[top])
-        sizes = [len(scores) for scores, _ in held]
-        if sum(sizes):
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(query_ids, sizes),
-                    "id": np.concatenate([ids for _, ids in held]),
-                    "score": np.concatenate([scores for scores, _ in held]),
-                }
-            )
+            for i, start in enumerate(starts):
+                more = met(matrix, rows, ids, start)
+                held[i] = best(*(np.concatenate(pair) for pair in zip(held[i], more, strict=True)))
+        for asked, ids, scores in held:
+            if len(asked):
+                yield pd.DataFrame({"query_id": query_ids[asked], "id": ids, "score": scores})
 
     return search
 
@@ -199,26 +188,29 @@ def nearest(
 
     queries: query_id, embedding (and tag); vectors: id, embedding (and tag); ids are bigint. With
     `tagged`, a query only meets vectors of its own tag. Order: score at six decimals, then id.
+    Vectors that are NULL or hold NULL, NaN or infinite elements take no part; vectors of different
+    lengths end the job with an error.
 
     The query side is counted first (a job of its own). If it fits `max_shipped` values it goes to
     every task and the vectors are scanned in place, each task passing on k hits per query.
-    Otherwise both sides are cut into cells of about `cell_rows` rows that meet pairwise by an
-    equi-join on the cell number; each cell passes on k hits per query as well.
+    Otherwise, and with tags, both sides are cut into cells of about `cell_rows` rows that meet
+    pairwise by an equi-join on the cell number and the tag; each cell passes on k hits per query
+    as well.
     """
     extra = ["tag"] if tagged else []
     queries = queries.select("query_id", "embedding", *extra)
     vectors = vectors.select("id", "embedding", *extra)
     size = size or query_size(queries)
-    if size.rows * size.dimensions <= max_shipped:
-        hits = _scan(queries.toPandas(), vectors, k, tagged)
+    if size.rows * size.dimensions <= max_shipped and not tagged:
+        hits = _scan(queries.toPandas(), vectors, k)
     else:
-        hits = _grid(queries, vectors, k, tagged, size.rows, cell_rows)
+        hits = _grid(queries, vectors, k, extra, size.rows, cell_rows)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _scan(query_frame: pd.DataFrame, vectors: DataFrame, k: int, tagged: bool) -> DataFrame:
-    search = _searcher(k, tagged)
+def _scan(query_frame: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    search = _searcher(k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return search(query_frame, batches)
@@ -227,10 +219,10 @@ def _scan(query_frame: pd.DataFrame, vectors: DataFrame, k: int, tagged: bool) -
 
 
 def _grid(
-    queries: DataFrame, vectors: DataFrame, k: int, tagged: bool, query_rows: int, cell_rows: int
+    queries: DataFrame, vectors: DataFrame, k: int, tag: list[str], query_rows: int, cell_rows: int
 ) -> DataFrame:
     """Blocks of queries against blocks of vectors; the hash of the unique ids sets the block."""
-    across = math.ceil(query_rows / cell_rows)
+    across = max(1, math.ceil(query_rows / cell_rows))
     down = math.ceil(max(vectors.count(), 1) / cell_rows)
 
     def block(column: str, blocks: int) -> Column:
@@ -239,15 +231,18 @@ def _grid(
     def every(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
-    left = queries.withColumn("_q", block("query_id", across)).withColumn("_v", every(down))
-    right = vectors.withColumn("_v", block("id", down)).withColumn("_q", every(across))
-    search = _searcher(k, tagged)
+    # a missing tag equals no other
+    tags = [F.col(t).isNotNull() for t in tag] or [F.lit(True)]
+    left = queries.filter(tags[0]).withColumn("_q", block("query_id", across))
+    right = vectors.filter(tags[0]).withColumn("_v", block("id", down))
+    left, right = left.withColumn("_v", every(down)), right.withColumn("_q", every(across))
+    cells = ["_q", "_v", *tag]
+    search = _searcher(k)
 
     def cell(some_queries: pd.DataFrame, some_vectors: pd.DataFrame) -> pd.DataFrame:
-        for hits in search(some_queries, iter([some_vectors])):
-            return hits
-        return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype(
+        none = pd.DataFrame({"query_id": [], "id": [], "score": []}).astype(
             {"query_id": "int64", "id": "int64", "score": "float64"}
         )
+        return pd.concat([none, *search(some_queries, iter([some_vectors]))])
 
-    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(cell, HITS)
+    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(cell, HITS)

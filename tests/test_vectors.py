@@ -126,3 +126,21 @@ def test_encoder_plug_in(spark):
 
     got = {r["id"]: r["embedding"] for r in vectors.encode_with(texts, make).collect()}
     assert abs(got[1][0] / got[1][1] - 2) < 1e-6 and abs(np.hypot(*got[2]) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("kwargs", [{}, {"max_shipped": 0, "cell_rows": 2}])
+def test_vectors_that_are_not_finite_take_no_part(spark, kwargs):
+    rows = [(i, [float(i), 1.0]) for i in range(5)] + [(9, [float("nan"), 1.0]), (10, [float("inf"), 1.0]), (11, [None, 1.0])]
+    table = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    asks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 0.0])], "query_id bigint, embedding array<double>")
+    assert ranked(vectors.nearest(asks, table, 1, **kwargs)) == {1: [4]}
+    assert ranked(vectors.nearest(asks, table, 3, **kwargs)) == {1: [4, 3, 2]}
+
+
+def test_prefilter_without_a_crop_asks_for_any(spark, data):
+    asks, rows, corpus, asked, _ = data
+    from pyspark.sql import functions as F
+
+    none = asks.withColumn("crop", F.when(F.col("query_id") == 0, F.col("crop")))
+    got = ranked(retrieval.retrieve(none, rows, top_k=3, prefilter=True))
+    assert {q: got[q] for q in range(1, 5)} == {q: by_hand(corpus, asked[q], 3) for q in range(1, 5)}

@@ -39,6 +39,12 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+# ---- fixed values: runs of numbers alone that are no secrets, and the longest number beside words ----
+DATE = re.compile(r"(19|20)\d\d[-_/]?(0[1-9]|1[0-2])[-_/]?(0[1-9]|[12]\d|3[01])([-_/]?\d\d){0,3}([-_/]\d{1,9})*")
+COUNT = re.compile(r"\d{1,2}|(19|20)\d\d")
+NUMBER_DIGITS = 9
+#: Letters a token in words; random letters of one case have about 1.7.
+WORD_CHARS_PER_TOKEN = 3
 
 Span = tuple[int, int, int]
 
@@ -62,23 +68,30 @@ def plain_spans(text: str, raw: bytes) -> list[Span]:
     return sorted(spans)
 
 
-def known_form(run: str) -> bool:
+def known_form(run: str, path: str) -> bool:
     """A digest, a UUID, or an identifier made of words and numbers."""
     digest = len(run) in DIGEST_CHARS and HEX_ONLY.fullmatch(run)
-    return bool(digest or UUID.fullmatch(run) or named(run))
+    return bool(digest or UUID.fullmatch(run) or named(run, path))
 
 
-def named(run: str) -> bool:
-    """Letters and digits stay apart in each part, and capitals only begin words: a name, unless parts are very short."""
+def named(run: str, path: str) -> bool:
+    """Letters and digits stay apart in each part, and the vocabulary shows the letters to be words; or a date, or small numbers."""
     parts = [p for p in re.split(r"[+/_=-]+", run) if p]
+    if all(p.isdigit() for p in parts):
+        return bool(DATE.fullmatch(run)) or all(COUNT.fullmatch(p) for p in parts)
+    words = []
     for part in parts:
-        if not (part.isdigit() or part.isalpha()):
+        if not (part.isalpha() or part.isdigit() and len(part) <= NUMBER_DIGITS):
             return False
-        if part.isalpha() and not (part.islower() or part.isupper()):
-            words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", part)
-            if len(part) < 3 * len(words):
+        if part.isalpha():
+            inner = [part] if part.islower() or part.isupper() else re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", part)
+            if len(inner) > 1 and len(part) < 3 * len(inner):
                 return False
-    return True
+            words += inner
+    tokens = [len(vocabulary(path).encode_ordinary(f" {w.lower()}")) for w in words]
+    # A short word of one token counts as a word.
+    letters = sum(max(len(w), WORD_CHARS_PER_TOKEN * (n == 1)) for w, n in zip(words, tokens, strict=True))
+    return letters >= WORD_CHARS_PER_TOKEN * sum(tokens)
 
 
 def random_spans(text: str, taken: list[Span], path: str, most: float) -> list[Span]:
@@ -86,7 +99,7 @@ def random_spans(text: str, taken: list[Span], path: str, most: float) -> list[S
     spans = []
     for match in RUN.finditer(text):
         run, (begin, end) = match[0], match.span()
-        if known_form(run) or any(a < end and begin < b for a, _, b in taken):
+        if known_form(run, path) or any(a < end and begin < b for a, _, b in taken):
             continue
         if len(run) < most * len(vocabulary(path).encode_ordinary(run)):
             spans.append((begin, 3, end))

@@ -315,6 +315,20 @@ def test_secret_spans():
         assert not secrets.all_spans(calm.encode(), secrets.VOCABULARY, 2.0)[2]
 
 
+@pytest.mark.parametrize("secret", ["qzxkvjwpqhzmxkvbnqjzfrtw", "QZXKVJWPQHZMXKVBNQJZFRTW", "qzxk-vjwp-qhzm-xkvb-nqjz", "8305-1749-2260-9913-5587"])
+def test_random_letters_of_one_case_are_secrets(secret):
+    text, _, spans = secrets.all_spans(f"the {secret} end".encode(), secrets.VOCABULARY, secrets.MAX_CHARS_PER_TOKEN)
+    assert [text[a:b] for a, _, b in spans] == [secret]
+    assert secrets.redact(f"the {secret} end".encode(), secrets.VOCABULARY, secrets.MAX_CHARS_PER_TOKEN) == "the [secret] end"
+
+
+@pytest.mark.parametrize(
+    "name", ["to-be-or-not-to-be-is-it", "a/b/c/d/e/f/g/h/i/j/k", "2024-01-15_10-30-00-123", "SOME_LONG_OPTION_NAME_2", "someLongIdentifierNameHere", "-" * 30]
+)
+def test_names_are_no_secrets(name):
+    assert not secrets.all_spans(name.encode(), secrets.VOCABULARY, secrets.MAX_CHARS_PER_TOKEN)[2]
+
+
 # ---- op 10 ----
 
 

@@ -398,6 +398,31 @@ def test_radii_cover_the_distance():
             assert sum(r + 1 for r in radii) == 3
 
 
+def pairs_at_the_least_similarity(count):
+    """Fingerprints of pairs of sets of 500 shingles, 400 and 50 + 50: a similarity of 0.8."""
+    random = np.random.default_rng(13)
+    hashes = random.integers(0, 1 << 63, (count, 500), dtype=np.uint64)
+    made = [(simhash.fingerprint(h[:450], simhash.WORDS), simhash.fingerprint(np.append(h[:400], h[450:]), simhash.WORDS)) for h in hashes]
+    return np.array(made).view(np.uint64)
+
+
+def test_recall_at_the_least_similarity_at_any_size():
+    one, two = pairs_at_the_least_similarity(1000).transpose(1, 0, 2)
+    apart = one ^ two
+    for n in (10**3, 10**8):
+        plan = simhash.word_plan(np.tile(np.eye(64) * (n // 4) + n // 4, (simhash.WORDS, 1, 1)), n)
+        same = [apart[:, word] & np.uint64(sum(1 << b for b in bits)) == 0 for word, bits, radius in plan if radius == 0]
+        met = np.bitwise_count(apart[:, : simhash.MEETING_WORDS]).sum(axis=1, dtype=int) <= simhash.MEETING_DISTANCE
+        near = np.bitwise_count(apart).sum(axis=1, dtype=int) <= simhash.CANDIDATE_DISTANCE
+        assert (np.any(same, axis=0) & met & near).mean() >= 0.995
+
+
+def test_wide_fingerprints_equal_single_words():
+    hashes = np.random.default_rng(14).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    for n in (0, 1, 254, 255, 256, 1000):
+        assert simhash.wide_fingerprint(hashes[:n]).tolist() == simhash.fingerprint(hashes[:n], simhash.WORDS).tolist()
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101 + i) for i in range(50)]
     out = {r["node"]: r["root"] for r in connected.components(spark.createDataFrame(links, "u long, v long")).collect()}

@@ -46,8 +46,8 @@ MEETING_WORDS, MEETING_DISTANCE = 2, 36
 CANDIDATE_DISTANCE = 283
 #: Larger buckets of the first words elect a leader, whose copies are linked first.
 LEADER_ROWS, LEADER_WORDS = 8, 8
-#: Members by which a group of a leader meets the rest: all of a small group, nearly, and so many of a large one.
-GROUP_MEMBERS = 64
+#: Pairs of a bucket's rows that are compared at once.
+MET_PAIRS = 1 << 20
 
 
 def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
@@ -305,21 +305,56 @@ def leader_pairs(classes: DataFrame, plan: list[tuple[int, list[int], int]]) ->
     return _within(met.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), classes, CANDIDATE_DISTANCE)
 
 
+def _pairs_across(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Near nodes of different roots in one bucket; rows: bucket, root, node and first words, whole buckets by bucket and root."""
+    bucket, root, node = rows[:3]
+    words, n = rows[3:].view(np.uint64), rows.shape[1]
+    other = np.append(True, bucket[1:] != bucket[:-1])
+
+    def ends(starts: np.ndarray) -> np.ndarray:
+        at = np.append(np.flatnonzero(starts), n)
+        return np.repeat(at[1:], np.diff(at))
+
+    # Each row meets what follows its root's rows in its bucket.
+    begins = ends(other | np.append(True, root[1:] != root[:-1]))
+    counts = ends(other) - begins
+    done, at = np.append(0, np.cumsum(counts)), 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(done, done[at] + MET_PAIRS, side="right")) - 1)
+        some = counts[at:upto]
+        a = np.repeat(np.arange(at, upto), some)
+        b = np.arange(len(a)) - np.repeat(done[at:upto] - done[at], some) + begins[a]
+        near = np.bitwise_count(words[:, a] ^ words[:, b]).sum(axis=0, dtype=np.int32) <= MEETING_DISTANCE
+        one, two = node[a[near]], node[b[near]]
+        if len(one):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["u", "v"])
+        at = upto
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of a task's rows, which come by bucket and root; a bucket may go over several batches."""
+    held = []
+    for batch in batches:
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        cut = int(np.append(0, np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1)[-1]) if len(batch) else 0
+        if cut:
+            yield from _pairs_across(np.concatenate([*held, rows[:, :cut]], axis=1))
+            held = []
+        held.append(rows[:, cut:])
+    if held:
+        yield from _pairs_across(np.concatenate(held, axis=1))
+
+
 def group_pairs(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]]) -> DataFrame:
-    """u, v: near classes of different groups (led: node, root) that share a bucket of any part of any word.
+    """u, v: all near classes of different groups (led: node, root) that share a bucket of any part of any word.
 
     No pairs form within a group, so a large group of copies costs its members and not their pairs.
     """
-    grouped_rows = classes.select("node", "fp").join(led, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = grouped_rows.groupBy("root", F.pmod("node", F.lit(GROUP_MEMBERS)).alias("slot"))
-    members = saved(members.agg(F.min(F.struct("node", "fp")).alias("m")).select("m.*", "root"), "members")
+    members = classes.select("node", "fp").join(led, "node", "left").withColumn("root", F.coalesce("root", "node"))
     words = [f"w{i}" for i in range(MEETING_WORDS)]
-    asked = _buckets(members, plan, True, MEETING_WORDS, ("root",))
-    asked = asked.select("bucket", F.col("node").alias("u"), F.col("root").alias("root_u"), *[F.col(w).alias(f"{w}_u") for w in words])
-    index = _buckets(members, plan, False, MEETING_WORDS, ("root",))
-    near = _apart([F.col(w) for w in words], [F.col(f"{w}_u") for w in words]) <= MEETING_DISTANCE
-    met = asked.join(index, "bucket").filter((F.col("u") > F.col("node")) & (F.col("root") != F.col("root_u")) & near)
-    return _within(met.select("u", F.col("node").alias("v")).distinct(), classes, CANDIDATE_DISTANCE)
+    index = _buckets(members, plan, False, MEETING_WORDS, ("root",)).select("bucket", "root", "node", *words)
+    met = index.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(_across, "u long, v long")
+    return _within(met.distinct(), classes, CANDIDATE_DISTANCE)
 
 
 def grouped(prints: DataFrame, key: str, linker) -> DataFrame:

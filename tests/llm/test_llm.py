@@ -423,6 +423,16 @@ def test_wide_fingerprints_equal_single_words():
         assert simhash.wide_fingerprint(hashes[:n]).tolist() == simhash.fingerprint(hashes[:n], simhash.WORDS).tolist()
 
 
+def test_every_member_of_a_group_meets_other_groups(spark):
+    random = np.random.default_rng(15)
+    prints = random.integers(-(1 << 62), 1 << 62, (200, simhash.WORDS))
+    rows = [(i, p.tolist()) for i, p in enumerate(prints)] + [(1000 + i, (p ^ 1).tolist()) for i, p in enumerate(prints)]
+    plan = [(w, list(range(16 * part, 16 * part + 16)), 0) for w in range(simhash.WORDS) for part in range(4)]
+    led = spark.createDataFrame([(i, 0) for i in range(1, 200)], "node long, root long")
+    classes = spark.createDataFrame(rows, "node long, fp array<long>")
+    assert {tuple(r) for r in simhash.group_pairs(classes, led, plan).collect()} == {(1000 + i, i) for i in range(200)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101 + i) for i in range(50)]
     out = {r["node"]: r["root"] for r in connected.components(spark.createDataFrame(links, "u long, v long")).collect()}

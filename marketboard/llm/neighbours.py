@@ -3,7 +3,8 @@
 The trees are grown on a bounded sample: each node splits its points at the median of their projection on the line between two
 of them. Every vector is then indexed, once in each tree. A query walks all trees through one priority queue, ordered by
 the smallest margin by which the path to a node missed the query, until the leaves that it has reached hold enough
-candidates; these are ranked by their exact distance.
+candidates; these are ranked by their exact distance. How many are enough is measured in each run, on some queries whose
+nearest vectors are found among all.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ SAMPLE_ROWS = 50_000
 #: Indexed vectors in a leaf, about; and the least sampled ones, which bounds the forest.
 LEAF_ROWS = 24
 LEAF_SAMPLES = 6
-#: The leaves of one query hold so many indexed vectors, counted in each tree, times the root of all of them.
+#: The leaves of one query hold so many indexed vectors at least, counted in each tree, times the root of all of them.
 SEARCH_FACTOR = 60
+#: They hold more if that does not reach so many of the nearest vectors of so many queries. 0.9 is asked; the rest is a margin.
+RECALL, RECALL_QUERIES = 0.94, 128
 #: Queries whose vectors are sent to all tasks at once.
 QUERY_BLOCK = 4096
 #: Pairs whose distances a task computes at once.
@@ -201,6 +204,56 @@ def _reranked(points: pa.Table, width: int, most: int):
     return run
 
 
+def _closest(asks: np.ndarray, points: np.ndarray, most: int):
+    """A task's work on codes and vectors: the best codes of each query among all rows of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            code, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1), points.shape[1])
+            apart = (points**2).sum(axis=1)[:, None] + (vectors**2).sum(axis=1) - 2 * points @ vectors.T
+            apart[asks[:, None] == code] = np.inf
+            best = np.argpartition(apart, most - 1, axis=1)[:, :most] if len(code) > most else np.tile(np.arange(len(code)), (len(asks), 1))
+            columns = [np.repeat(asks, best.shape[1]), code[best].ravel(), np.take_along_axis(apart, best, axis=1).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ask", "code", "apart"])
+
+    return run
+
+
+def enough_rows(forest: Forest, sizes: np.ndarray, indexed: DataFrame, places: DataFrame, asked: DataFrame, neighbours: int, least: float) -> float:
+    """Rows that the leaves of a query have to hold for RECALL, from queries that come first by hash; at least the given ones."""
+    some = asked.select("ask").distinct().orderBy(F.xxhash64("ask"), "ask").limit(RECALL_QUERIES)
+    some = indexed.select(F.col("code").alias("ask"), "vector").join(F.broadcast(some), "ask").toArrow()
+    if not len(some):
+        return least
+    asks, points = some.column("ask").to_numpy(), _matrix(some.column("vector").combine_chunks(), forest.normals.shape[1])
+    near = indexed.select("code", "vector").mapInArrow(_closest(asks, points, neighbours), "ask long, code long, apart double")
+    order = Window.partitionBy("ask").orderBy("apart", "code")
+    near = near.filter(F.col("apart") < float("inf")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= neighbours)
+    near = saved(near.select("ask", "code"), "nearest")
+    # At most RECALL_QUERIES * neighbours vectors, each in one leaf of each tree.
+    homes = places.join(F.broadcast(near), "code").select("ask", "code", "leaf").toPandas()
+    if homes.empty:
+        return least
+    leaves_of = {ask: rows for ask, rows in homes.groupby("ask")}
+    enough = least
+    while True:
+        needed = []
+        for ask, point in zip(asks, points.astype(np.float32), strict=True):
+            if ask in leaves_of:
+                found = np.array(forest.search(point, sizes, enough))
+                held = np.cumsum(sizes[-found]) - sizes[-found]
+                before = dict(zip(found.tolist(), held.tolist(), strict=True))
+                at = leaves_of[ask]["leaf"].map(before).astype(float).fillna(np.inf)
+                needed += at.groupby(leaves_of[ask]["code"]).min().tolist()
+        reach = np.sort(needed)[int(np.ceil(RECALL * len(needed))) - 1]
+        # The walk goes on as long as its leaves hold less.
+        if np.isfinite(reach):
+            return max(least, reach + 1)
+        enough *= 2
+
+
 def nearest(
     vectors: DataFrame,
     queries: Column,
@@ -221,7 +274,6 @@ def nearest(
     asked = asked.select(F.col(key).cast("long").alias("query_id"), F.xxhash64(F.col(vector).cast("array<double>")).alias("ask")).distinct()
     asked = saved(asked, "queries")
     rows = indexed.count()
-    search_rows = search_factor * rows**0.5
     forest = grown(indexed, rows)
     if forest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -240,6 +292,7 @@ def nearest(
     counted = places.groupBy("leaf").agg(F.count("*").alias("n")).toArrow()
     sizes = np.zeros(1 - int(forest.children.min(initial=-1)), np.int64)
     sizes[-counted.column("leaf").to_numpy()] = counted.column("n").to_numpy()
+    search_rows = enough_rows(forest, sizes, indexed, places, asked, neighbours, search_factor * rows**0.5)
     del counted, forest
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

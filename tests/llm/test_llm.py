@@ -213,6 +213,17 @@ def test_neighbours_recall_ties_and_unusable_vectors(spark):
     assert neighbours.nearest(frame5.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_recall_does_not_hang_on_the_search_factor(spark):
+    points = np.random.default_rng(16).normal(size=(4000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in neighbours.nearest(rows, F.col("vec_id") % 40 == 0, search_factor=4).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    apart = ((points[::40, None] - points) ** 2).sum(axis=2)
+    best = {40 * i: set(np.argsort(a)[1:11].tolist()) for i, a in enumerate(apart)}
+    assert sum(len(found[q] & best[q]) for q in best) >= 0.9 * 10 * len(best)
+
+
 # ---- op 6 ----
 
 

@@ -8,13 +8,17 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketboard.sources.storage import work_path
 
 #: Bytes of text that one call of a text function gets at most, besides a single longer text.
 BATCH_BYTES = 8 << 20
+#: Rows that a function of another column gets at most.
+SLICE_ROWS = 256
 
 
 _SHIPPED: set[str] = set()
@@ -60,14 +64,15 @@ def uniform_hash(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def slices(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive slices of at most so many bytes; a longer text stands alone."""
+def slices(texts: list[bytes] | list[int], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive slices of at most so many bytes, from texts or their sizes; a longer text stands alone."""
     begin = total = 0
     for i, text in enumerate(texts):
-        if i > begin and total + len(text) > most:
+        size = text if isinstance(text, int) else len(text)
+        if i > begin and total + size > most:
             yield begin, i
             begin, total = i, 0
-        total += len(text)
+        total += size
     if begin < len(texts):
         yield begin, len(texts)
 
@@ -101,5 +106,31 @@ def per_text(
     return out.select(F.col("_key").alias(key), *names[1:], *frame.columns)
 
 
+def appended(df: DataFrame, column: str, name: str, kind: str, function: Callable[..., pa.Array], most: int | None = BATCH_BYTES) -> DataFrame:
+    """The rows with one more column at the end, made from one of theirs.
+
+    The function gets slices of the column: texts as a list of bytes (null: none) of at most so many bytes together,
+    besides a single longer one, or with most=None any column as an array of SLICE_ROWS rows. Each slice is handed on with
+    its rows before the next one is made, so a task holds the results of one slice only.
+    """
+    at = df.columns.index(column)
+    source = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    schema = T.StructType([*source.schema.fields, T.StructField("_made", T._parse_datatype_string(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if most is None:
+                bounds = [(i, min(i + SLICE_ROWS, len(batch))) for i in range(0, len(batch), SLICE_ROWS)]
+            else:
+                bounds = slices(pc.binary_length(batch.column(at)).fill_null(0).to_pylist(), most)
+            for begin, end in bounds:
+                part = batch.slice(begin, end - begin)
+                values = part.column(at)
+                made = function(values if most is None else values.cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "_made"])
+
+    return source.mapInArrow(run, schema).toDF(*df.columns, name)
+
+
 def _array(values) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketboard.llm import licenses, mixing, neighbours, ngrams, pieces, quality, secrets, sharding, simhash, toxicity
+from marketboard.llm import byte_pieces, licenses, mixing, neighbours, ngrams, pieces, quality, secrets, sharding, simhash, toxicity
 from marketboard.llm.common import held_out, table
 
 
@@ -51,6 +51,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, distance=2)
 
 
+def op13_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +68,7 @@ QUERIES = {
         op8_source_mixing,
         op9_secret_scans,
         op10_simhash,
+        op13_byte_pieces,
     )
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketboard.llm import byte_pieces, licenses, mixing, neighbours, ngrams, pieces, quality, secrets, sharding, simhash, toxicity
+from marketboard.llm import byte_pieces, licenses, mixing, neighbours, ngrams, pieces, quality, secrets, sharding, simhash, toxicity, vector_codes
 from marketboard.llm.common import held_out, table
 
 
@@ -51,6 +51,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, distance=2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def op13_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pieces.round_trip(table(spark, sf_dir, "documents"))
 
@@ -68,9 +72,10 @@ QUERIES = {
         op8_source_mixing,
         op9_secret_scans,
         op10_simhash,
+        op11_vector_codes,
         op13_byte_pieces,
     )
 }
 
 #: SQL for the queries that it can express.
-ORACLE = {"op1_sharding": sharding.oracle()}
+ORACLE = {"op1_sharding": sharding.oracle(), "op11_vector_codes": vector_codes.oracle()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketboard.llm import byte_pieces, licenses, mixing, neighbours, ngrams, pieces, quality, secrets, sharding, simhash, toxicity, vector_codes
+from marketboard.llm import byte_pieces, licenses, mixing, neighbours, ngrams, pieces, quality, ranking, secrets, sharding, simhash, toxicity, vector_codes
 from marketboard.llm.common import held_out, table
 
 
@@ -55,6 +55,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pieces.round_trip(table(spark, sf_dir, "documents"))
 
@@ -73,9 +77,10 @@ QUERIES = {
         op9_secret_scans,
         op10_simhash,
         op11_vector_codes,
+        op12_ranking,
         op13_byte_pieces,
     )
 }
 
 #: SQL for the queries that it can express.
-ORACLE = {"op1_sharding": sharding.oracle(), "op11_vector_codes": vector_codes.oracle()}
+ORACLE = {"op1_sharding": sharding.oracle(), "op11_vector_codes": vector_codes.oracle(), "op12_ranking": ranking.oracle()}

@@ -25,8 +25,12 @@ _SHIPPED: set[str] = set()
 
 
 def shipped(spark: SparkSession) -> None:
-    """Give tasks this package, for clusters on which it is not installed. Spark's own file server carries it."""
+    """Give tasks this package, for clusters on which it is not installed. Spark's own file server carries it.
+
+    Batches for Python are bounded by bytes too: many rows of long texts would not fit a task.
+    """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[2]
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='package-')}/marketboard_code", "zip", root, "marketboard")

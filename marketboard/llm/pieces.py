@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketboard.llm.common import per_text, slices
+from marketboard.llm.common import appended, fresh, per_text
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
@@ -298,24 +298,20 @@ def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text", mo
 
 
 def encoded(documents: DataFrame, text: str = "text", ids: str = "token_ids", model: str = MODEL) -> DataFrame:
-    """The documents with their ids (array of int, begin and end included) in a new column; null: as empty."""
-    if ids in documents.columns:
-        raise ValueError(f"there is a column {ids} already")
+    """The documents with their ids (array of int, begin and end included) in a new last column.
 
-    @F.arrow_udf("array<int>")
-    def run(column: pa.Array) -> pa.Array:
+    Null and empty texts have the two end ids. All other columns, rows and repeats stay; a name that is taken gets an
+    underscore. No documents, no rows.
+    """
+
+    def run(texts: list[bytes | None]) -> pa.Array:
         known = vocabulary(model)
-        texts = [x or b"" for x in column.to_pylist()]
-        flat, sizes = [np.zeros(0, np.int32)], []
-        for begin, end in slices(texts, SLICE_BYTES):
-            made = encode_all([t.decode("utf-8", "replace") for t in texts[begin:end]], known)
-            made = [with_ends(x, known).astype(np.int32) for x in made]
-            sizes += [len(x) for x in made]
-            flat.append(np.concatenate(made))
-        ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
-
-    return documents.withColumn(ids, run(F.col(text).cast("binary")))
+        made = encode_all([(t or b"").decode("utf-8", "replace") for t in texts], known)
+        made = [with_ends(x, known).astype(np.int32) for x in made]
+        ends = np.append(0, np.cumsum([len(x) for x in made])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
+
+    return appended(documents, text, fresh(documents, ids), "array<int>", run, SLICE_BYTES)
 
 
 def decoded(tokens: DataFrame, ids: str = "token_ids", text: str = "text", model: str = MODEL) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketboard.llm.common import fresh, per_text, saved
+from marketboard.llm.common import appended, fresh, per_text, saved
 
 # ---- fixed values: the plain test that comes before the votes --------------------------------
 MIN_WORDS = 50
@@ -192,19 +192,17 @@ def verdicts(documents: DataFrame, key: str = "doc_id", text: str = "text", keep
 
 
 def good_documents(documents: DataFrame, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """The documents with a good verdict, all columns unchanged.
+    """The documents with a good verdict, all columns unchanged. Null and empty texts fail; repeated rows are judged alike.
 
-    The patterns are counted in a first pass. The second one reads each text again in place of moving it to its
+    No documents, no rows. The patterns are counted in a first pass. The second one reads each text again in place of moving it to its
     verdict by a shuffle.
     """
 
-    @F.arrow_udf("long")
-    def code(column: pa.Array) -> pa.Array:
-        counts = counts_of(x.as_py() or b"" for x in column)
+    def code(texts: list[bytes | None]) -> pa.Array:
+        counts = counts_of(t or b"" for t in texts)
         return pa.array(np.where(base_failed(counts), -1, pattern_codes(votes(counts))))
 
-    plain = F.coalesce(F.col(text), F.lit("")).cast("binary")
     seen = saved(measured(documents.select(F.lit(0).alias("k"), F.col(text).alias("t")), "k", "t").select("code"), "patterns")
     good = [r["code"] for r in posteriors(seen).filter(F.col("probability") >= keep_from).collect()]
     name = fresh(documents, "_code")
-    return documents.withColumn(name, code(plain)).filter(F.col(name).isin(good)).drop(name)
+    return appended(documents, text, name, "long", code).filter(F.col(name).isin(good)).drop(name)

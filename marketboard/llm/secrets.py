@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketboard.llm.common import per_text
+from marketboard.llm.common import appended, fresh, per_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Random base64 has about 1.5 characters a token, random hexadecimal digits 1.8, prose over 3.
@@ -155,11 +155,14 @@ def redact(raw: bytes, path: str, most: float) -> str:
 def redacted(
     documents: DataFrame, text: str = "text", vocabulary_path: str = VOCABULARY, max_chars_per_token: float = MAX_CHARS_PER_TOKEN
 ) -> DataFrame:
-    """The documents with every span replaced in the text; overlapping spans by one mark. Null stays null."""
+    """The documents with every span replaced in the text; overlapping spans by one mark.
 
-    @F.arrow_udf("string")
-    def cleaned(column: pa.Array) -> pa.Array:
-        made = [None if x is None else redact(x, vocabulary_path, max_chars_per_token) for x in column.to_pylist()]
-        return pa.array(made, pa.string())
+    Null and empty texts stay as they are, and so do all other columns, rows and repeats; no documents, no rows.
+    """
+
+    def run(texts: list[bytes | None]) -> pa.Array:
+        return pa.array([None if t is None else redact(t, vocabulary_path, max_chars_per_token) for t in texts], pa.string())
 
-    return documents.withColumn(text, cleaned(F.col(text).cast("binary")))
+    cleaned = fresh(documents, "_cleaned")
+    made = appended(documents, text, cleaned, "string", run)
+    return made.select(*[F.col(cleaned).alias(c) if c == text else F.col(c) for c in documents.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketboard.llm.common import fresh, per_text, saved
+from marketboard.llm.common import appended, fresh, per_text, saved
 from marketboard.llm.connected import components
 
 BITS = 64
@@ -391,22 +391,21 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
     """
     one = fresh(documents, "_node")
 
-    @F.arrow_udf("array<long>")
-    def words_of(column: pa.Array) -> pa.Array:
-        rows = [wide_fingerprint(np.unique(shingle_hashes(x.as_py() or b"", SHINGLE_WORDS))) for x in column]
-        flat = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, WORDS, dtype=np.int32), flat)
+    def words_of(texts: list[bytes]) -> dict:
+        flat = pa.array(np.concatenate([wide_fingerprint(np.unique(shingle_hashes(t, SHINGLE_WORDS))) for t in texts]))
+        return {"fp": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, WORDS, dtype=np.int32), flat)}
 
-    @F.arrow_udf("array<long>")
-    def shingles_of(column: pa.Array) -> pa.Array:
-        sets = [np.unique(shingle_hashes(x.as_py() or b"", SHINGLE_WORDS)).view(np.int64) for x in column]
-        return pa.array(sets, pa.list_(pa.int64()))
+    def shingles_of(texts: list[bytes | None]) -> pa.Array:
+        sets = [np.unique(shingle_hashes(t or b"", SHINGLE_WORDS)).view(np.int64) for t in texts]
+        ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
 
     body = F.col(text).cast("binary")
     # A row is known by its key and all of its text; rows that share both are equal for this purpose.
-    mark = F.xxhash64(F.col(key), F.col(text))
-    prints = documents.select(F.col(key).alias("key"), mark.alias("mark"), words_of(body).alias("fp"))
-    prints = saved(prints.select("key", "mark", node_of("fp", WORDS).alias("node"), "fp"), "prints")
+    # Two hashes, as one would give some of many billion rows the same mark.
+    mark = F.struct(F.xxhash64(F.col(key), F.col(text)).alias("a"), F.xxhash64(F.lit("second"), F.col(text), F.col(key)).alias("b"))
+    prints = per_text(documents, key, text, "fp array<long>", words_of, extra=[mark])
+    prints = saved(prints.select(F.col(key).alias("key"), F.col("_extra0").alias("mark"), node_of("fp", WORDS).alias("node"), "fp"), "prints")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose shingles are similar enough, told by one text of each class."""
@@ -415,7 +414,7 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
         # Saved, so that its size is known when the join with all texts is planned.
         chosen = saved(prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")), "chosen")
         texts = documents.select(mark.alias("mark"), body.alias("body")).join(chosen, "mark").dropDuplicates(["node"])
-        sets = saved(texts.select("node", shingles_of("body").alias("set")), "shingles")
+        sets = saved(appended(texts.select("node", "body"), "body", "set", "array<long>", shingles_of).select("node", "set"), "shingles")
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
         both = both.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
         common = F.size(F.array_intersect("a", "b"))

@@ -558,3 +558,37 @@ ORACLE["advisory_board_scored"] = with_(
    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1)""",
 ) + f"""SELECT a.crop, mandi, decision, signal || ' — ' || {one('rain_3d_mm')} || ' mm' AS weather, advisory_source,
   22 AS outlook_points FROM answered a LEFT JOIN best b ON b.wanted = a.crop"""
+
+SEARCHED = [
+    # passages have ids from 0 up, the questions ids from -1 down
+    """texts AS (SELECT CAST(substr(id, 7) AS BIGINT) AS id, id AS chunk_id, crop, source_doc, page, text FROM passages
+   UNION ALL SELECT -row_number() OVER (ORDER BY crop), NULL, crop, NULL, NULL, crop || ' storage harvest price'
+   FROM (SELECT DISTINCT crop FROM silver))""",
+    *hashed_terms("texts", "id", 256),
+    *unit_cells("doc_id >= 0", "(SELECT count(*) FROM passages)"),
+    """scored AS (SELECT q.doc_id AS query_id, p.doc_id AS id, round(sum(q.weight * p.weight), 6) AS score
+   FROM cells q JOIN cells p ON q.dim = p.dim AND q.doc_id < 0 AND p.doc_id >= 0 GROUP BY 1, 2)""",
+]
+ORACLE["stored_search"] = with_(*PRICES, *PASSAGES, *SEARCHED,
+    """found AS (SELECT q.crop AS asked, p.*, coalesce(score, 0) AS score,
+     row_number() OVER (PARTITION BY q.id ORDER BY coalesce(score, 0) DESC, p.id) AS rank
+   FROM texts q JOIN texts p ON q.id < 0 AND p.id >= 0 AND lower(p.crop) = lower(q.crop)
+   LEFT JOIN scored s ON s.query_id = q.id AND s.id = p.id)""",
+) + """SELECT asked, CAST(rank AS INT) AS rank, chunk_id, id, source_doc, page, round(score, 4) + 0.0::DOUBLE AS score, text
+  FROM found WHERE rank <= 3"""
+ORACLE["chunk_numbers"] = with_(
+    """docs AS (SELECT row_number() OVER (ORDER BY CASE WHEN doc_id % 7 > 0 THEN 'doc-' || (doc_id % 97) END NULLS LAST,
+     CASE lang WHEN 'en' THEN 'Onion' WHEN 'de' THEN 'Tomato' WHEN 'fr' THEN 'Standard'
+     WHEN 'es' THEN 'Promo' ELSE upper(left(lang, 1)) || lower(substr(lang, 2)) END NULLS LAST, source NULLS LAST, md5(text) NULLS LAST) AS place,
+   CASE WHEN doc_id % 7 > 0 THEN 'doc-' || (doc_id % 97) END AS doc_id, string_split(text, chr(10)) AS pages FROM documents)""",
+    f"""pages_ AS (SELECT place, doc_id, page, {words('body')} AS ws FROM (
+   SELECT place, doc_id, unnest(pages) AS body, generate_subscripts(pages, 1) AS page FROM docs))""",
+    """cut AS (SELECT place, doc_id, page, s, array_to_string(ws[s + 1 : s + 80], ' ') AS text FROM (
+   SELECT *, unnest(range(0, len(ws), 60)) AS s FROM pages_))""",
+) + """SELECT n AS number, 'chunk_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS chunk_id,
+  doc_id, CAST(page AS INT) AS page, md5(text) AS digest FROM (SELECT *, row_number() OVER (ORDER BY place, page, s) - 1 AS n FROM cut)"""
+ORACLE["medallion_resumed"] = with_(*MODELS, fitted(60, "_60"), metrics(60, "_60"), *DETAIL) + """SELECT crop, mandi,
+  CAST((2 * s + n) // (2 * n) AS DOUBLE) / 100.0::DOUBLE AS mape, selected_mape,
+  'bronze silver gold models' AS kept, 8 AS entries FROM (SELECT crop, mandi, count(*) AS n,
+  sum(CAST(floor(abs(error_pct) * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS s FROM detail GROUP BY 1, 2)
+  JOIN (SELECT crop, mandi, mape AS selected_mape FROM metrics_60) USING (crop, mandi)"""

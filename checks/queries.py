@@ -24,6 +24,7 @@ from marketboard.operators import (
     runs,
     series,
     signals,
+    store,
     vectors,
 )
 from marketboard.plans import board, medallion
@@ -730,9 +731,8 @@ def text_chunks_all(spark, sf):
 
 
 def _passages(spark, sf):
-    """Chunk rows in stored order: id, crop, source_doc, page, text."""
-    listed = chunks.document_chunks(star.advisory_documents(spark, sf))
-    return chunks.with_chunk_ids(listed).withColumnRenamed("chunk_id", "id")
+    """A stored table of chunk rows: number, id, crop, source_doc, page, text."""
+    return chunks.numbered_chunks(star.advisory_documents(spark, sf)).withColumnRenamed("chunk_id", "id")
 
 
 @query
@@ -742,20 +742,20 @@ def chunk_table(spark, sf):
 
 @query
 def first_passages(spark, sf):
-    rows = retrieval.first_passages(_passages(spark, sf), top_k=3)
+    rows = retrieval.first_passages(_passages(spark, sf), top_k=3, order="number")
     return rows.select("crop_key", "rank", "id", "source_doc", "page", "text")
 
 
 @query
 def first_passages_any(spark, sf):
-    rows = retrieval.first_passages_any(_passages(spark, sf), top_k=10)
+    rows = retrieval.first_passages_any(_passages(spark, sf), top_k=10, order="number")
     return rows.select("rank", "id", "source_doc", "page", "text")
 
 
 @query
 def context_blocks(spark, sf):
     return retrieval.context_blocks(
-        retrieval.first_passages(_passages(spark, sf), top_k=3), ["crop_key"]
+        retrieval.first_passages(_passages(spark, sf), top_k=3, order="number"), ["crop_key"]
     )
 
 
@@ -772,7 +772,7 @@ def recommendations(spark, sf):
 @query
 def prompts(spark, sf):
     blocks = retrieval.context_blocks(
-        retrieval.first_passages(_passages(spark, sf)), ["crop_key"]
+        retrieval.first_passages(_passages(spark, sf), order="number"), ["crop_key"]
     )
     flat = signals.verdicts(latest.latest_per_series(gold(spark, sf)), rain(spark, sf))
     joined = flat.withColumn("crop_key", F.lower("crop")).join(blocks, "crop_key", "left")
@@ -901,7 +901,7 @@ def text_embeddings(spark, sf):
 
 @query
 def verdict_passages(spark, sf):
-    passages = board.crop_passages(retrieval.first_passages(_passages(spark, sf)))
+    passages = board.crop_passages(retrieval.first_passages(_passages(spark, sf), order="number"))
     flat = signals.verdicts(latest.latest_per_series(gold(spark, sf)), rain(spark, sf))
     joined = flat.withColumn("crop_key", F.lower("crop")).join(passages, "crop_key", "left")
     return joined.select(*SERIES, "decision", "advisory_text", "advisory_source")
@@ -910,26 +910,27 @@ def verdict_passages(spark, sf):
 @query
 def advisory_board(spark, sf):
     rows = board.advisory_board(
-        gold(spark, sf), rain(spark, sf), retrieval.first_passages(_passages(spark, sf)),
+        gold(spark, sf), rain(spark, sf), retrieval.first_passages(_passages(spark, sf), order="number"),
         languages=["English", "Hindi", "Tamil"],
     )
     return rows.withColumn("all_prices", F.to_json("all_prices"))
 
 
+def _questions(daily):
+    """One question for each crop of the prices."""
+    return daily.select("crop").distinct().select(
+        F.xxhash64("crop").alias("query_id"), "crop",
+        F.concat(F.col("crop"), F.lit(" storage harvest price")).alias("text"),
+    )
+
+
 @query
 def advisory_board_scored(spark, sf):
     """The board with passages found by text vectors, and the outlook nested in each row."""
-    passages = _passages(spark, sf).withColumn(
-        "number", F.regexp_extract("id", r"\d+", 0).cast("bigint")
-    )
-    encoder = vectors.fit_encoder(passages)
-    stored = vectors.encode(passages, encoder).drop("id").withColumnRenamed("number", "id")
+    target = work_path(spark, "vectors")
+    store.save_store(chunks.numbered_chunks(star.advisory_documents(spark, sf)), target)
     daily = saved_silver(spark, sf)
-    asked = daily.select("crop").distinct().select(
-        F.xxhash64("crop").alias("query_id"), "crop",
-        F.concat(F.col("crop"), F.lit(" storage harvest price")).alias("text"),
-    )
-    found = retrieval.retrieve(vectors.encode(asked, encoder), stored)
+    found = store.search(store.open_store(spark, target), _questions(daily))
     keyed = found.withColumn("crop_key", F.lower("crop"))
     view = outlook.outlook(
         daily, forecast.forecast(forecast.train(latest.as_series(daily), None))
@@ -941,11 +942,48 @@ def advisory_board_scored(spark, sf):
     )
 
 
+def _stages(spark, sf, root, source=None, **options):
+    return medallion.run_stages(
+        spark, source or _csv_folder(spark, sf), star.advisory_documents(spark, sf),
+        root, star.CROPS, star.MANDIS, star.ALIASES, **options,
+    )
+
+
 @query
 def medallion_stages(spark, sf):
     """All stages from files to vectors: the rows that each one wrote."""
-    reports = medallion.run_stages(
-        spark, _csv_folder(spark, sf), star.advisory_documents(spark, sf),
-        work_path(spark, "tables"), star.CROPS, star.MANDIS, star.ALIASES,
-    )
+    reports = _stages(spark, sf, work_path(spark, "tables"))
     return medallion.stage_table(spark, reports).select("stage", "rows")
+
+
+@query
+def medallion_resumed(spark, sf):
+    """A run that ended after its fourth stage goes on at the fifth: the error of each series' selected run."""
+    root, source = work_path(spark, "tables"), _csv_folder(spark, sf)
+    first = _stages(spark, sf, root, source, until="models")
+    then = _stages(spark, sf, root, source)
+    kept = [r.stage for r in then if r in first]
+    best = tables.read_table(spark, f"{root}/best_runs").select(*SERIES, F.col("mape").alias("selected_mape"))
+    found = tables.read_table(spark, f"{root}/backtest_summary").join(best, SERIES)
+    return found.withColumns({"kept": F.lit(" ".join(kept)), "entries": F.lit(len(medallion.finished_stages(spark, root)))})
+
+
+@query
+def stored_search(spark, sf):
+    """Questions against the vectors that a run of all stages has left, opened by the place of the table."""
+    root = work_path(spark, "tables")
+    _stages(spark, sf, root)
+    opened = store.open_store(spark, f"{root}/vectors")
+    asked = _questions(tables.read_table(spark, f"{root}/silver"))
+    rows = store.search(opened, asked, top_k=3, prefilter=True).join(asked.select("query_id", F.col("crop").alias("asked")), "query_id")
+    return rounded(rows, 4, "score").select("asked", "rank", "chunk_id", "id", "source_doc", "page", "score", "text")
+
+
+@query
+def chunk_numbers(spark, sf):
+    """Numbers of chunks whose documents have text keys, of which some are missing and many repeat."""
+    rows = star.advisory_documents(spark, sf)
+    name = F.concat(F.lit("doc-"), (F.col("doc_id") % 97).cast("string"))
+    keyed = rows.withColumn("doc_id", F.when(F.col("doc_id") % 7 > 0, name))
+    found = chunks.numbered_chunks(keyed, size=80, overlap=20, min_chars=None)
+    return found.select("number", "chunk_id", "doc_id", "page", F.md5("text").alias("digest"))

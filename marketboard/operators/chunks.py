@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketboard.config import CHUNK_MIN_CHARS, CHUNK_OVERLAP_WORDS, CHUNK_WORDS
 from marketboard.functions.text import word_windows, words
+from marketboard.sources.storage import work_path
+from marketboard.sources.tables import read_table, write_table
 
-# Integer document keys are cut into digits of this many bits; see running_offsets.
-DIGIT_BITS = 21
-DIGITS = 3
+# monotonically_increasing_id counts within a task in its lower bits.
+PLACE_BITS = 33
 
 
 def exploded(rows: DataFrame, column: str, position: str, element: str) -> DataFrame:
@@ -71,76 +72,61 @@ def document_chunks(
     return per_page.withColumn("chunks", F.flatten(tagged)).drop("_words", "_runs", "pages")
 
 
-def running_offsets(counts: DataFrame, key: str, count: str) -> DataFrame:
-    """For each integer key, the sum of `count` over all smaller keys, as column `offset`.
+def numbered(
+    rows: DataFrame,
+    order: Sequence[Column],
+    number: str = "number",
+    then: Callable[[DataFrame], DataFrame] | None = None,
+    target: str | None = None,
+) -> DataFrame:
+    """The rows with a dense number from 0 in the given order, from a table that is written for it.
 
-    Keys must be unique and lie within 63 bits. A running total over all keys at once would put
-    them into one task. Here a key is read as three digits of 21 bits: each level runs its window
-    among the children of one prefix only, of which there are at most 2**21 (2**22 at the top)
-    however many keys the table has, and offsets add up from the top down. A level and the one
-    above it read the same exchange.
+    Keys of any type that has an order will do; they may repeat and be NULL. Rows are dealt to ranges of the order whose
+    bounds Spark samples, sorted within each and written with their range and place. A table of one row for each range
+    then gives the number of the first row of each, and it is small enough to be sent to all tasks: rows move
+    once, and not for the numbers. Rows that are equal in the whole order may part at a bound, so a hot key is split.
+    `then` turns the sorted rows into those that are numbered, row by row and in place (chunks of texts).
     """
-    # never-null columns: a not-null filter derived on one level would make its exchange differ
-    whole = counts.filter(F.col(key).isNotNull())
-    rows = whole.select(
-        F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("_key"),
-        F.coalesce(F.col(count).cast("bigint"), F.lit(0)).alias("_n"),
-    )
-    levels = []
-    for digit in range(DIGITS):
-        siblings = Window.partitionBy("_up")
-        earlier = siblings.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-        is_top = digit == DIGITS - 1
-        up = F.lit(0).cast("bigint") if is_top else F.shiftright("_key", DIGIT_BITS)
-        level = rows.withColumn("_up", up).select(
-            "_key",
-            "_up",
-            F.sum("_n").over(earlier).alias("_before"),
-            F.sum("_n").over(
-                siblings.orderBy("_key").rowsBetween(
-                    Window.unboundedPreceding, Window.unboundedFollowing
-                )
-            ).alias("_total"),
-        )
-        levels.append(level)
-        # the first of each group of siblings stands for the group on the next level
-        rows = level.filter(F.col("_before").isNull()).select(
-            F.col("_up").alias("_key"), F.coalesce("_total", F.lit(0)).alias("_n")
-        )
-
-    def descend(above: DataFrame, level: DataFrame) -> DataFrame:
-        base = above.select(F.col("_key").alias("_up"), F.col("_off").alias("_base"))
-        return level.join(base, "_up").select(
-            "_key", (F.coalesce("_before", F.lit(0)) + F.col("_base")).alias("_off")
-        )
-
-    top = levels[-1].select("_key", F.coalesce("_before", F.lit(0)).alias("_off"))
-    offsets = reduce(descend, reversed(levels[:-1]), top)
-    return offsets.select(F.col("_key").alias(key), F.col("_off").alias("offset"))
-
-
-def with_chunk_ids(
-    documents: DataFrame, chunks: str = "chunks", key: str = "doc_id", prefix: str = "chunk_"
+    spark = rows.sparkSession
+    path = target or work_path(spark, "numbered")
+    dealt = rows.withColumn("_any", F.rand(1))
+    dealt = dealt.repartitionByRange(*order, "_any").sortWithinPartitions(*order, "_any").drop("_any")
+    placed = (then(dealt) if then else dealt).withColumn("_at", F.monotonically_increasing_id())
+    write_table(placed, path)
+    table = read_table(spark, path).withColumn("_range", F.shiftright("_at", PLACE_BITS))
+    # one row for each range, of which there are as many as tasks wrote them
+    sizes = read_table(spark, path).groupBy(F.shiftright("_at", PLACE_BITS).alias("_range")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return table.join(F.broadcast(firsts), "_range").withColumn(number, F.col("_first") + place).drop("_range", "_first", "_at")
+
+
+def document_order(documents: DataFrame, key: str = "doc_id") -> list[Column]:
+    """Ascending keys, NULL last; equal keys by crop, source and a digest of the pages."""
+    text = F.array_join(F.transform("pages", lambda p: F.coalesce(p, F.lit(""))), "\n")
+    return [c.asc_nulls_last() for c in (F.col(key), F.col("crop"), F.col("source_doc"), F.md5(text))]
+
+
+def numbered_chunks(
+    documents: DataFrame, key: str = "doc_id", prefix: str = "chunk_", target: str | None = None, **chunking
 ) -> DataFrame:
-    """Explode document_chunks into rows with chunk_id = prefix + running number from 0.
+    """number, chunk_id, key, crop, source_doc, page, text of all chunks of documents (see document_chunks).
 
-    The number follows (document, page, position). Ids have four digits, more where needed. The
-    counts per document come from the column n_chunks if a saved table has it.
+    Numbers run from 0 in the order of document, page and position; chunk_id is the prefix and the number with four digits,
+    more where needed. Documents without a key come last; documents with equal keys each keep their chunks. Every text is
+    chunked once, as the numbered rows are written (to `target`, a path).
     """
-    stored = "n_chunks" in documents.columns
-    sizes = documents.select(key, F.col("n_chunks") if stored else F.size(chunks).alias("n_chunks"))
-    numbered = documents.join(running_offsets(sizes, key, "n_chunks"), key)
-    others = [c for c in documents.columns if c not in (chunks, "n_chunks")]
-    rows = exploded(numbered, chunks, "_pos", "_chunk")
-    return rows.select(
-        F.format_string(prefix + "%04d", F.col("offset") + F.col("_pos")).alias("chunk_id"),
-        *others,
-        F.col("_chunk.page").alias("page"),
-        F.col("_chunk.text").alias("text"),
-    )
+
+    def cut(rows: DataFrame) -> DataFrame:
+        listed = exploded(document_chunks(rows, **chunking), "chunks", "_pos", "_chunk")
+        return listed.select(key, "crop", "source_doc", F.col("_chunk.page").alias("page"), F.col("_chunk.text").alias("text"))
+
+    rows = numbered(documents, document_order(documents, key), "number", cut, target)
+    name = F.format_string(prefix + "%04d", F.col("number"))
+    return rows.select("number", name.alias("chunk_id"), key, "crop", "source_doc", "page", "text")
 
 
 def chunk_table(documents: DataFrame, **kwargs) -> DataFrame:
     """chunk_id, crop, source_doc, page, text of all documents."""
-    rows = with_chunk_ids(document_chunks(documents, **kwargs))
-    return rows.select("chunk_id", "crop", "source_doc", "page", "text")
+    return numbered_chunks(documents, **kwargs).select("chunk_id", "crop", "source_doc", "page", "text")

@@ -136,14 +136,18 @@ def evaluate(
 def backtest(
     series: DataFrame,
     models: DataFrame,
-    train_rows: int = TRAIN_ROWS,
+    train_rows: int | None = TRAIN_ROWS,
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
     """Actual against forecast by date after the training rows: whole numbers and error %.
 
-    The horizon is the last of these dates, so every one of them has its forecast.
+    The horizon is the last of these dates, so every one of them has its forecast. With train_rows=None they are the dates
+    after each model's own last one: models of runs with different training sizes are each tested on what they have not seen.
     """
-    held_out = test_part(series, train_rows, keys).join(models, list(keys))
+    if train_rows is None:
+        held_out = series.join(models, list(keys)).filter(F.col("ds") > F.col("last_train"))
+    else:
+        held_out = test_part(series, train_rows, keys).join(models, list(keys))
     value = held_out.withColumn("yhat", yhat(F.col("ds")))
     return value.select(
         *keys,

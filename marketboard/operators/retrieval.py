@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketboard.config import OVER_FETCH, TOP_K
 from marketboard.functions.names import same_name
@@ -56,25 +57,34 @@ def retrieve(
     )
 
 
-def _stored_order(column: str) -> list[Column]:
-    """Ascending order of running numbers and of texts that end in one: shorter ones first."""
-    return [F.length(F.col(column).cast("string")), F.col(column)]
+def _stored_order(passages: DataFrame, column: str) -> list[Column]:
+    """Ascending order of numbers, or of texts that end in a running number: shorter ones first."""
+    if isinstance(passages.schema[column].dataType, T.StringType):
+        return [F.length(column), F.col(column)]
+    return [F.col(column)]
 
 
 def first_passages(passages: DataFrame, top_k: int = TOP_K, order: str = "id") -> DataFrame:
     """Unscored retrieval for all crops at once: the first top_k passages in stored order.
 
-    Crops compare without regard to case; the column crop_key holds the lower-cased name.
+    Crops compare without regard to case; the column crop_key holds the lower-cased name. Give it a stored table whose
+    order column is unique: the ranks are found from the two columns crop and order alone, of which each task passes on
+    top_k rows for a crop, and written; texts are then read for those few rows where they lie, without an exchange.
     """
-    keyed = passages.withColumn("crop_key", F.lower("crop"))
-    stored = Window.partitionBy("crop_key").orderBy(*_stored_order(order))
-    return keyed.withColumn("rank", F.row_number().over(stored)).filter(F.col("rank") <= top_k)
+    keyed = passages.select(F.lower("crop").alias("crop_key"), order)
+    stored = Window.partitionBy("crop_key").orderBy(*_stored_order(passages, order))
+    ranked = keyed.withColumn("rank", F.row_number().over(stored)).filter(F.col("rank") <= top_k)
+    path = work_path(passages.sparkSession, "first")
+    # written, so that its size is known when the join is planned
+    ranked.write.parquet(path)
+    return passages.join(passages.sparkSession.read.parquet(path), order)
 
 
 def first_passages_any(passages: DataFrame, top_k: int = TOP_K, order: str = "id") -> DataFrame:
     """Unscored retrieval without a crop: the first top_k passages of all."""
-    top = passages.orderBy(*_stored_order(order)).limit(top_k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*_stored_order(order))))
+    stored = _stored_order(passages, order)
+    top = passages.orderBy(*stored).limit(top_k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*stored)))
 
 
 def ranked_lists(passages: DataFrame, keys: list[str]) -> DataFrame:

@@ -33,7 +33,8 @@ HITS = "query_id bigint, id bigint, score double"
 
 
 def _tokens(texts: DataFrame, text: str) -> DataFrame:
-    return texts.withColumn("_tokens", words(F.lower(F.col(text))))
+    """A NULL text has no words, like an empty one."""
+    return texts.withColumn("_tokens", words(F.lower(F.coalesce(F.col(text), F.lit("")))))
 
 
 def fit_encoder(texts: DataFrame, text: str = "text", size: int = VECTOR_SIZE) -> PipelineModel:

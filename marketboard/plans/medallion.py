@@ -10,22 +10,44 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketboard.config import CROP_ALIASES, SERIES, TRAIN_ROWS
-from marketboard.operators.chunks import document_chunks, with_chunk_ids
+from marketboard.operators.chunks import numbered_chunks
 from marketboard.operators.clean import silver
 from marketboard.operators.features import gold
-from marketboard.operators.forecast import backtest, evaluate, train
+from marketboard.operators.forecast import backtest, backtest_summary, evaluate, train
 from marketboard.operators.latest import as_series
-from marketboard.operators.runs import best_run_per_series, ledger, run_summary
-from marketboard.operators.vectors import encode, fit_encoder
+from marketboard.operators.runs import best_run_per_series, ledger, models_of_runs, run_summary
+from marketboard.operators.store import save_store
 from marketboard.sources.tables import read_table, write_table
 from marketboard.streaming.ingest import ingest_price_csv
 
 
+STAGES = ("bronze", "silver", "gold", "models", "best_runs", "backtest", "chunks", "vectors")
+
+
 @dataclass
 class StageReport:
     stage: str
     rows: int
     seconds: float
+    run: int = 0
+
+
+MANIFEST = "run bigint, stage string, rows bigint, seconds double"
+
+
+def finished_stages(spark: SparkSession, root: str) -> list[StageReport]:
+    """The stages that all runs on this root have committed, by run and in their order."""
+    place = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
+    # an empty append, so that there is something to read before the first stage
+    spark.createDataFrame([], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/_manifest")
+    rows = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest").orderBy("run", place).collect()
+    return [StageReport(r["stage"], r["rows"], r["seconds"], r["run"]) for r in rows]
+
+
+def _commit(spark: SparkSession, root: str, report: StageReport) -> None:
+    """One row in the manifest, written when all that the stage writes is there."""
+    row = (report.run, report.stage, report.rows, report.seconds)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/_manifest")
 
 
 def save_counted(
@@ -46,12 +68,21 @@ def run_stages(
     mandis: Sequence[str] | None = None,
     aliases: Mapping[str, str] = CROP_ALIASES,
     train_rows: int = TRAIN_ROWS,
+    until: str | None = None,
 ) -> list[StageReport]:
-    """Ingest, clean, features, training, back-test, selection, chunks, vectors.
+    """Ingest, clean, features, training, selection, back-test of the selected runs, chunks, vectors.
 
-    Tables lie under `root`, which must be a folder that all executors reach. A stage reads the
-    tables of the stages before it, so a failed run resumes from what is written.
+    Tables lie under `root`, which must be a folder that all executors reach. Each stage reads the tables of those before
+    it and is entered in the manifest when its own are written. A call goes on with the last run on this root if that has
+    not finished (it failed, or ended after the stage `until`): committed stages are reported and not repeated, and a stage
+    that failed half way replaces what it had written. Otherwise a new run begins, which adds its models and its entries in
+    the run ledger to those of the runs before. The files that a run takes in are those there when its first stage runs.
     """
+    before = finished_stages(spark, root)
+    run = max((r.run for r in before), default=0)
+    done = {r.stage: r for r in before if r.run == run}
+    if not done or len(done) == len(STAGES):
+        run, done = max(int(time.time() * 1000), run + 1), {}
 
     def table(name: str) -> DataFrame:
         return read_table(spark, f"{root}/{name}")
@@ -67,57 +98,50 @@ def run_stages(
     def gold_stage() -> int:
         return save_counted(gold(table("silver")), f"{root}/gold", SERIES)
 
-    def train_stage() -> int:
-        started = int(time.time() * 1000)
+    def models_stage() -> int:
+        """A run's fits and ledger lie in folders of their own, so that a repeated stage adds nothing twice."""
         series = as_series(table("gold"))
         rows = save_counted(train(series, train_rows), f"{root}/fits")
-        metrics = evaluate(series, table("fits"), train_rows)
-        runs = ledger(
-            metrics,
+        entries = ledger(
+            evaluate(series, table("fits"), train_rows),
             {"train_days": train_rows, "seasonality_mode": "multiplicative"},
-            started, int(time.time() * 1000), f"{root}/models/",
+            run, max(int(time.time() * 1000), run), f"{root}/models/",
         )
-        write_table(runs, f"{root}/runs", mode="append")
-        ids = table("runs").filter(F.col("start_time") == started).select(*SERIES, "run_id")
-        write_table(table("fits").join(ids, SERIES), f"{root}/models", mode="append")
+        write_table(entries, f"{root}/runs/started={run}")
+        ids = read_table(spark, f"{root}/runs/started={run}").select(*SERIES, "run_id")
+        write_table(table("fits").join(ids, SERIES), f"{root}/models/started={run}")
         return rows
 
-    def backtest_stage() -> int:
-        detail = backtest(as_series(table("gold")), table("fits"), train_rows)
-        return save_counted(detail, f"{root}/backtest")
-
     def select_stage() -> int:
         return save_counted(best_run_per_series(run_summary(table("runs"))), f"{root}/best_runs")
 
+    def backtest_stage() -> int:
+        chosen = models_of_runs(table("models"), table("best_runs"))
+        rows = save_counted(backtest(as_series(table("gold")), chosen, None), f"{root}/backtest")
+        write_table(backtest_summary(table("backtest")), f"{root}/backtest_summary")
+        return rows
+
     def chunk_stage() -> int:
-        listed = document_chunks(documents).withColumn("n_chunks", F.size("chunks"))
-        write_table(listed, f"{root}/document_chunks")
-        return save_counted(
-            with_chunk_ids(table("document_chunks")).select(
-                "chunk_id", "crop", "source_doc", "page", "text"
-            ),
-            f"{root}/chunks",
-        )
+        return save_counted(numbered_chunks(documents), f"{root}/chunks")
 
     def vector_stage() -> int:
-        chunks = table("chunks")
-        return save_counted(encode(chunks, fit_encoder(chunks)), f"{root}/vectors")
-
-    stages: list[tuple[str, Callable[[], int]]] = [
-        ("bronze", bronze_stage),
-        ("silver", silver_stage),
-        ("gold", gold_stage),
-        ("models", train_stage),
-        ("backtest", backtest_stage),
-        ("best_runs", select_stage),
-        ("chunks", chunk_stage),
-        ("vectors", vector_stage),
-    ]
+        return save_store(table("chunks"), f"{root}/vectors", f"{root}/encoders")
+
+    work: dict[str, Callable[[], int]] = dict(
+        zip(
+            STAGES,
+            (bronze_stage, silver_stage, gold_stage, models_stage, select_stage, backtest_stage, chunk_stage, vector_stage),
+            strict=True,
+        )
+    )
     reports = []
-    for name, stage in stages:
-        begun = time.monotonic()
-        rows = stage()
-        reports.append(StageReport(name, rows, time.monotonic() - begun))
+    for name in STAGES[: STAGES.index(until) + 1] if until else STAGES:
+        if name not in done:
+            begun = time.monotonic()
+            rows = work[name]()
+            done[name] = StageReport(name, rows, time.monotonic() - begun, run)
+            _commit(spark, root, done[name])
+        reports.append(done[name])
     return reports
 
 

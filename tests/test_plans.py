@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import compare, connect
-from marketboard.operators import features, forecast, latest, outlook, retrieval, signals
+from marketboard.operators import features, forecast, latest, outlook, retrieval, signals, store
 from marketboard.plans import board, medallion
 from marketboard.sources import prices, tables
 
@@ -81,6 +81,75 @@ def test_stages_run_twice_on_the_same_root(spark, tmp_path):
     assert medallion.stage_table(spark, reports).count() == 8
 
 
+def test_broken_run_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
+    raw = daily(spark).selectExpr(
+        "cast(date as string) date", "crop", "mandi", "modal_price", "modal_price - 1 min_price",
+        "modal_price + 1 max_price", "2.0 arrivals_tonnes",
+    )
+    prices.export_csv(raw, str(tmp_path / "in"))
+    docs = spark.createDataFrame(
+        [(1, "Onion", "guide", [" ".join(["storage"] * 60)])],
+        "doc_id bigint, crop string, source_doc string, pages array<string>",
+    )
+    root = str(tmp_path / "root")
+
+    def run(**options):
+        return medallion.run_stages(spark, str(tmp_path / "in"), docs, root, ["Onion", "Tomato"], ["Nashik", "Pune"], train_rows=30, **options)
+
+    def broken(*args):
+        raise RuntimeError("lost")
+
+    # once while a stage has written half of what it writes, once between stages
+    monkeypatch.setattr(medallion, "models_of_runs", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        run()
+    monkeypatch.undo()
+    committed = medallion.finished_stages(spark, root)
+    assert [r.stage for r in committed] == ["bronze", "silver", "gold", "models", "best_runs"]
+    monkeypatch.setattr(medallion, "ingest_price_csv", broken)
+    monkeypatch.setattr(medallion, "train", broken)
+    reports = run()
+    assert reports[:5] == committed and [r.stage for r in reports] == list(medallion.STAGES)
+    assert len({r.run for r in reports}) == 1
+    assert tables.read_table(spark, f"{root}/runs").count() == 3
+    assert {(r["crop"], r["mandi"]) for r in tables.read_table(spark, f"{root}/backtest_summary").collect()} == {
+        ("Onion", "Nashik"), ("Onion", "Pune"), ("Tomato", "Pune")
+    }
+    monkeypatch.undo()
+    # that run has ended, so another one begins; a stage that is broken after half its writes is repeated whole
+    real = medallion.write_table
+    monkeypatch.setattr(medallion, "write_table", lambda df, target, *a, **k: broken() if "/models/" in target else real(df, target, *a, **k))
+    with pytest.raises(RuntimeError, match="lost"):
+        run()
+    monkeypatch.undo()
+    assert run(until="models")[-1].run > reports[0].run
+    assert tables.read_table(spark, f"{root}/runs").count() == 6
+    assert tables.read_table(spark, f"{root}/models").count() == 6
+
+
+def test_store_is_searched_with_its_own_encoder(spark, tmp_path):
+    words = ["storage rot onion", "pest blight tomato", "market price rise", None, ""]
+    rows = [(i, f"chunk_{i:04d}", "Onion" if i % 2 else "tomato", f"s{i}", 1, t) for i, t in enumerate(words)]
+    frame = spark.createDataFrame(rows, "number bigint, chunk_id string, crop string, source_doc string, page int, text string")
+    asked = spark.createDataFrame([(1, "tomato blight", "TOMATO"), (2, "price", None), (3, None, None)], "query_id bigint, text string, crop string")
+    spark.sql("CREATE SCHEMA IF NOT EXISTS storehouse")
+    for target in (str(tmp_path / "vectors"), "storehouse.vectors"):
+        assert store.save_store(frame, target) == 5
+        opened = store.open_store(spark, target)
+        assert opened.vectors.schema["id"].dataType.simpleString() == "bigint"
+        got = {(r["query_id"], r["rank"]): (r["id"], r["text"]) for r in store.search(opened, asked, top_k=1, prefilter=True).collect()}
+        assert got[1, 1] == (2, words[2]) or got[1, 1][1] in (words[2], words[4], words[0])
+        assert got[2, 1] == (2, words[2])
+        more = frame.filter("number = 0").selectExpr("100 + number number", "chunk_id", "'Onion' crop", "source_doc", "page", "'price of onions' text")
+        store.add_to_store(more, target)
+        again = store.open_store(spark, target)
+        assert again.encoder_path == opened.encoder_path and again.vectors.count() == 6
+    empty = str(tmp_path / "empty")
+    tables.write_table(opened.vectors.limit(0), empty)
+    with pytest.raises(ValueError, match="no passages"):
+        store.open_store(spark, empty)
+
+
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     df = contract.entry(spark)

@@ -1,6 +1,9 @@
+import datetime as dt
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import plan_of
@@ -67,14 +70,50 @@ def test_chunk_ids_are_dense_in_document_order(spark):
     ]
 
 
-def test_offsets_span_all_digit_levels(spark):
-    keys = [0, 1, 7, 2**21 - 1, 2**21, 2**21 + 5, 2**42 - 1, 2**42, 2**42 + 2**21, 2**61]
-    rows = [(k, i % 4) for i, k in enumerate(keys)]
-    got = dict(chunks.running_offsets(spark.createDataFrame(rows, "k bigint, n int"), "k", "n").collect())
-    want, total = {}, 0
-    for k, n in rows:
-        want[k], total = total, total + n
-    assert got == want
+def keyed(spark, rows, kind):
+    return spark.createDataFrame(rows, f"doc_id {kind}, crop string, source_doc string, pages array<string>")
+
+
+@pytest.mark.parametrize(
+    "kind,keys",
+    [
+        ("bigint", [0, 1, 7, 2**21 - 1, 2**21, 2**42, -5, 2**61, None, None, 7, 7]),
+        ("string", ["b", "a", None, "ä", "a", "", "B", None, "a"]),
+        ("date", [dt.date(2026, 1, 2), None, dt.date(2025, 1, 1), dt.date(2026, 1, 2)]),
+    ],
+)
+def test_numbers_of_any_keys(spark, kind, keys):
+    """Dense, in the order of the keys, missing ones last, and no chunk of a repeated key lost or doubled."""
+    body = "z" * 51
+    rows = [(k, "Onion", f"s{i}", [body, body + str(i)]) for i, k in enumerate(keys)]
+    got = chunks.numbered_chunks(keyed(spark, rows, kind).repartition(3)).orderBy("number").collect()
+    assert [r["number"] for r in got] == list(range(2 * len(keys)))
+    assert [r["chunk_id"] for r in got] == [f"chunk_{i:04d}" for i in range(2 * len(keys))]
+    there = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0].encode() if kind == "string" else r[0], r[2]))
+    order = there + sorted((r for r in rows if r[0] is None), key=lambda r: r[2])
+    assert [(r["doc_id"], r["source_doc"], r["page"], r["text"]) for r in got] == [
+        (k, s, page, text) for k, _, s, pages in order for page, text in enumerate(pages, 1)
+    ]
+
+
+def test_a_hot_key_is_split(spark):
+    """A third of all rows alike, most others without a key: no task numbers many times its share."""
+    rows = [(None if i % 3 else 1, "Onion", "s", ["z" * 51 if i % 3 == 0 else "y" * 51 + str(i)]) for i in range(6000)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        df = chunks.numbered(keyed(spark, rows, "bigint"), chunks.document_order(keyed(spark, rows, "bigint")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    path = df.inputFiles()
+    sizes = [spark.read.parquet(f).count() for f in path]
+    assert sum(sizes) == 6000 and max(sizes) < 3 * 6000 / 4
+    assert sorted(r["number"] for r in df.select("number").collect()) == list(range(6000))
+
+
+def test_no_chunks(spark):
+    assert chunks.numbered_chunks(documents(spark, [None, [], ["short"]])).count() == 0
+    assert chunks.chunk_table(documents(spark, [["x"]]).limit(0)).count() == 0
 
 
 def test_ids_grow_beyond_four_digits(spark):
@@ -83,12 +122,42 @@ def test_ids_grow_beyond_four_digits(spark):
     assert ids == {f"chunk_{i:04d}" for i in range(12000)}
 
 
-def test_document_text_is_read_twice_at_most(spark, tmp_path):
+def test_no_text_moves_for_the_numbers(spark, tmp_path):
     documents(spark, [["z" * 51]] * 3).write.parquet(str(tmp_path / "docs"))
-    df = chunks.chunk_table(spark.read.parquet(str(tmp_path / "docs")))
+    df = chunks.numbered_chunks(spark.read.parquet(str(tmp_path / "docs")))
     df.collect()
     final = plan_of(df).split("Initial Plan")[0]
-    assert final.count("FileScan") == 2 and "ReusedExchange" in final
+    # the stored chunks, and their places alone for the sizes of the ranges
+    assert final.count("FileScan") == 2 and final.count("text#") and "BroadcastHashJoin" in final
+    assert not [line for line in final.splitlines() if "Exchange" in line and "Broadcast" not in line and "text" in line]
+
+
+def test_first_passages_move_ranks_only(spark, tmp_path):
+    """More splits than cores: each task passes on top_k narrow rows for a crop, and texts stay where they are."""
+    path = str(tmp_path / "passages")
+    rows = spark.range(0, 4000, 1, 16).select(
+        F.col("id").alias("number"), F.concat(F.lit("Crop"), F.col("id") % 3).alias("crop"), F.lit("s").alias("source_doc"),
+        F.lit(1).alias("page"), F.repeat(F.lit("words "), 50).alias("text"),
+    )
+    rows.write.parquet(path)
+    stored = spark.read.parquet(path)
+    seen = []
+    held = retrieval.work_path
+    retrieval.work_path = lambda s, name: seen.append(held(s, name)) or seen[-1]
+    try:
+        got = retrieval.first_passages(stored, top_k=2, order="number")
+    finally:
+        retrieval.work_path = held
+    assert sorted((r["crop"], r["rank"], r["number"]) for r in got.collect()) == [
+        (f"Crop{c}", k + 1, c + 3 * k) for c in range(3) for k in range(2)
+    ]
+    assert spark.read.parquet(seen[0]).columns == ["crop_key", "number", "rank"]
+    final = plan_of(got).split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in final and "Exchange hashpartitioning" not in final
+    stored_plan = plan_of(stored.select(F.lower("crop").alias("crop_key"), "number").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("crop_key").orderBy("number"))).filter("rank <= 2"))
+    below = stored_plan.split("Exchange hashpartitioning")[1]
+    assert "WindowGroupLimit" in below and "Partial" in below and "text" not in below
 
 
 @pytest.fixture(scope="module")

@@ -539,25 +539,6 @@ def unit_cells(fitted_on: str, total: str) -> list[str]:
 ORACLE["text_embeddings"] = with_(
     *hashed_terms("documents", "doc_id", 64), *unit_cells("true", "(SELECT count(*) FROM documents)")
 ) + "SELECT doc_id, CAST(dim AS INT) AS dim, round(weight, 4) AS weight FROM cells"
-ORACLE["advisory_board_scored"] = with_(
-    *LATEST_ADVISED,
-    *PASSAGES,
-    # passages have ids from 0 up, the six questions ids from -6 to -1
-    """texts AS (SELECT CAST(substr(id, 7) AS BIGINT) AS id, crop, source_doc, page, text FROM passages
-   UNION ALL SELECT -row_number() OVER (ORDER BY crop), crop, NULL, NULL, crop || ' storage harvest price'
-   FROM (SELECT DISTINCT crop FROM silver))""",
-    *hashed_terms("texts", "id", 256),
-    *unit_cells("doc_id >= 0", "(SELECT count(*) FROM passages)"),
-    """scored AS (SELECT q.doc_id AS query_id, p.doc_id AS id, round(sum(q.weight * p.weight), 6) AS score
-   FROM cells q JOIN cells p ON q.dim = p.dim AND q.doc_id < 0 AND p.doc_id >= 0 GROUP BY 1, 2)""",
-    # passages that share no cell with the question score 0 and come last
-    """near AS (SELECT q.id AS query_id, q.crop AS wanted, p.id, p.crop, p.source_doc, p.page, coalesce(score, 0) AS score
-   FROM texts q JOIN texts p ON q.id < 0 AND p.id >= 0 LEFT JOIN scored s ON s.query_id = q.id AND s.id = p.id
-   QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY coalesce(score, 0) DESC, p.id) <= 6)""",
-    """best AS (SELECT *, 'Source: ' || source_doc || ' | Page ' || page AS advisory_source FROM near WHERE crop = wanted
-   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1)""",
-) + f"""SELECT a.crop, mandi, decision, signal || ' — ' || {one('rain_3d_mm')} || ' mm' AS weather, advisory_source,
-  22 AS outlook_points FROM answered a LEFT JOIN best b ON b.wanted = a.crop"""
 
 SEARCHED = [
     # passages have ids from 0 up, the questions ids from -1 down
@@ -592,3 +573,46 @@ ORACLE["medallion_resumed"] = with_(*MODELS, fitted(60, "_60"), metrics(60, "_60
   'bronze silver gold models' AS kept, 8 AS entries FROM (SELECT crop, mandi, count(*) AS n,
   sum(CAST(floor(abs(error_pct) * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS s FROM detail GROUP BY 1, 2)
   JOIN (SELECT crop, mandi, mape AS selected_mape FROM metrics_60) USING (crop, mandi)"""
+
+BOARD_TERMS = ["the", "₹", "quintal", "und", "que"]
+
+
+def restored(c: str, terms) -> str:
+    for i, t in enumerate(terms):
+        c = f"replace({c}, '__TERM{i}__', '{t}')"
+    return c
+
+
+def routed(c: str, name: str) -> str:
+    """A text as the translator gets it, its placeholders, and as it comes back; Tamil fails, English passes."""
+    masked_c = masked(c, BOARD_TERMS)
+    return f"""CASE WHEN language = 'English' THEN {c} ELSE {masked_c} END AS {name}_sources,
+  CASE WHEN language <> 'English' THEN {placeholders(c, BOARD_TERMS)} END AS {name}_placeholders,
+  CASE WHEN language = 'Hindi' THEN 'hi-IN: ' || {restored(f"replace({masked_c}, 'price', 'Preis')", BOARD_TERMS)} ELSE {c} END AS {name}_texts"""
+
+
+ORACLE["advisory_board_scored"] = with_(
+    *LATEST_ADVISED,
+    *PASSAGES,
+    *SEARCHED,
+    # passages that share no cell with the question score 0 and come last
+    """near AS (SELECT q.id AS query_id, q.crop AS wanted, p.* EXCLUDE (id), p.id, coalesce(score, 0) AS score
+   FROM texts q JOIN texts p ON q.id < 0 AND p.id >= 0 LEFT JOIN scored s ON s.query_id = q.id AND s.id = p.id
+   QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY coalesce(score, 0) DESC, p.id) <= 6)""",
+    """best AS (SELECT *, 'Source: ' || source_doc || ' | Page ' || page AS advisory_source FROM near WHERE crop = wanted
+   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1)""",
+    SERIES_ROWS, fitted(1_000_000_000, "_all"), ahead("days", "10", "_all"), predict("p", "days", "_all"),
+    "tail AS (SELECT crop, mandi, date, modal_price FROM silver QUALIFY row_number() OVER (PARTITION BY crop, mandi ORDER BY date DESC) <= 10)",
+    """points AS (SELECT crop, mandi, date AS day, 'actual' AS kind, modal_price AS price FROM tail
+   UNION ALL SELECT crop, mandi, ds, 'forecast', yhat FROM p
+   UNION ALL SELECT crop, mandi, ds, 'connector', yhat FROM p WHERE pos = 1
+   UNION ALL SELECT crop, mandi, max(date), 'connector', arg_max(modal_price, date) FROM tail GROUP BY crop, mandi)""",
+    """view_ AS (SELECT crop, mandi, string_agg(CAST(day AS VARCHAR) || ' ' || kind || ' ' || CAST(round(price) AS BIGINT), '; '
+   ORDER BY day, kind, price) AS outlook FROM points GROUP BY crop, mandi)""",
+    "languages(language) AS (VALUES ('English'), ('Hindi'), ('Tamil'))",
+) + f"""SELECT a.crop, a.mandi, language, decision, signal || ' — ' || {one('rain_3d_mm')} || ' mm' AS weather, advisory_source,
+  {routed("recommendation", "advice")}, {routed("b.text", "passage")},
+  CAST(language = 'Hindi' AND b.text IS NOT NULL AS INT) AS passage_translated, outlook
+  FROM answered a LEFT JOIN best b ON b.wanted = a.crop LEFT JOIN view_ v ON v.crop = a.crop AND v.mandi = a.mandi, languages"""
+ORACLE["evolving_stream"] = with_(BRONZE) + """SELECT date, crop, mandi, modal_price, min_price, max_price, arrivals_tonnes,
+  CASE WHEN date >= '1995-01-01' THEN state END AS state FROM bronze"""

@@ -30,7 +30,7 @@ from marketboard.operators import (
 from marketboard.plans import board, medallion
 from marketboard.sources import dimensions, prices, star, tables
 from marketboard.sources.storage import work_path
-from marketboard.streaming.ingest import ingest_price_csv
+from marketboard.streaming.ingest import ingest_evolving_csv, ingest_price_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,6 +124,24 @@ def stream_rerun(spark, sf):
     return tables.read_table(spark, counts)
 
 
+@query
+def evolving_stream(spark, sf):
+    """Files of 7 and of 8 columns in one folder, in batches of three, with a rerun that finds nothing new."""
+    rows, source = ticks(spark, sf), work_path(spark, "csv")
+    late = F.col("date") >= "1995-01-01"
+    columns = [*prices.PRICE_COLUMNS]
+    parts = rows.filter(~F.coalesce(late, F.lit(False))).select(*columns), rows.filter(late).select("state", *columns[::-1])
+    for part in parts:
+        writer = part.write.mode("append").option("header", True)
+        for side in ("Leading", "Trailing"):
+            writer = writer.option(f"ignore{side}WhiteSpace", False)
+        writer.csv(source)
+    target, progress = work_path(spark, "bronze"), work_path(spark, "progress")
+    for _ in range(2):
+        ingest_evolving_csv(spark, source, target, progress, max_files_per_batch=3)
+    return tables.read_table(spark, target, merge_schema=True).select(*columns, "state")
+
+
 @query
 def csv_typed_read(spark, sf):
     """Texts among the prices: they become NULL and the row stays."""
@@ -913,7 +931,7 @@ def advisory_board(spark, sf):
         gold(spark, sf), rain(spark, sf), retrieval.first_passages(_passages(spark, sf), order="number"),
         languages=["English", "Hindi", "Tamil"],
     )
-    return rows.withColumn("all_prices", F.to_json("all_prices"))
+    return rows.withColumn("all_prices", F.to_json("all_prices")).drop("sources", "placeholders", "texts", "translated")
 
 
 def _questions(daily):
@@ -935,10 +953,37 @@ def advisory_board_scored(spark, sf):
     view = outlook.outlook(
         daily, forecast.forecast(forecast.train(latest.as_series(daily), None))
     )
-    rows = board.advisory_board(features.gold(daily), rain(spark, sf), keyed, outlook=view)
+    terms = ["the", "₹", "quintal", "und", "que"]
+
+    def make_translator():
+        """Stands for a service: it changes a word, and for one language it is down."""
+
+        def translate(texts, code):
+            if code == "ta-IN":
+                raise ConnectionError(code)
+            return [f"{code}: {t.replace('price', 'Preis')}" for t in texts]
+
+        return translate
+
+    rows = board.advisory_board(
+        features.gold(daily), rain(spark, sf), keyed, languages=["English", "Hindi", "Tamil"], outlook=view,
+        terms=terms, make_translator=make_translator,
+    )
+
+    def told(column):
+        pairs = F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+        return F.array_join(pairs, ",")
+
+    points = F.transform("outlook", lambda p: F.concat_ws(" ", p["date"].cast("string"), p["kind"], F.round(p["price"]).cast("bigint")))
+    shown = {
+        f"{name}_{kind}": F.col(kind)[t] if kind != "placeholders" else told(F.col(kind)[t])
+        for t, name in (("recommendation", "advice"), ("advisory_text", "passage"))
+        for kind in ("sources", "placeholders", "texts")
+    }
     return rows.select(
-        *SERIES, "decision", "weather", "advisory_source",
-        F.size("outlook").alias("outlook_points"),
+        *SERIES, "language", "decision", "weather", "advisory_source", *[c.alias(n) for n, c in shown.items()],
+        F.col("translated")["advisory_text"].cast("int").alias("passage_translated"),
+        F.array_join(points, "; ").alias("outlook"),
     )
 
 

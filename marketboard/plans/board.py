@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketboard.config import SERIES
+from marketboard.config import PROTECTED_TERMS, SERIES
 from marketboard.functions.numbers import fixed
 from marketboard.functions.text import filled
 from marketboard.operators.advice import (
+    Translator,
     in_languages,
-    route_language,
-    with_mask,
+    mask_texts,
+    route_texts,
     with_recommendation,
 )
 from marketboard.operators.latest import at_crop_date, latest_per_series, price_board
@@ -21,6 +22,10 @@ from marketboard.operators.retrieval import context_text, ranked_lists
 from marketboard.operators.signals import verdicts
 
 
+# The texts of a board that are translated.
+TEXTS = ("recommendation", "advisory_text")
+
+
 def crop_passages(passages: DataFrame) -> DataFrame:
     """One row per crop_key: its context block, its first passage and that passage's source."""
     first = F.get("passages", F.lit(0))
@@ -41,10 +46,13 @@ def advisory_rows(
     passages: DataFrame,
     languages: Sequence[str] = ("English",),
     outlook: DataFrame | None = None,
+    terms: Sequence[str] = PROTECTED_TERMS,
+    make_translator: Callable[[], Translator] | None = None,
 ) -> DataFrame:
     """Flat advisory rows, one per series and language.
 
-    passages is a retrieval result with crop_key and rank. A crop without passages keeps NULL
+    Both TEXTS go through one route: see route_texts for sources, placeholders, texts and translated, maps by the name of the
+    text. passages is a retrieval result with crop_key and rank. A crop without passages keeps NULL
     advisory columns. outlook rows, if given, are nested in date order; a series has at most its
     history, its horizon and two connector ends of them.
     """
@@ -60,8 +68,8 @@ def advisory_rows(
             F.array_sort(F.collect_list(points)).alias("outlook")
         )
         full = full.join(nested, SERIES, "left")
-    masked = with_mask(full, "recommendation")
-    return route_language(in_languages(masked, languages), text="recommendation")
+    masked = mask_texts(full, TEXTS, terms)
+    return route_texts(in_languages(masked, languages), TEXTS, terms=terms, make_translator=make_translator)
 
 
 def board_records(rows: DataFrame) -> DataFrame:
@@ -79,12 +87,16 @@ def board_records(rows: DataFrame) -> DataFrame:
             F.col("signal"), F.lit(" — "), fixed(F.col("rain_3d_mm"), 1), F.lit(" mm")
         ).alias("weather"),
         "recommendation",
-        "source_text",
+        F.col("sources")["recommendation"].alias("source_text"),
         "language_code",
         "advisory_text",
         "advisory_source",
         "context",
         "all_prices",
+        "sources",
+        "placeholders",
+        "texts",
+        "translated",
         *optional,
     )
 

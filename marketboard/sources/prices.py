@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,23 @@ def csv_schema(spark: SparkSession, path: str) -> T.StructType:
     return T.StructType([known.get(n, T.StructField(n, T.StringType(), True)) for n in names])
 
 
+def header_schema(header: str) -> T.StructType:
+    """Schema of a CSV file from its header line: known columns with their types, others as text.
+
+    Names are trimmed and compared without regard to case. A column without a name, or with one that came before, is named
+    by its place.
+    """
+    known = {f.name: f for f in PRICE_SCHEMA.fields}
+    fields, taken = [], set()
+    for place, name in enumerate(next(csv.reader([header.removeprefix("\ufeff")]), [])):
+        name = name.strip().lower()
+        if not name or name in taken:
+            name = f"column_{place}"
+        taken.add(name)
+        fields.append(known.get(name, T.StructField(name, T.StringType(), True)))
+    return T.StructType(fields)
+
+
 def select_price_columns(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """The price columns by name; one that the source lacks is NULL."""
     wanted = [*PRICE_COLUMNS, *(extra or [])]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketboard.operators import audit, outlook
 from marketboard.sources import dimensions, prices, storage, tables
 from marketboard.streaming.ingest import ingest_price_csv
+from marketboard.streaming import ingest
 
 EIGHT = "date,crop,mandi,state,modal_price,min_price,max_price,arrivals_tonnes"
 ROW = "2026-01-01,Onion,Nashik,Maharashtra,820.0,740.0,920.0,200.5"
@@ -161,3 +162,50 @@ def test_spread_leaves_large_inputs_alone(spark):
     wide = spark.range(100, numPartitions=cores)
     assert tables.spread(wide) is wide
     assert tables.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == cores
+
+
+def layouts(folder):
+    """Files of several layouts, one name with a space, one of them empty, one with a quoted header."""
+    folder.mkdir()
+    (folder / "a 1[x].csv").write_text("date,crop,mandi,modal_price,min_price,max_price,arrivals_tonnes\n2026-01-01,Onion,Pune,1,2,3,4\n")
+    (folder / "b.csv").write_text('"Mandi", State ,crop,modal_price,date\nPune,MH,"Onion, red",bad,2026-01-02\nNashik,,Onion,7,2026-01-03\n')
+    (folder / "c.csv").write_text("")
+    (folder / "d.csv").write_text("grade,crop,,crop\nA,Onion,x,y\n")
+
+
+def evolved(spark, target):
+    return tables.read_table(spark, target, merge_schema=True)
+
+
+def test_files_of_any_layout_are_bound_by_their_own_header(spark, tmp_path):
+    layouts(tmp_path / "in")
+    target, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    for _ in range(2):
+        ingest.ingest_evolving_csv(spark, str(tmp_path / "in"), target, progress, max_files_per_batch=2)
+        got = {tuple(r) for r in evolved(spark, target).select("date", "crop", "mandi", "modal_price", "arrivals_tonnes", "state", "grade").collect()}
+        assert got == {
+            ("2026-01-01", "Onion", "Pune", 1.0, 4.0, None, None), ("2026-01-02", "Onion, red", "Pune", None, None, "MH", None),
+            ("2026-01-03", "Onion", "Nashik", 7.0, None, None, None), (None, "Onion", None, None, None, None, "A"),
+        }
+        assert evolved(spark, target).count() == 4
+    # a layout that was not there when the table began
+    (tmp_path / "in" / "later.csv").write_text("crop,season\nTomato,rabi\n")
+    ingest.ingest_evolving_csv(spark, str(tmp_path / "in"), target, progress)
+    assert [r["season"] for r in evolved(spark, target).filter("crop = 'Tomato'").collect()] == ["rabi"]
+    assert evolved(spark, target).count() == 5
+
+
+def test_a_failed_batch_is_repeated_without_copies(spark, tmp_path):
+    layouts(tmp_path / "in")
+    target, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+
+    def fails_after_writing(rows, folder):
+        rows.write.mode("overwrite").parquet(folder)
+        if folder.endswith("=1"):
+            raise RuntimeError("lost after the write")
+
+    with pytest.raises(Exception, match="lost after the write"):
+        ingest.ingest_evolving_csv(spark, str(tmp_path / "in"), target, progress, max_files_per_batch=2, store=fails_after_writing)
+    ingest.ingest_evolving_csv(spark, str(tmp_path / "in"), target, progress, max_files_per_batch=2)
+    rows = evolved(spark, target)
+    assert rows.count() == rows.select("crop", "date", "mandi").distinct().count() == 4

@@ -259,3 +259,52 @@ def test_prompt_and_answer(spark):
     assert got["user_prompt"].startswith("Crop: Onion\nMandi (home): Pune\nToday's price: ₹1100/quintal\n7-day price change: +4.8%\n")
     assert got["user_prompt"].endswith('End with: "Source: [advisory name]"')
     assert got["recommendation"] == "MONITOR: Stable. Today's price at Pune is ₹1100/quintal (+4.8% vs last week)."
+
+
+def routed(spark, make_translator=None, terms=PROTECTED_TERMS, **options):
+    rows = spark.createDataFrame(
+        [(1, "Sell Onion in Pune", "MSP is ₹20", "Hindi"), (2, "Hold", None, "Tamil"), (3, "Wait in Pune", "ICAR", "English"),
+         (4, "Onion bad", "Tomato", "Hindi"), (5, "", "Nashik", "Swahili")],
+        "id int, advice string, passage string, language string",
+    )
+    out = advice.route_texts(rows, ["advice", "passage"], terms=terms, make_translator=make_translator, **options)
+    return {r["id"]: r for r in out.collect()}
+
+
+def some_service():
+    """Nested, so that tasks get it by value."""
+
+    def service():
+        def translate(texts, code):
+            if code == "ta-IN" or any("bad" in t for t in texts):
+                raise ConnectionError(code)
+            return [f"<{code}> {t}" for t in texts]
+
+        return translate
+
+    return service
+
+
+def test_both_texts_go_one_route_and_come_back_with_their_terms(spark):
+    got = routed(spark, some_service(), batch_texts=2)
+    assert got[1]["sources"] == {"advice": "Sell __TERM2__ in __TERM1__", "passage": "__TERM6__ is __TERM8__20"}
+    assert got[1]["placeholders"]["passage"] == {"__TERM6__": "MSP", "__TERM8__": "₹"}
+    assert got[1]["texts"] == {"advice": "<hi-IN> Sell Onion in Pune", "passage": "<hi-IN> MSP is ₹20"}
+    assert got[1]["translated"] == {"advice": True, "passage": True}
+    # a service that is down, a text that it cannot take, and texts that need none: the originals
+    assert got[2]["texts"] == {"advice": "Hold", "passage": None} and not any(got[2]["translated"].values())
+    assert got[4]["texts"] == {"advice": "Onion bad", "passage": "<hi-IN> Tomato"}
+    assert got[4]["translated"] == {"advice": False, "passage": True}
+    for i, advice_text in ((3, "Wait in Pune"), (5, "")):
+        assert got[i]["texts"]["advice"] == got[i]["sources"]["advice"] == advice_text and not got[i]["needs_translation"]
+        assert got[i]["placeholders"]["advice"] is None and not any(got[i]["translated"].values())
+
+
+def test_no_translator_and_one_that_cannot_start(spark):
+    def broken():
+        raise OSError("no model")
+
+    assert routed(spark, broken)[1]["texts"]["advice"] == "Sell Onion in Pune"
+    assert routed(spark, lambda: lambda texts, code: texts[1:])[1]["texts"]["advice"] == "Sell Onion in Pune"
+    waiting = routed(spark)
+    assert waiting[1]["texts"] == {"advice": None, "passage": None} and waiting[3]["texts"]["advice"] == "Wait in Pune"

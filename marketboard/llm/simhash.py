@@ -46,6 +46,10 @@ MEETING_WORDS, MEETING_DISTANCE = 2, 36
 CANDIDATE_DISTANCE = 283
 #: Larger buckets of the first words elect a leader, whose copies are linked first.
 LEADER_ROWS, LEADER_WORDS = 8, 8
+#: Larger buckets are compared on all words, in blocks of so many rows.
+CROWD_ROWS, BLOCK_ROWS = 64, 512
+#: Words whose crowded buckets are linked before those of all words.
+CROWD_WAVES = (1, 4)
 #: Pairs of a bucket's rows that are compared at once.
 MET_PAIRS = 1 << 20
 
@@ -276,10 +280,10 @@ def exact_links(classes: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, plan: list[tuple[int, list[int], int]], probes: bool, words: int, carried: tuple = ()) -> DataFrame:
-    """node, carried columns, w (the first words), bucket: a row for each bucket of a class."""
+    """node, carried columns, w (the first words), bucket, part: a row for each bucket of a class."""
     rows = _parts(classes.select(F.struct("node", *carried).alias("node"), "fp"), plan, probes)
     first = [F.col("fp")[i].alias(f"w{i}") for i in range(words)]
-    return rows.select("node.*", *first, F.xxhash64("part", "key").alias("bucket"))
+    return rows.select("node.*", *first, F.xxhash64("part", "key").alias("bucket"), "part")
 
 
 def _apart(a: list[Column], b: list[Column]) -> Column:
@@ -305,10 +309,30 @@ def leader_pairs(classes: DataFrame, plan: list[tuple[int, list[int], int]]) ->
     return _within(met.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), classes, CANDIDATE_DISTANCE)
 
 
-def _pairs_across(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Near nodes of different roots in one bucket; rows: bucket, root, node and first words, whole buckets by bucket and root."""
-    bucket, root, node = rows[:3]
-    words, n = rows[3:].view(np.uint64), rows.shape[1]
+def _bits_apart(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(a), np.int32)
+    for word in words:
+        total += np.bitwise_count(word[a] ^ word[b])
+    return total
+
+
+def _first_met(words: np.ndarray, a: np.ndarray, b: np.ndarray, part: np.ndarray, masks: list[tuple[int, np.uint64]]) -> np.ndarray:
+    """Whether the part in which the pairs meet is the first one that they share."""
+    first = np.ones(len(a), bool)
+    for i, (word, mask) in enumerate(masks):
+        open_ = np.flatnonzero(first & (part > i))
+        if len(open_):
+            first[open_] = (words[word, a[open_]] ^ words[word, b[open_]]) & mask != 0
+    return first
+
+
+def _pairs_across(rows: np.ndarray, masks: list[tuple[int, np.uint64]] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket and nodes of near rows of different roots; rows: bucket, root, node, part and words, whole buckets by bucket and root.
+
+    With the masks of all parts, rows have all words: pairs are near as a whole and each is told once, in the first part.
+    """
+    bucket, root, node, part = rows[:4]
+    words, n = rows[4:].view(np.uint64), rows.shape[1]
     other = np.append(True, bucket[1:] != bucket[:-1])
 
     def ends(starts: np.ndarray) -> np.ndarray:
@@ -324,37 +348,148 @@ def _pairs_across(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         some = counts[at:upto]
         a = np.repeat(np.arange(at, upto), some)
         b = np.arange(len(a)) - np.repeat(done[at:upto] - done[at], some) + begins[a]
-        near = np.bitwise_count(words[:, a] ^ words[:, b]).sum(axis=0, dtype=np.int32) <= MEETING_DISTANCE
-        one, two = node[a[near]], node[b[near]]
-        if len(one):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["u", "v"])
+        near = _bits_apart(words[:MEETING_WORDS], a, b) <= MEETING_DISTANCE
+        a, b = a[near], b[near]
+        if masks:
+            near = _bits_apart(words, a, b) <= CANDIDATE_DISTANCE
+            a, b = a[near], b[near]
+            near = _first_met(words, a, b, part[a], masks)
+            a, b = a[near], b[near]
+        if len(a):
+            yield bucket[a], np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
         at = upto
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a task's rows, which come by bucket and root; a bucket may go over several batches."""
-    held = []
+def _as_pairs(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    for _, one, two in found:
+        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["u", "v"])
+
+
+def _as_partners(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """cell, node, partners: a row for each node that is in a pair of the cell, so as many as there are members at most."""
+    found = list(found)
+    if found:
+        cell, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends = np.concatenate([np.stack([cell, one], 1), np.stack([cell, two], 1)])
+        nodes, place = np.unique(ends, axis=0, return_inverse=True)
+        place = place.ravel()[: len(one)]
+        offsets = np.append(0, np.cumsum(np.bincount(place, minlength=len(nodes)))).astype(np.int32)
+        partners = pa.ListArray.from_arrays(pa.array(offsets), pa.array(two[np.argsort(place, kind="stable")]))
+        columns = [pa.array(nodes[:, 0].copy()), pa.array(nodes[:, 1].copy()), partners]
+        yield pa.RecordBatch.from_arrays(columns, ["cell", "node", "partners"])
+
+
+def _linked(rows: list[tuple[int, list[int], np.ndarray]]) -> list[tuple[int, int]]:
+    """Pairs of nodes with similar sets that connect all that such pairs of one cell connect; rows: node, partners, set."""
+    sets = {node: members for node, _, members in rows}
+    parent = {node: node for node in sets}
+
+    def top(node: int) -> int:
+        while parent[node] != node:
+            parent[node] = node = parent[parent[node]]
+        return node
+
+    links = []
+    for node, partners, mine in rows:
+        for other in partners:
+            if top(node) != top(other):
+                common = len(np.intersect1d(mine, sets[other], assume_unique=True))
+                if common * SIMILARITY[1] >= (len(mine) + len(sets[other]) - common) * SIMILARITY[0]:
+                    parent[top(node)] = top(other)
+                    links.append((node, other))
+    return links
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a task's rows (cell, node, partners, set), which come by cell; a cell may go over several batches."""
+    held, cell = [], None
     for batch in batches:
-        rows = np.stack([c.to_numpy() for c in batch.columns])
-        cut = int(np.append(0, np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1)[-1]) if len(batch) else 0
-        if cut:
-            yield from _pairs_across(np.concatenate([*held, rows[:, :cut]], axis=1))
-            held = []
-        held.append(rows[:, cut:])
-    if held:
-        yield from _pairs_across(np.concatenate(held, axis=1))
+        cells, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        partners, sets = batch.column(2).to_pylist(), batch.column(3)
+        begins, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        for i, at in enumerate(cells):
+            if at != cell:
+                yield _link_rows(held)
+                held, cell = [], at
+            held.append((nodes[i], partners[i], flat[begins[i] : begins[i + 1]]))
+    yield _link_rows(held)
+
+
+def _link_rows(rows: list[tuple[int, list[int], np.ndarray]]) -> pa.RecordBatch:
+    links = _linked(rows)
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["u", "v"])
+
+
+def _across(masks: list[tuple[int, np.uint64]] | None = None):
+    """A task's work on rows that come by bucket and root: their pairs, or with masks the partners of each node.
+
+    A bucket may go over several batches.
+    """
+
+    told = _as_partners if masks else _as_pairs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if held and held[0][0, 0] != rows[0, 0]:
+                yield from told(_pairs_across(np.concatenate(held, axis=1), masks))
+                held = []
+            cut = int(np.append(0, np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1)[-1])
+            if cut:
+                yield from told(_pairs_across(np.concatenate([*held, rows[:, :cut]], axis=1), masks))
+                held = []
+            held.append(rows[:, cut:])
+        if held:
+            yield from told(_pairs_across(np.concatenate(held, axis=1), masks))
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of crowded buckets (n: their number) with each bucket as cells of two blocks of its rows.
+
+    A block has `most` rows, about; every two blocks meet in a cell of their own, so that no task holds a large bucket.
+    """
+    count = F.ceil(F.col("n") / most).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), count).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))
+    return rows.withColumn("bucket", F.explode(F.when(count > 1, cells).otherwise(F.array("bucket")))).drop("n")
 
 
 def group_pairs(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]]) -> DataFrame:
-    """u, v: all near classes of different groups (led: node, root) that share a bucket of any part of any word.
+    """u, v: all near classes of different groups (led: node, root) that share a bucket of any part of any word."""
+    few, crowds = met_groups(classes, led, plan)
+    return few.union(crowds.select(F.col("node").alias("u"), F.explode("partners").alias("v"))).distinct()
+
 
-    No pairs form within a group, so a large group of copies costs its members and not their pairs.
+def met_groups(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]]) -> tuple[DataFrame, DataFrame]:
+    """The pairs of group_pairs in two parts: u, v from small buckets; cell, node, partners from crowded ones.
+
+    No pairs form within a group, so a large group of copies costs its members and not their pairs. Where few rows share a
+    bucket they carry their first words, and what is near in these is looked at as a whole afterwards. Rows of crowded
+    buckets, if these have more than one group, carry all words, and each of them lists its partners, near as a whole: the
+    comparisons of a cell stay in its task, and it sends a row for each member at most.
     """
     members = classes.select("node", "fp").join(led, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    words = [f"w{i}" for i in range(MEETING_WORDS)]
-    index = _buckets(members, plan, False, MEETING_WORDS, ("root",)).select("bucket", "root", "node", *words)
-    met = index.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(_across, "u long, v long")
-    return _within(met.distinct(), classes, CANDIDATE_DISTANCE)
+    names = [f"w{i}" for i in range(WORDS)]
+    index = _buckets(members, plan, False, MEETING_WORDS, ("root",))
+    index = index.select("bucket", "root", "node", F.col("part").cast("long").alias("part"), *names[:MEETING_WORDS])
+    sizes = index.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    crowded = saved(sizes.filter(F.col("n") > CROWD_ROWS).select("bucket", "n", (F.col("low") < F.col("high")).alias("mixed")), "crowded")
+
+    few = index.join(crowded, "bucket", "left_anti")
+    few = few.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(_across(), "u long, v long")
+    few = _within(few.distinct(), classes, CANDIDATE_DISTANCE)
+
+    masks = [(word, np.uint64(_mask(bits) % (1 << BITS))) for word, bits, _ in plan]
+    many = index.drop(*names).join(crowded.filter("mixed").drop("mixed"), "bucket")
+    many = _in_blocks(many).join(classes.select("node", "fp"), "node")
+    many = many.select("bucket", "root", "node", "part", *[F.col("fp")[i].alias(w) for i, w in enumerate(names)])
+    many = many.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(_across(masks), "cell long, node long, partners array<long>")
+    return few, many
 
 
 def grouped(prints: DataFrame, key: str, linker) -> DataFrame:
@@ -407,25 +542,38 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
     prints = per_text(documents, key, text, "fp array<long>", words_of, extra=[mark])
     prints = saved(prints.select(F.col(key).alias("key"), F.col("_extra0").alias("mark"), node_of("fp", WORDS).alias("node"), "fp"), "prints")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose shingles are similar enough, told by one text of each class."""
-        pairs = saved(pairs, "candidates")
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """node, set: the shingles of one text of each class."""
         # Saved, so that its size is known when the join with all texts is planned.
         chosen = saved(prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")), "chosen")
         texts = documents.select(mark.alias("mark"), body.alias("body")).join(chosen, "mark").dropDuplicates(["node"])
-        sets = saved(appended(texts.select("node", "body"), "body", "set", "array<long>", shingles_of).select("node", "set"), "shingles")
+        return saved(appended(texts.select("node", "body"), "body", "set", "array<long>", shingles_of).select("node", "set"), "shingles")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose shingles are similar enough."""
+        pairs = saved(pairs, "candidates")
+        sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
         both = both.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
         common = F.size(F.array_intersect("a", "b"))
         enough = common * SIMILARITY[1] >= (F.size("a") + F.size("b") - common) * SIMILARITY[0]
         return saved(both.filter(enough).select("u", "v"), "alike")
 
+    def alike_in_cells(crowds: DataFrame) -> DataFrame:
+        """Links of similar shingles that connect what the partners of crowded buckets connect."""
+        crowds = saved(crowds, "crowds")
+        rows = crowds.join(sets_of(crowds.select("node").distinct()), "node").select("cell", "node", "partners", "set")
+        return saved(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verified, "u long, v long"), "linked")
+
     def links(classes: DataFrame) -> DataFrame:
         plan = word_plan(*bit_counts(classes, WORDS))
-        first = alike(leader_pairs(classes, plan))
-        led = components(first)
-        return alike(group_pairs(classes, led, plan)).union(first)
+        found = alike(leader_pairs(classes, plan))
+        # Crowded buckets of ever more words: what is linked by the first ones does not meet in the others again.
+        for words in CROWD_WAVES:
+            _, crowds = met_groups(classes, components(found), [p for p in plan if p[0] < words])
+            found = found.union(alike_in_cells(crowds))
+        few, crowds = met_groups(classes, components(found), plan)
+        return alike(few).union(alike_in_cells(crowds)).union(found)
 
     groups = grouped(prints, "key", links).select("node", "root")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")

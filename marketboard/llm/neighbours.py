@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +25,11 @@ SAMPLE_ROWS = 50_000
 #: Indexed vectors in a leaf, about; and the least sampled ones, which bounds the forest.
 LEAF_ROWS = 24
 LEAF_SAMPLES = 6
-#: The leaves of one query hold so many indexed vectors at least, counted in each tree, times the root of all of them.
-SEARCH_FACTOR = 60
-#: They hold more if that does not reach so many of the nearest vectors of so many queries. 0.9 is asked; the rest is a margin.
+#: The leaves of one query hold as many indexed vectors, counted in each tree, as it takes to reach so many of the nearest vectors
+#: of so many queries. 0.9 is asked; the rest is a margin.
 RECALL, RECALL_QUERIES = 0.94, 128
-#: Queries whose vectors are sent to all tasks at once.
-QUERY_BLOCK = 4096
+#: Queries whose vectors a task holds at once, and the cells over which the vectors that a block of queries met are spread.
+QUERY_BLOCK, CELLS = 4096, 32
 #: Pairs whose distances a task computes at once.
 PAIRS = 1 << 15
 NEIGHBOURS = 10
@@ -181,25 +179,46 @@ def grown(indexed: DataFrame, rows: int, trees: int = TREES) -> Forest | None:
     )
 
 
-def _reranked(points: pa.Table, width: int, most: int):
-    """A task's work on codes, least ids, vectors and the queries that met them: the best codes of each query in each batch."""
-    order = points.sort_by("ask")
-    asks, places = order.column("ask").to_numpy(), _matrix(order.column("vector").combine_chunks(), width)
+def _reranked(width: int, most: int):
+    """A task's work on rows by (block, salt): first a block's queries, then vectors and the queries that met them.
+
+    Gives the best codes of each query in each batch. A task holds the vectors of one block of queries at a time.
+    """
+
+    def ranked(asks: np.ndarray, places: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        code, least = rows.column("ask").to_numpy(), rows.column("least").to_numpy()
+        vectors, met = _matrix(rows.column("vector"), width), rows.column("asks")
+        row = np.repeat(np.arange(len(rows)), met.value_lengths().to_numpy())
+        ask = np.searchsorted(asks, met.flatten().to_numpy())
+        score = np.empty(len(row))
+        for begin in range(0, len(row), PAIRS):
+            part = slice(begin, begin + PAIRS)
+            score[part] = np.sqrt(((vectors[row[part]] - places[ask[part]]) ** 2).sum(axis=1))
+        by = np.lexsort((least[row], score, ask))
+        by = by[np.arange(len(by)) - np.searchsorted(ask[by], ask[by]) < most]
+        columns = [asks[ask[by]], code[row[by]], least[row[by]], score[by]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ask", "code", "least", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, points = None, [], None
         for batch in batches:
-            code, least = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            vectors, met = _matrix(batch.column(2), width), batch.column(3)
-            row = np.repeat(np.arange(len(batch)), met.value_lengths().to_numpy())
-            ask = np.searchsorted(asks, met.flatten().to_numpy())
-            score = np.empty(len(row))
-            for begin in range(0, len(row), PAIRS):
-                part = slice(begin, begin + PAIRS)
-                score[part] = np.sqrt(((vectors[row[part]] - places[ask[part]]) ** 2).sum(axis=1))
-            by = np.lexsort((least[row], score, ask))
-            by = by[np.arange(len(by)) - np.searchsorted(ask[by], ask[by]) < most]
-            columns = [asks[ask[by]], code[row[by]], least[row[by]], score[by]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ask", "code", "least", "score"])
+            keys = np.stack([batch.column(name).to_numpy() for name in ("block", "salt", "is_vector")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                rows = batch.slice(begin, end - begin)
+                if not len(rows):
+                    continue
+                block, salt, is_vector = keys[:, begin].tolist()
+                if (block, salt) != cell:
+                    cell, held, points = (block, salt), [], None
+                if not is_vector:
+                    held.append((rows.column("ask").to_numpy(), _matrix(rows.column("vector"), width)))
+                else:
+                    if points is None:
+                        asks, places = (np.concatenate(x) for x in zip(*held, strict=True))
+                        order = np.argsort(asks)
+                        points, held = (asks[order], places[order]), []
+                    yield ranked(*points, rows)
 
     return run
 
@@ -223,6 +242,7 @@ def _closest(asks: np.ndarray, points: np.ndarray, most: int):
 
 def enough_rows(forest: Forest, sizes: np.ndarray, indexed: DataFrame, places: DataFrame, asked: DataFrame, neighbours: int, least: float) -> float:
     """Rows that the leaves of a query have to hold for RECALL, from queries that come first by hash; at least the given ones."""
+    least = max(least, float(TREES * neighbours))
     some = asked.select("ask").distinct().orderBy(F.xxhash64("ask"), "ask").limit(RECALL_QUERIES)
     some = indexed.select(F.col("code").alias("ask"), "vector").join(F.broadcast(some), "ask").toArrow()
     if not len(some):
@@ -260,7 +280,7 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     neighbours: int = NEIGHBOURS,
-    search_factor: float = SEARCH_FACTOR,
+    search_factor: float = 0,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest other vectors that the forest finds for every row that is a query.
 
@@ -308,21 +328,25 @@ def nearest(
     points = saved(points.repartition(spark.sparkContext.defaultParallelism, "ask"), "points")
     # By hash, so blocks differ in size; on average they are half of what is sent at most.
     blocks = max(1, -(-2 * points.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("ask"), F.lit(blocks)).alias("block")
-    pairs = points.mapInArrow(search, "ask long, leaf long").join(places, "leaf")
-    # Queries gather at the vectors that they met, so a vector moves once for a block and not once for each query.
-    met = pairs.groupBy("code", block).agg(F.collect_set("ask").alias("asks"))
-    met = met.join(indexed.select("code", "vector", F.col("ids")[0].alias("least")), "code").select("code", "least", "vector", "asks", "block")
-    if blocks > 1:
-        met = saved(met, "met")
+    block = F.pmod(F.xxhash64("ask"), F.lit(blocks)).cast("int").alias("block")
+    # A leaf's queries come as one list for a block of them, and meet its members as such: as many rows as the index has, for a
+    # block, and not one for each query and member.
+    visits = points.mapInArrow(search, "ask long, leaf long").withColumn("block", block)
+    visits = visits.groupBy("leaf", "block").agg(F.collect_list("ask").alias("asks"))
+    met = visits.join(places, "leaf").groupBy("code", "block").agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks"))
+    met = met.join(indexed.select("code", "vector", F.col("ids")[0].alias("least")), "code")
+    # Queries and the vectors that they met come together by block, spread over some cells to which all its queries go.
+    every = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))
+    some = points.select(
+        F.lit(0).alias("is_vector"), "ask", F.lit(0).cast("long").alias("least"), "vector", F.array().cast("array<long>").alias("asks"),
+        block, every.alias("salt"),
+    )
+    own = F.pmod(F.xxhash64("code"), F.lit(CELLS)).cast("int").alias("salt")
+    rows = some.union(met.select(F.lit(1), "code", "least", "vector", "asks", "block", own))
+    rows = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "is_vector")
+    scores = rows.mapInArrow(_reranked(width, neighbours + 2), "ask long, code long, least long, score double")
     order = Window.partitionBy("ask").orderBy("score", "least")
-    ranked = []
-    for number in range(blocks):
-        some = points.filter(block == number).toArrow()
-        scores = met.filter(F.col("block") == number).drop("block")
-        scores = scores.mapInArrow(_reranked(some, width, neighbours + 2), "ask long, code long, least long, score double")
-        ranked.append(scores.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= neighbours + 2))
-    best = reduce(DataFrame.union, ranked)
+    best = scores.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= neighbours + 2)
     best = best.join(indexed.select("code", "ids"), "code")
     answers = asked.join(best, "ask").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("query_id != vec_id")
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from marketboard.config import LANGUAGE_CODES, PROTECTED_TERMS
-from marketboard.operators.advice import SYSTEM_PROMPT
-
 ORACLE: dict[str, str] = {}
 
+# ---- fixed values: wordings that results must show ----------------------------------------------
+PROTECTED_TERMS = ["Nashik", "Pune", "Onion", "Tomato", "APMC", "ICAR", "MSP", "quintal", "₹"]
+LANGUAGE_CODES = {
+    "English": "en-IN", "Hindi": "hi-IN", "Marathi": "mr-IN", "Telugu": "te-IN", "Tamil": "ta-IN", "Kannada": "kn-IN",
+    "Gujarati": "gu-IN", "Bengali": "bn-IN", "Punjabi": "pa-IN",
+}
+SYSTEM_PROMPT = (
+    "You are Market Board, an agricultural advisor for Indian smallholder farmers. "
+    "Give clear, concise advice based on the price data and government advisory provided. "
+    "Cite the specific advisory source at the end. "
+    "Keep the response under 100 words. Do not use markdown formatting."
+)
+
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
@@ -422,7 +432,7 @@ ADVISED = [*PRICE_GOLD, *WEATHER, decided("d", "gold"), answered("d")]
 LATEST_ADVISED = [*PRICE_GOLD, LATEST, *WEATHER, decided("d", "latest"), answered("d")]
 ORACLE["recommendations"] = with_(*ADVISED) + f"SELECT crop, mandi, {D}, recommendation FROM answered"
 ORACLE["prompts"] = with_(*LATEST_ADVISED, *PASSAGES, firsts(2), BLOCKS) + f"""SELECT crop, mandi,
-  '{SYSTEM_PROMPT.replace("{persona}", "Market Board")}' AS system_prompt,
+  '{SYSTEM_PROMPT}' AS system_prompt,
   'Crop: ' || crop || chr(10) || 'Mandi (home): ' || mandi || chr(10) ||
   'Today''s price: ₹' || printf('%.0f', round(modal_price, 0)) || '/quintal' || chr(10) ||
   '7-day price change: ' || printf('%+.1f', round(pct_change_7d, 1) + 0.0::DOUBLE) || '%' || chr(10) ||
@@ -540,6 +550,12 @@ ORACLE["text_embeddings"] = with_(
     *hashed_terms("documents", "doc_id", 64), *unit_cells("true", "(SELECT count(*) FROM documents)")
 ) + "SELECT doc_id, CAST(dim AS INT) AS dim, round(weight, 4) AS weight FROM cells"
 
+ORACLE["plugged_embeddings"] = with_(
+    """words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents)""",
+    """counts AS (SELECT doc_id, strpos('0123456789abcdef', left(md5(w), 1)) - 1 AS dim, count(*) AS n FROM words GROUP BY 1, 2)""",
+) + """SELECT doc_id, CAST(dim AS INT) AS dim, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 4) AS weight
+  FROM counts"""
+
 SEARCHED = [
     # passages have ids from 0 up, the questions ids from -1 down
     """texts AS (SELECT CAST(substr(id, 7) AS BIGINT) AS id, id AS chunk_id, crop, source_doc, page, text FROM passages

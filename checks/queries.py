@@ -903,6 +903,32 @@ def vector_table(spark, sf):
     )
 
 
+def _make_letter_encoder():
+    """A small hashing encoder: words by the first hexadecimal digit of their digest, which SQL can tell as well."""
+    import hashlib
+    import re
+
+    def encode(texts):
+        counts = []
+        for one in texts:
+            row = [0.0] * 16
+            for word in re.findall("[A-Za-z0-9]+", one):
+                row[int(hashlib.md5(word.encode()).hexdigest()[0], 16)] += 1
+            counts.append(row)
+        return counts
+
+    return encode
+
+
+@query
+def plugged_embeddings(spark, sf):
+    """Whole documents by a plugged-in encoder, as (doc_id, dim, weight) rows without the zeros."""
+    encoded = vectors.encode_with(_texts(spark, sf), _make_letter_encoder, model="first digits")
+    cells = chunks.exploded(encoded.select("doc_id", "embedding"), "embedding", "dim", "weight")
+    cells = cells.filter("weight > 0")
+    return cells.select("doc_id", "dim", F.round(F.col("weight").cast("double"), 4).alias("weight"))
+
+
 @query
 def text_embeddings(spark, sf):
     """Unit vectors of whole documents as (doc_id, dim, weight) rows without the zeros."""

@@ -19,17 +19,20 @@ def exact_mean(
 ) -> Column:
     """Mean of values >= 0, rounded half-up to `digits`, free of floating-point drift.
 
-    The sum runs over whole units, so its result does not depend on the order in which partial
-    sums meet. Values are taken at `scale` decimals (scale >= digits). NULL and NaN are left out;
-    a sum that leaves the range of a bigint gives NULL instead of an error.
+    Values are taken at `scale` decimals (scale >= digits) as whole units, and these are summed and divided as
+    decimals, so the result does not depend on the order in which partial sums meet. NULL, NaN, infinite values and
+    values of 28 digits or more in units are left out. Ten billion of the largest values still add up; a sum beyond 38 digits
+    gives NULL.
     """
-    units = F.when(~F.isnan(value), as_units(value, scale))
+    units = F.when(~F.isnan(value), (value * F.lit(float(10**scale))).try_cast("decimal(28,0)"))
     total, rows = F.try_sum(units), F.count(units)
     if over is not None:
         total, rows = total.over(over), rows.over(over)
-    step = F.nullif(rows, F.lit(0)) * F.lit(10 ** (scale - digits))
-    rounded = int_div(F.lit(2) * total + step, F.lit(2) * step)
-    return rounded.cast("double") / F.lit(float(10**digits))
+    step = (F.nullif(rows, F.lit(0)) * F.lit(10 ** (scale - digits))).cast("decimal(20,0)")
+    # the part that is left over decides the last digit, so nothing is rounded before
+    rest = total % step
+    whole = ((total - rest) / step).cast("decimal(30,0)") + F.when(rest >= step - rest, 1).otherwise(0)
+    return (whole / F.lit(10**digits)).cast("double")
 
 
 def signed_round(value: Column, digits: int) -> Column:

@@ -43,45 +43,70 @@ def train(
 ) -> DataFrame:
     """One model row per series with at least `min_rows` rows.
 
-    `train_rows` None fits the whole series: a forecast to be served follows its last actual price.
-    All steps after the rank filter keep the series partitioning, so the job has a single exchange.
+    `train_rows` None fits the whole series: a forecast to be served follows its last actual price. Its moments are plain
+    aggregates: tasks pass on one row for a series, then one for a series and weekday, and lines meet the rows by a join
+    on the series. With a rank filter all steps after it keep the partitioning of the series, which then needs one exchange.
+    A series with a NULL key gets no model.
     """
     if train_rows is None:
-        first = long_enough(series, min_rows, keys)
+        first = series
     else:
         if min_rows > train_rows:
             series = long_enough(series, min_rows, keys)
-        first = long_enough(train_part(series, train_rows, keys), min(min_rows, train_rows), keys)
-    whole = Window.partitionBy(*keys)
-    x, y, line = F.col("_x"), F.col("y"), F.col("_line")
-    rows = (
-        first.withColumn("origin", F.min("ds").over(whole))
-        .withColumn("_x", F.datediff("ds", "origin").cast("double"))
-        .withColumn("slope", F.coalesce(F.regr_slope(y, x).over(whole), F.lit(0.0)))
-        .withColumn(
-            "intercept", F.coalesce(F.regr_intercept(y, x).over(whole), F.avg(y).over(whole))
-        )
-        .withColumn("_line", F.col("intercept") + F.col("slope") * x)
-        .withColumn("weekday", _weekday(F.col("ds")))
-    )
-    per_weekday = rows.withColumn(
-        "_factor",
-        F.coalesce(
-            F.avg(F.try_divide(y, line)).over(Window.partitionBy(*keys, "weekday")), F.lit(1.0)
-        ),
-    )
-    miss = y - line * F.col("_factor")
-    return per_weekday.groupBy(*keys).agg(
-        F.first("origin").alias("origin"),
+        first = train_part(series, train_rows, keys)
+    least = min_rows if train_rows is None else min(min_rows, train_rows)
+    lines = _lines(first, keys).filter(F.col("n_train") >= least)
+    return _models(first.join(lines, list(keys)), keys)
+
+
+def _lines(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """origin, last_train, n_train, intercept (at the origin) and slope of every series."""
+    # Days are counted from a fixed date, as the first one of a series is only known when all its rows have met.
+    x, y = F.unix_date(F.col("ds").cast("date")).cast("double"), F.col("y")
+    sums = rows.groupBy(*keys).agg(
+        F.min("ds").alias("origin"),
         F.max("ds").alias("last_train"),
         F.count("*").alias("n_train"),
-        F.first("intercept").alias("intercept"),
-        F.first("slope").alias("slope"),
+        F.avg(F.when(y.isNotNull(), x)).alias("_x"),
+        F.avg(y).alias("_y"),
+        F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
+    )
+    start = F.unix_date(F.col("origin").cast("date")).cast("double")
+    return sums.select(
+        *keys, "origin", "last_train", "n_train",
+        (F.col("_y") + F.col("slope") * (start - F.col("_x"))).alias("intercept"),
+        "slope",
+    )
+
+
+def _models(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One model row per series from its rows, which carry its line: weekday factors and sigma by sums for each weekday.
+
+    The miss is y - line * factor = (y - line) - line * (factor - 1), whose square is a sum of three sums of its parts.
+    """
+    y = F.col("y")
+    line = F.col("intercept") + F.col("slope") * F.datediff("ds", "origin").cast("double")
+    off = y - line
+    lines = [F.first(c).alias(c) for c in ("origin", "last_train", "n_train", "intercept", "slope")]
+    days = rows.groupBy(*keys, _weekday(F.col("ds")).alias("weekday")).agg(
+        *lines,
+        F.coalesce(F.avg(F.try_divide(y, line)), F.lit(1.0)).alias("_factor"),
+        F.count(off).alias("_n"),
+        F.sum(off * off).alias("_oo"),
+        F.sum(off * line).alias("_ol"),
+        F.sum(F.when(off.isNotNull(), line * line)).alias("_ll"),
+    )
+    more = F.col("_factor") - F.lit(1.0)
+    squares = F.col("_oo") - F.lit(2.0) * more * F.col("_ol") + more * more * F.col("_ll")
+    return days.groupBy(*keys).agg(
+        *lines,
         # at most seven distinct pairs
         F.map_from_entries(F.array_sort(F.collect_set(F.struct("weekday", "_factor")))).alias(
             "weekday_factors"
         ),
-        F.sqrt(F.avg(miss * miss)).alias("sigma"),
+        F.sqrt(
+            F.greatest(F.try_divide(F.sum(squares), F.sum("_n")), F.lit(0.0))
+        ).alias("sigma"),
     )
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -25,6 +28,8 @@ MAX_SHIPPED_VALUES = 4_000_000
 CELL_ROWS = 20_000
 # Scores are compared at this precision, so equal vectors tie whatever the order of summation.
 SCORE_DIGITS = 6
+# Texts, and their characters, that a plugged-in encoder gets at once.
+ENCODER_ROWS, ENCODER_CHARS = 1024, 1 << 22
 
 HITS = "query_id bigint, id bigint, score double"
 
@@ -63,21 +68,47 @@ def encode_with(
     make_encoder: Callable[[], Callable[[list[str]], np.ndarray]],
     text: str = "text",
     output: str = "embedding",
+    model: str | None = None,
+    batch_rows: int = ENCODER_ROWS,
+    batch_chars: int = ENCODER_CHARS,
 ) -> DataFrame:
-    """Plug in any batch text encoder; `make_encoder` runs once per task, in the task.
+    """Plug in any batch text encoder; its vectors are scaled to unit length here.
 
-    Its vectors are scaled to unit length here.
+    `make_encoder` runs in the tasks, once in each Python worker process for all tasks that it runs: a worker keeps the
+    encoder of one name, `model`, until one of another name is asked for. Without a name each call of this
+    function has its own. The encoder gets batches of at most `batch_rows` texts and `batch_chars` characters, besides a single
+    longer text. A NULL text is encoded like an empty one; a zero vector stays zero.
     """
+    name = model or uuid.uuid4().hex
     added = T.StructField(output, T.ArrayType(T.FloatType()))
     schema = T.StructType([*texts.schema.fields, added])
 
+    def loaded() -> Callable[[list[str]], np.ndarray]:
+        # The process keeps it under a module name, as this function itself is made anew in every task.
+        kept = sys.modules.setdefault("_encoder_of_worker", types.ModuleType("_encoder_of_worker"))
+        if getattr(kept, "name", None) != name:
+            kept.encoder, kept.name = make_encoder(), name
+        return kept.encoder
+
+    def bounds(sizes: list[int]) -> Iterator[tuple[int, int]]:
+        begin = total = 0
+        for i, size in enumerate(sizes):
+            if i > begin and (i - begin >= batch_rows or total + size > batch_chars):
+                yield begin, i
+                begin, total = i, 0
+            total += size
+        if begin < len(sizes):
+            yield begin, len(sizes)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_encoder()
+        encoder = loaded()
         for batch in batches:
-            matrix = np.asarray(model(batch[text].fillna("").tolist()), dtype=np.float64)
-            length = np.linalg.norm(matrix, axis=1, keepdims=True)
-            unit = (matrix / np.where(length == 0, 1.0, length)).astype(np.float32)
-            yield batch.assign(**{output: list(unit)})
+            asked = batch[text].fillna("").tolist()
+            for begin, end in bounds([len(t) for t in asked]):
+                matrix = np.asarray(encoder(asked[begin:end]), dtype=np.float64)
+                length = np.linalg.norm(matrix, axis=1, keepdims=True)
+                unit = (matrix / np.where(length == 0, 1.0, length)).astype(np.float32)
+                yield batch.iloc[begin:end].assign(**{output: list(unit)})
 
     return texts.mapInPandas(run, schema)
 

@@ -1,7 +1,9 @@
 import datetime as dt
+import itertools
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import plan_of
@@ -56,6 +58,23 @@ def test_exact_mean_edges(spark):
     assert got == {"a": 1.01, "b": None, "c": 2.0}
 
 
+def test_exact_mean_of_large_values(spark):
+    rows = [("a", 2e14)] * 50_000 + [("b", 2e14), ("b", 2e14 + 1), ("c", 3e30), ("c", float("inf")), ("c", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = dict(df.groupBy("k").agg(exact_mean(F.col("v"))).collect())
+    # no text of a number in between: what is too large to count is left out like NaN
+    assert got == {"a": 2e14, "b": 2e14 + 0.5, "c": 1.0}
+    over = df.filter("k <> 'a'").withColumn("m", exact_mean(F.col("v"), over=Window.partitionBy("k")))
+    assert {(r["k"], r["m"]) for r in over.collect()} == {("b", 2e14 + 0.5), ("c", 1.0)}
+
+
+def test_exact_mean_rounds_half_up_from_whole_units(spark):
+    for some in itertools.combinations_with_replacement([0.0, 0.01, 0.0149, 0.015, 1.005, 99.9999], 3):
+        df = spark.createDataFrame([(v,) for v in some], "v double").coalesce(1)
+        exact = sum(Decimal(str(v)) for v in some) / 3
+        assert df.agg(exact_mean(F.col("v"))).first()[0] == float(exact.quantize(Decimal("0.01"), ROUND_HALF_UP)), some
+
+
 def test_fixed_text(spark):
     df = spark.createDataFrame([(-12.75,), (4.0,), (-0.04,)], "v double")
     assert [r[0] for r in df.select(fixed(F.col("v"), 1, signed=True)).collect()] == ["-12.8", "+4.0", "+0.0"]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from marketboard.operators import forecast, outlook, runs, series
 
 SERIES = "crop string, mandi string, ds date, y double"
@@ -164,3 +165,28 @@ def test_served_forecasts_follow_the_last_actual(table):
     assert models.count() > 0 and both.filter("last_train <> last OR n_train <> n").count() == 0
     ahead = forecast.forecast(models).join(last, ["crop", "mandi"])
     assert ahead.filter("ds <= last").count() == 0
+
+
+def test_whole_series_fit_is_made_of_partial_sums(table):
+    plan = plan_of(forecast.train(table, None)).split("Initial Plan")[0]
+    assert "Window" not in plan and "partial_regr" in plan
+    assert "partial_sum" in plan and "CartesianProduct" not in plan
+
+
+def test_whole_series_fit_equals_the_ranked_one(table):
+    """A rank filter that lets all rows pass gives the same models by another plan."""
+    got, want = ({r["crop"]: r for r in forecast.train(table, n).collect()} for n in (None, 1000))
+    assert got.keys() == want.keys() == {"middle", "long"}
+    for crop, one in got.items():
+        rows = prices(45, "middle", 2) if crop == "middle" else prices(90, "long", 3)
+        _, sigma = by_hand(rows, 1)
+        assert one["sigma"] == pytest.approx(sigma, rel=1e-9)
+        for column in ("intercept", "slope", "sigma"):
+            assert one[column] == pytest.approx(want[crop][column], rel=1e-9)
+        assert one["weekday_factors"] == pytest.approx(want[crop]["weekday_factors"])
+
+
+def test_a_perfect_fit_has_no_spread(spark):
+    rows = [("line", "m", DAY + dt.timedelta(days=i), 100.0 + 2 * i) for i in range(70)]
+    got = forecast.train(spark.createDataFrame(rows, SERIES), None).first()
+    assert 0 <= got["sigma"] < 1e-5 and got["slope"] == pytest.approx(2.0) and got["intercept"] == pytest.approx(100.0)

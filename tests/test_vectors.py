@@ -144,3 +144,28 @@ def test_prefilter_without_a_crop_asks_for_any(spark, data):
     none = asks.withColumn("crop", F.when(F.col("query_id") == 0, F.col("crop")))
     got = ranked(retrieval.retrieve(none, rows, top_k=3, prefilter=True))
     assert {q: got[q] for q in range(1, 5)} == {q: by_hand(corpus, asked[q], 3) for q in range(1, 5)}
+
+
+def test_plugged_encoder_gets_bounded_batches_and_is_made_once_a_worker(spark):
+    rows = [(i, None if i % 5 == 0 else "w" * (i % 9)) for i in range(200)] + [(999, "v" * 500)]
+    texts = spark.createDataFrame(rows, "id bigint, text string").repartition(6)
+
+    def make():
+        import os
+        import uuid
+
+        made = hash((os.getpid(), uuid.uuid4().hex)) % (1 << 20)
+
+        def encode(batch):
+            assert len(batch) <= 7 and (len(batch) == 1 or sum(map(len, batch)) <= 20)
+            return [[len(t), made, os.getpid()] for t in batch]
+
+        return encode
+
+    raw = vectors.encode_with(texts, make, batch_rows=7, batch_chars=20).collect()
+    assert len(raw) == 201 and all(r["embedding"] is not None for r in raw)
+    # as many encoders as processes
+    made = {round(r["embedding"][1] / r["embedding"][2], 3) for r in raw}
+    assert len(made) <= 6
+    empty = vectors.encode_with(texts, lambda: lambda batch: [[0.0, 0.0] for _ in batch]).filter("id < 10").collect()
+    assert all(r["embedding"] == [0.0, 0.0] for r in empty)

@@ -39,15 +39,28 @@ TAG = "spdx license identifier"
 # ---- fixed values: how freely works under a licence may be used, from 0 to 1 ---------------------
 FREEDOM = {
     "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "zlib": 1.0, "0bsd": 1.0, "unlicense": 1.0, "cc0": 1.0,
-    "cc-by": 0.9, "lgpl": 0.6, "mpl": 0.6, "epl": 0.6, "gpl": 0.3, "agpl": 0.2,
+    "cc-by": 0.9, "lgpl": 0.6, "mpl": 0.6, "epl": 0.6, "cc-by-sa": 0.5, "gpl": 0.3, "agpl": 0.2,
+    "cc-by-nc": 0.2, "cc-by-nd": 0.2, "cc-by-nc-sa": 0.2, "cc-by-nc-nd": 0.1,
 }
 UNKNOWN_FREEDOM = 0.1
 #: An exception to a strict licence allows linking.
 EXCEPTION_FREEDOM = 0.5
+# ---- fixed values: identifiers that say that no licence is told; restrictions of one family, in order ----
+NO_LICENCE = {"none", "noassertion"}
+RESTRICTIONS = {
+    "noncommercial": "nc", "non commercial": "nc", "noderivatives": "nd", "noderivs": "nd", "no derivatives": "nd",
+    "no derivs": "nd", "sharealike": "sa", "share alike": "sa",
+}
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TAG = re.compile(rb"spdx-license-identifier[\x20\x09]*:[\x20\x09]*([^\r\n]*)")
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*|\S")
+_SLASH = re.compile(r"(?<=[a-z0-9.+)])/(?=[a-z0-9(])")
+#: Names with a version of their own, or without one.
+_FAMILY = re.compile(r"cc-by(?:-nc)?(?:-nd|-sa)?|cc0|0bsd|[a-z]+")
+_VERSION = re.compile(r"-v?\d[a-z0-9.+-]*$")
+_EXCEPTION = re.compile(r"exception|-note")
+_RESTRICTION = re.compile(" (" + "|".join(RESTRICTIONS) + ")(?= )")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
@@ -62,23 +75,33 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def family(identifier: str) -> str:
-    """The label of a licence identifier: its name without version and suffixes."""
-    name = re.match(r"(?:cc-by|cc0|0bsd|[a-z]+)", identifier)
-    label = name[0] if name else identifier
-    return {"apache": "apache", "bsl": "bsl"}.get(label, label)
+    """The label of a licence identifier: a known name without version and suffixes, any other one without its version."""
+    name = _FAMILY.match(identifier)
+    if name and name[0] in FREEDOM:
+        return name[0]
+    return _VERSION.sub("", identifier)
+
+
+def restricted(line: str, at: int) -> str:
+    """The label of an attribution notice that ends before place `at` of a line of words, by the words that follow it."""
+    found = set()
+    while match := _RESTRICTION.match(line, at):
+        found.add(RESTRICTIONS[match[1]])
+        at = match.end()
+    return "-".join(["cc-by", *(r for r in ("nc", "nd", "sa") if r in found)])
 
 
 def postfix(expression: str) -> list[str] | None:
     """A licence expression in postfix order by the shunting-yard algorithm; null if it is none.
 
-    with binds more tightly than and, and than or. What follows a complete expression, such as the end of a comment, is
+    with binds more tightly than and, and than or; a slash between two names is an or. What follows a complete expression, such as the end of a comment, is
     left out.
     """
     out: list[str] = []
     stack: list[str] = []
     operand = True
     depth = 0
-    for token in _TOKEN.findall(expression):
+    for token in _TOKEN.findall(_SLASH.sub(" or ", expression)):
         if operand:
             if token == "(":
                 stack.append(token)
@@ -106,16 +129,20 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(order: list[str]) -> tuple[set[str], float]:
-    """Labels of an expression and its freedom: a choice is as free as its freest part, a sum as its strictest."""
+    """Labels of an expression and its freedom: a choice is as free as its freest part, a sum as its strictest.
+
+    An exception frees a known licence only. Names that say that there is no licence have no label.
+    """
     stack: list[tuple[set[str], float]] = []
     for token in order:
         if token not in PRECEDENCE:
             label = family(token)
-            stack.append(({label}, FREEDOM.get(label, UNKNOWN_FREEDOM)))
+            stack.append((set() if token in NO_LICENCE else {label}, FREEDOM.get(label, UNKNOWN_FREEDOM)))
             continue
         right, left = stack.pop(), stack.pop()
         if token == "with":
-            stack.append((left[0], max(left[1], EXCEPTION_FREEDOM)))
+            frees = left[0] & FREEDOM.keys() and any(_EXCEPTION.search(name) for name in right[0])
+            stack.append((left[0], max(left[1], EXCEPTION_FREEDOM) if frees else left[1]))
         else:
             stack.append((left[0] | right[0], max(left[1], right[1]) if token == "or" else min(left[1], right[1])))
     return stack[0]
@@ -134,6 +161,9 @@ def scan(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float]
         if plain:
             places.append(end + 1 - size)
             base.add(label)
+        if label == "cc-by":
+            # the match ends with the space behind it
+            label = restricted(line, end)
         if label:
             labels.add(label)
         else:
@@ -142,7 +172,7 @@ def scan(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float]
     if tagged:
         for match in _TAG.finditer(lower):
             order = postfix(match[1].decode("utf-8", "replace"))
-            if order:
+            if order and not NO_LICENCE.issuperset(order):
                 more, freedom = evaluate(order)
                 labels |= more
                 freedoms.append(freedom)

@@ -35,9 +35,10 @@ from marketboard.llm.common import saved, slices
 PRIOR = 200.0
 #: Tokens of the corpus for each shard, about.
 SHARD_TOKENS = 2_000_000
-#: Steps of a quantised base-10 logarithm; a pair was seen once at least, so none is below zero.
+#: Steps of a quantised base-10 logarithm; a pair was seen once at least, so none is below zero. The highest is that of ten
+#: decades, or of the whole corpus if that has more tokens, so no count is clipped.
 LEVELS = 255
-LOWEST, HIGHEST = 0.0, 10.0
+HIGHEST = 10.0
 KEY_BITS = 40
 #: Bits that tell contexts apart within one unit: an unseen context passes for a seen one once in 2 ** UNIT_BITS.
 UNIT_BITS = 24
@@ -151,12 +152,20 @@ class EliasFano:
         return made, at + 8 * (a + b)
 
 
-def quantised(logs: np.ndarray) -> np.ndarray:
-    return np.rint((np.clip(logs, LOWEST, HIGHEST) - LOWEST) / (HIGHEST - LOWEST) * LEVELS).astype(np.uint8)
+def quantised(logs: np.ndarray, highest: float) -> np.ndarray:
+    """Logarithms from 0 to the highest as steps."""
+    if len(logs) and logs.max() > highest:
+        raise ValueError("a pair was counted more often than the corpus has tokens")
+    return np.rint(np.maximum(logs, 0.0) / highest * LEVELS).astype(np.uint8)
 
 
-def restored(codes: np.ndarray) -> np.ndarray:
-    return codes * ((HIGHEST - LOWEST) / LEVELS) + LOWEST
+def restored(codes: np.ndarray, highest: float) -> np.ndarray:
+    return codes * (highest / LEVELS)
+
+
+def spread_key(number: int) -> int:
+    """A negative key for the exchange, as evenly spread over its partitions as hashes are."""
+    return -1 - xxhash.xxh32_intdigest(number.to_bytes(8, "little")) % (1 << 30)
 
 
 def relative(begin: np.ndarray, size: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -167,16 +176,16 @@ def relative(begin: np.ndarray, size: np.ndarray, context: np.ndarray) -> np.nda
 
 
 class Trie:
-    """tokens (hashes), counts, pointers to their contexts, contexts relative to their token, quantised pair terms."""
+    """tokens (hashes), counts, pointers to their contexts, contexts relative to their token, quantised pair terms and their highest."""
 
-    def __init__(self, tokens: EliasFano, counts: np.ndarray, pointers: EliasFano, contexts: EliasFano, codes: np.ndarray):
-        self.tokens, self.counts, self.pointers, self.contexts, self.codes = tokens, counts, pointers, contexts, codes
+    def __init__(self, tokens: EliasFano, counts: np.ndarray, pointers: EliasFano, contexts: EliasFano, codes: np.ndarray, highest: float):
+        self.tokens, self.counts, self.pointers, self.contexts, self.codes, self.highest = tokens, counts, pointers, contexts, codes, highest
 
     @staticmethod
-    def built(token: np.ndarray, context: np.ndarray, n: np.ndarray, chance_of, prior: float, counts: dict[int, int]) -> bytes:
+    def built(token: np.ndarray, context: np.ndarray, n: np.ndarray, chance_of, prior: float, counts: dict[int, int], highest: float) -> bytes:
         """The bytes of a trie of distinct pairs in order of token, then context; n: how often each was seen.
 
-        counts: of tokens whose pairs lie in several shards. chance_of: base chance of a count.
+        highest: no pair's term is above it. counts: of tokens whose pairs lie in several shards. chance_of: base chance of a count.
         """
         begins = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
         tokens = token[begins]
@@ -187,8 +196,8 @@ class Trie:
         parts = [EliasFano.of(tokens).to_bytes(), np.array([len(totals)], np.int64).tobytes(), totals.tobytes()]
         parts.append(EliasFano.of(np.append(begins, len(token))).to_bytes())
         parts.append(EliasFano.of(relative(np.repeat(begins, sizes), np.repeat(sizes, sizes), context)).to_bytes())
-        codes = quantised(terms)
-        parts += [np.array([len(codes)], np.int64).tobytes(), codes.tobytes()]
+        codes = quantised(terms, highest)
+        parts += [np.array([highest], np.float64).tobytes(), np.array([len(codes)], np.int64).tobytes(), codes.tobytes()]
         return b"".join(parts)
 
     @classmethod
@@ -198,8 +207,9 @@ class Trie:
         counts = np.frombuffer(data, np.int64, n, at + 8)
         pointers, at = EliasFano.mapped(data, at + 8 + 8 * n)
         contexts, at = EliasFano.mapped(data, at)
-        m = int(np.frombuffer(data, np.int64, 1, at)[0])
-        return cls(tokens, counts, pointers, contexts, np.frombuffer(data, np.uint8, m, at + 8))
+        highest = float(np.frombuffer(data, np.float64, 1, at)[0])
+        m = int(np.frombuffer(data, np.int64, 1, at + 8)[0])
+        return cls(tokens, counts, pointers, contexts, np.frombuffer(data, np.uint8, m, at + 16), highest)
 
     def places(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of tokens (-1: not in the trie) and their counts."""
@@ -215,7 +225,7 @@ class Trie:
         run = run[known]
         pair = self.contexts.find(relative(begin[run], (end - begin)[run], context[known]))
         there = pair >= 0
-        return known[there], restored(self.codes[pair[there]])
+        return known[there], restored(self.codes[pair[there]], self.highest)
 
     def followers(self, token: int) -> int:
         """In how many contexts a token was seen."""
@@ -314,7 +324,8 @@ def scored(
     rows and repeated or null keys keep a row each. Without training documents every token has the base chance of an empty
     corpus. No documents: no rows. Other columns are not read.
 
-    Tokens are told apart by 64-bit hashes, contexts of one token by 40 bits of theirs.
+    Tokens are told apart by 64-bit hashes, contexts of one token by 40 bits of theirs when they are counted; when they are
+    looked up, a context passes for another one of the same token once in 2 ** UNIT_BITS.
     """
     rows = documents.select(
         F.col(key).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
@@ -328,6 +339,8 @@ def scored(
     hot_counts = {int(r["token"]) & (1 << 64) - 1: r["n"] for r in many}
     hot = np.array(sorted(hot_counts), np.uint64)
     scale = total + 0.5 * (distinct + 1)
+    # A pair's term is log10(its count + prior * chance of its token).
+    highest = max(HIGHEST, log10(total + prior + 1))
 
     def chance_of(count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / scale
@@ -371,10 +384,10 @@ def scored(
                     ],
                     columns,
                 )
-                # The documents themselves travel with a shard as well, by turns.
+                # The documents themselves go through the same exchange, a slice to any of its tasks.
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(docs, (number >> 8) % shards, np.int32)),
+                        pa.array(np.full(docs, spread_key(number), np.int32)),
                         pa.array(np.full(docs, number, np.int64)),
                         pa.nulls(docs, pa.binary()),
                         batch.column("key").slice(begin, docs),
@@ -402,7 +415,7 @@ def scored(
                 if shard.as_py() != current:
                     if spool:
                         yield from spool.answers()
-                    current, spool = shard.as_py(), _Spool(chance_of, prior, hot_counts, texts_learnt, pa_kind)
+                    current, spool = shard.as_py(), _Spool(chance_of, prior, hot_counts, texts_learnt, highest, pa_kind)
                 spool.add(row.as_py(), blob.as_py())
         if spool:
             yield from spool.answers()
@@ -477,8 +490,9 @@ class _Spool:
 
     MERGE_ROWS = 4_000_000
 
-    def __init__(self, chance_of, prior: float, hot_counts: dict[int, int], texts_learnt: int, kind: pa.DataType):
-        self.chance_of, self.prior, self.hot_counts, self.texts_learnt, self.kind = chance_of, prior, hot_counts, texts_learnt, kind
+    def __init__(self, chance_of, prior: float, hot_counts: dict[int, int], texts_learnt: int, highest: float, kind: pa.DataType):
+        self.chance_of, self.prior, self.hot_counts = chance_of, prior, hot_counts
+        self.texts_learnt, self.highest, self.kind = texts_learnt, highest, kind
         self.hot = np.array(sorted(hot_counts), np.uint64)
         self.hot_totals = np.array([hot_counts[t] for t in sorted(hot_counts)], np.int64)
         self.file = tempfile.TemporaryFile()
@@ -505,7 +519,7 @@ class _Spool:
     def answers(self) -> Iterator[pa.RecordBatch]:
         self._merge()
         with tempfile.TemporaryFile() as levels:
-            levels.write(Trie.built(*self.waiting[0], self.chance_of, self.prior, self.hot_counts))
+            levels.write(Trie.built(*self.waiting[0], self.chance_of, self.prior, self.hot_counts, self.highest))
             levels.flush()
             self.waiting = []
             data = mmap.mmap(levels.fileno(), 0, access=mmap.ACCESS_READ)

@@ -125,7 +125,20 @@ def test_elias_fano_finds_what_is_there():
         assert (made.find(absent) == -1).all()
 
 
-@pytest.mark.parametrize("shard_tokens", [1000, 1 << 20])
+def test_documents_are_dealt_out_evenly():
+    for shards in (2, 4, 8, 64):
+        met = Counter(ngrams.spread_key(task << 32) % shards for task in range(640))
+        assert len(met) == shards and max(met.values()) < 640 / shards * 2 + 10
+
+
+def test_terms_of_frequent_pairs_are_not_clipped():
+    terms = np.log10(np.array([1.0, 1e9, 4e12]))
+    assert np.abs(ngrams.restored(ngrams.quantised(terms, 13.0), 13.0) - terms).max() <= 13.0 / ngrams.LEVELS / 2
+    with pytest.raises(ValueError):
+        ngrams.quantised(terms, 10.0)
+
+
+@pytest.mark.parametrize("shard_tokens", [500, 1000, 1 << 20])
 def test_scores_equal_a_plain_bigram_model(spark, documents, shard_tokens):
     random = np.random.default_rng(2)
     rows = [(r["doc_id"], r["text"], "a") for r in documents.collect()]
@@ -266,6 +279,40 @@ def test_license_places_and_expressions(spark):
     assert licenses.postfix("(a or b") is None and licenses.postfix("and") is None
 
 
+EXPRESSIONS = {
+    "MIT": ("mit", 1.0), "Apache-2.0": ("apache", 1.0), "BSD-3-Clause": ("bsd", 1.0), "BSD-2-Clause": ("bsd", 1.0), "0BSD": ("0bsd", 1.0),
+    "ISC": ("isc", 1.0), "Zlib": ("zlib", 1.0), "BSL-1.0": ("bsl", 1.0), "Unlicense": ("unlicense", 1.0), "CC0-1.0": ("cc0", 1.0),
+    "GPL-2.0-only": ("gpl", 0.3), "GPL-3.0-or-later": ("gpl", 0.3), "GPL-2.0+": ("gpl", 0.3), "LGPL-2.1": ("lgpl", 0.6),
+    "AGPL-3.0-only": ("agpl", 0.2), "MPL-2.0": ("mpl", 0.6), "EPL-2.0": ("epl", 0.6), "CC-BY-4.0": ("cc-by", 0.9),
+    "CC-BY-SA-4.0": ("cc-by-sa", 0.5), "CC-BY-NC-4.0": ("cc-by-nc", 0.2), "CC-BY-ND-4.0": ("cc-by-nd", 0.2),
+    "CC-BY-NC-SA-3.0": ("cc-by-nc-sa", 0.2), "CC-BY-NC-ND-4.0": ("cc-by-nc-nd", 0.1), "BUSL-1.1": ("busl", 0.1), "X11": ("x11", 0.1),
+    "LicenseRef-Own-Terms": ("licenseref-own-terms", 0.1), "GFDL-1.3-or-later": ("gfdl", 0.1),
+    "NONE": ("", 0.0), "NOASSERTION": ("", 0.0), "(NONE)": ("", 0.0), "NONE OR MIT": ("mit", 1.0), "NONE AND MIT": ("mit", 0.1),
+    "MIT/Apache-2.0": ("apache,mit", 1.0), "GPL-2.0/MIT": ("gpl,mit", 1.0), "(GPL-2.0)/(MIT)": ("gpl,mit", 1.0),
+    "MIT // see below": ("mit", 1.0), "MIT */": ("mit", 1.0), "MIT /": ("mit", 1.0), "/MIT": ("", 0.0),
+    "GPL-2.0 WITH Classpath-exception-2.0": ("gpl", 0.5), "GPL-2.0 WITH Linux-syscall-note": ("gpl", 0.5),
+    "GPL-2.0 WITH Friends": ("gpl", 0.3), "Own-1.0 WITH Own-exception": ("own", 0.1), "MIT WITH An-exception": ("mit", 1.0),
+    "GPL-2.0 AND MIT": ("gpl,mit", 0.3), "GPL-2.0 OR MIT AND AGPL-3.0": ("agpl,gpl,mit", 0.3),
+    "(GPL-2.0 OR MIT) AND AGPL-3.0": ("agpl,gpl,mit", 0.2), "MIT OR": ("", 0.0), "(MIT": ("", 0.0),
+}
+
+
+@pytest.mark.parametrize("expression", EXPRESSIONS)
+def test_license_expressions(expression):
+    told = licenses.scan(f"// SPDX-License-Identifier: {expression}\nrest".encode())
+    assert told[5:] == EXPRESSIONS[expression]
+
+
+@pytest.mark.parametrize("notice,labels,score", [
+    ("Creative Commons Attribution", "cc-by", 0.9), ("Creative Commons Attribution 4.0", "cc-by", 0.9),
+    ("Creative Commons Attribution NonCommercial", "cc-by-nc", 0.2), ("Creative Commons Attribution-Non-Commercial-Share Alike.", "cc-by-nc-sa", 0.2),
+    ("Creative Commons Attribution-NoDerivs-NonCommercial", "cc-by-nc-nd", 0.1), ("Creative Commons Attribution-ShareAlike", "cc-by-sa", 0.5),
+    ("Creative Commons Attribution, noncommercially", "cc-by", 0.9),
+])
+def test_restricted_notices(notice, labels, score):
+    assert licenses.scan(f"Under {notice}".encode())[5:] == (labels, score)
+
+
 # ---- op 8 ----
 
 

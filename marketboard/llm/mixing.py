@@ -161,7 +161,23 @@ def placed(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS)
     return joined.withColumn("block", F.floor(uniform_hash(F.lit(SEED), "mark") * F.col("blocks")).cast("long")).drop("named", "blocks")
 
 
-def block_plan(placed_documents: DataFrame, sources: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+def before_in_order(rows: DataFrame, value: Column, at: Column, bins: Column, lead: Column | None = None) -> DataFrame:
+    """The rows with the sum (before) of the values of their source's rows that stand before them.
+
+    Order: lead, then at (a number in [0, 1)), then block. Sums run over the bins of a source first and over the rows of a
+    bin then, so no task gets all rows of a large source; bins: the root of their number, about.
+    """
+    rows = rows.select("*", value.cast("long").alias("_value"), at.alias("_at"), (F.lit(0) if lead is None else lead).alias("_lead"))
+    rows = rows.withColumn("_bin", F.floor(F.col("_at") * bins).cast("long"))
+    bin_order = Window.partitionBy("number").orderBy("_lead", "_bin")
+    sums = rows.groupBy("number", "_lead", "_bin").agg(F.sum("_value").alias("_sum"))
+    sums = sums.withColumn("_offset", F.sum("_sum").over(bin_order) - F.col("_sum")).drop("_sum")
+    inside = Window.partitionBy("number", "_lead", "_bin").orderBy("_at", "block")
+    rows = rows.withColumn("_inside", F.sum("_value").over(inside) - F.col("_value")).join(sums, ["number", "_lead", "_bin"])
+    return rows.withColumn("before", F.col("_offset") + F.col("_inside")).drop("_value", "_at", "_lead", "_bin", "_offset", "_inside")
+
+
+def block_plan(placed_documents: DataFrame, sources: DataFrame, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """number, block, shards (of every pass that takes the block), whole (passes over all of it), rest (words of the last
     pass if that takes only a part, else null): one row for each block of which something is taken."""
     sizes = placed_documents.groupBy("number", "block").agg(F.sum("size").alias("words")).filter("words > 0")
@@ -174,11 +190,11 @@ def block_plan(placed_documents: DataFrame, sources: DataFrame, shard_words: int
     known = known.withColumn("more", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
     blocks = saved(sizes, "blocks").join(known, "number")
     # The part of a pass: blocks in permuted order until the words are reached.
-    part_order = Window.partitionBy("number").orderBy(_uniform(F.col("number"), F.lit(-1), F.col("block")), "block")
-    before = F.coalesce(F.sum("words").over(part_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("rest", F.greatest(F.least(F.col("more") - before, F.col("words")), F.lit(0)))
+    bins = F.ceil(F.sqrt(F.col("source_size") / block_words)) + 1
+    blocks = before_in_order(blocks, F.col("words"), _uniform(F.col("number"), F.lit(-1), F.col("block")), bins)
+    blocks = blocks.withColumn("rest", F.greatest(F.least(F.col("more") - F.col("before"), F.col("words")), F.lit(0)))
     taken = F.col("passes") + F.when(F.col("rest") > 0, 1).otherwise(0)
-    blocks = saved(blocks.select("number", "block", "words", "passes", "rest", taken.alias("times")).filter("times > 0"), "taken")
+    blocks = saved(blocks.select("number", "block", "words", "passes", "rest", taken.alias("times"), bins.alias("bins")).filter("times > 0"), "taken")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     levels = max(1, ceil(log2(max(total, 1) / shard_words)))
     shards = splitting_tree(blocks.groupBy("number").agg(F.sum("times").cast("long").alias("quota")), levels)
@@ -187,8 +203,9 @@ def block_plan(placed_documents: DataFrame, sources: DataFrame, shard_words: int
     owned = owned.select("number", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("place"))
     # Every pass over a block has one place among all places of its source, in an order of its own for each pass.
     turns = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("turn"))
-    mixed = Window.partitionBy("number").orderBy("turn", _uniform(F.col("number"), F.col("turn"), F.col("block")), "block")
-    turns = turns.withColumn("place", (F.row_number().over(mixed) - 1).cast("long")).join(owned, ["number", "place"])
+    mixed = _uniform(F.col("number"), F.col("turn"), F.col("block"))
+    turns = before_in_order(turns, F.lit(1), mixed, F.col("bins"), F.col("turn")).withColumnRenamed("before", "place")
+    turns = turns.join(owned, ["number", "place"])
     shards_of = F.transform(F.sort_array(F.collect_list(F.struct("turn", "shard"))), lambda x: x["shard"])
     plan = turns.groupBy("number", "block").agg(
         shards_of.alias("shards"), F.first("passes").alias("passes"), F.first("rest").alias("rest"), F.first("words").alias("words")

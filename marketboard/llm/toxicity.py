@@ -41,8 +41,8 @@ BLOCK = 1 << 20
 
 
 def _hashes(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of each order in a piece of text; all white space is alike."""
-    code = np.where(_SPACE[data], np.uint8(32), data).astype(np.uint32)
+    """Buckets of the n-grams of each order in the code points of a piece of text; all white space is alike."""
+    code = np.where(_SPACE[np.minimum(data, 255)], np.uint32(32), data)
     rolled = code
     for n in range(2, min(max(ORDERS), len(data)) + 1):
         rolled = rolled[:-1] * _STEP + code[n - 1 :]
@@ -53,7 +53,7 @@ def _hashes(data: np.ndarray) -> Iterator[np.ndarray]:
 
 def _pieces(text: bytes) -> Iterator[np.ndarray]:
     """The text with a space at both ends, in pieces that overlap by the longest n-gram but one."""
-    data = np.frombuffer(b" " + text + b" ", np.uint8)
+    data = np.frombuffer(f" {text.decode('utf-8', 'replace')} ".encode("utf-32-le"), "<u4")
     for begin in range(0, len(data), BLOCK):
         yield data[begin : begin + BLOCK + max(ORDERS) - 1]
 
@@ -84,12 +84,17 @@ class Model:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn: Column, most: int = TRAIN_ROWS) -> DataFrame:
-    """text, label of the rows that are learnt from. A key with both labels, or with none, is left out."""
+    """text, label of the rows that are learnt from, `most` at most: of a repeated key the smallest text.
+
+    A key with both labels, or with none, is left out.
+    """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & learn).groupBy(F.col(key).alias("key"))
     known = known.agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most").select("key", "label")
     # At most so many rows: their size is bounded, so they go to all tasks.
     known = known.orderBy(F.xxhash64("key"), "key").limit(most)
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "key")
+    # However often a key is repeated, one text of it is learnt from.
+    rows = rows.groupBy("key", "label").agg(F.min("text").alias("text"))
     return rows.select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
 
 

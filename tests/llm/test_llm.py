@@ -263,39 +263,6 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["score"] for r in blank} == {0.5}
 
 
-def plain_buckets(text):
-    """The buckets of a text from its definition: n-grams of characters, rolled and mixed in 32 bits."""
-    line = [32 if c in "\t\n\x0b\x0c\r " else ord(c) for c in f" {text} "]
-    found = set()
-    for n in toxicity.ORDERS:
-        for i in range(len(line) - n + 1):
-            value = 0
-            for code in line[i : i + n]:
-                value = (value * 0x01000193 + code) % 2**32
-            value = (value + n) % 2**32
-            found.add(((value ^ value >> 15) * 0x9E3779B1 % 2**32) >> 32 - toxicity.BUCKET_BITS)
-    return sorted(found)
-
-
-@pytest.mark.parametrize("text", ["", "a", "abc", "plain words\tand lines", "नमस्ते दुनिया", "漢字かな交じり文です", "a😀b😀c😀d"])
-def test_buckets_are_of_characters(text):
-    assert toxicity.buckets(text.encode()).tolist() == plain_buckets(text)
-
-
-def test_buckets_across_the_seam_of_pieces(monkeypatch):
-    text = "".join(chr(97 + i * 7 % 26) + "é" * (i % 3) for i in range(400))
-    whole = toxicity.buckets(text.encode()).tolist()
-    monkeypatch.setattr(toxicity, "BLOCK", 64)
-    assert toxicity.buckets(text.encode()).tolist() == whole == plain_buckets(text)
-
-
-def test_a_repeated_key_is_learnt_from_once(spark):
-    rows = frame(spark, [(1, "b", "x")] * 50 + [(1, "a", "x"), (2, None, "x"), (3, "c", "x")])
-    given = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 1)], "doc_id long, toxic int")
-    learnt = toxicity.labelled(rows, given, "doc_id", "text", "toxic", F.lit(True))
-    assert sorted((bytes(r["text"]), r["label"]) for r in learnt.collect()) == [(b"", 1), (b"a", 0)]
-
-
 # ---- op 7 ----
 
 

@@ -9,6 +9,7 @@ come from candidate counts estimated from the bits of all classes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 from math import comb
@@ -40,6 +41,10 @@ SIMILARITY = (4, 5)
 #: Parts of a word, of 16 bits each, all searched at every input size: no pair within a distance of 3 in one word escapes. A pair at
 #: a similarity of 0.8 agrees in one of the 96 parts with a chance of 99.8 in 100 (measured on 5000 pairs).
 WORD_PARTS = 4
+#: Every part has so many keys, so the buckets of all parts can be counted in one array of the same size for any input.
+KEYS = 1 << (BITS // WORD_PARTS)
+#: A bucket's number: its place among all keys of all parts, then the two blocks of its rows that meet.
+BLOCK_BITS = 20
 #: Bits of a word differ with a chance of 0.151 at a similarity of 0.8. Candidates lie within the mean and 3.6 standard
 #: deviations or more: of two words where a bucket's rows meet, of all words after that.
 MEETING_WORDS, MEETING_DISTANCE = 2, 36
@@ -48,6 +53,10 @@ CANDIDATE_DISTANCE = 283
 LEADER_ROWS, LEADER_WORDS = 8, 8
 #: Larger buckets are compared on all words, in blocks of so many rows.
 CROWD_ROWS, BLOCK_ROWS = 64, 512
+#: Fingerprints whose places are found at once, and rows that are handed on at once.
+FOUND_ROWS, HANDED_ROWS = 1 << 12, 1 << 16
+#: Counts that travel as one row.
+COUNTED = 1 << 12
 #: Words whose crowded buckets are linked before those of all words.
 CROWD_WAVES = (1, 4)
 #: Pairs of a bucket's rows that are compared at once.
@@ -279,11 +288,95 @@ def exact_links(classes: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.union(spots.join(least.select("spot", "v"), "spot").filter("node > v").select(F.col("node").alias("u"), "v"))
 
 
-def _buckets(classes: DataFrame, plan: list[tuple[int, list[int], int]], probes: bool, words: int, carried: tuple = ()) -> DataFrame:
-    """node, carried columns, w (the first words), bucket, part: a row for each bucket of a class."""
-    rows = _parts(classes.select(F.struct("node", *carried).alias("node"), "fp"), plan, probes)
-    first = [F.col("fp")[i].alias(f"w{i}") for i in range(words)]
-    return rows.select("node.*", *first, F.xxhash64("part", "key").alias("bucket"), "part")
+def _places(fp: np.ndarray, plan: list[tuple[int, list[int], int]]) -> np.ndarray:
+    """The place of every fingerprint's key in every part (rows x parts), keys of one part after those of another."""
+    order = np.array([word * BITS + b for word, bits, _ in plan for b in bits])
+    bits = np.unpackbits(np.ascontiguousarray(fp).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+    keys = np.packbits(np.take(bits, order, axis=1), axis=1, bitorder="little")
+    keys = np.ascontiguousarray(keys).view("<u2")
+    return keys + np.arange(len(plan)) * KEYS
+
+
+def _prints_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a batch with their fingerprints as an array."""
+    for begin in range(0, len(batch), FOUND_ROWS):
+        part = batch.slice(begin, FOUND_ROWS)
+        yield part, part.column(column).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+
+
+def place_counts(classes: DataFrame, plan: list[tuple[int, list[int], int]]) -> np.ndarray:
+    """How many classes have each place. The array has KEYS numbers for each part, whatever the input's size.
+
+    A task adds up its classes in such an array and passes it on in compressed blocks, so that no row is made for a class and bucket.
+    """
+    size = len(plan) * KEYS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.uint32)
+        for batch in batches:
+            for _, fp in _prints_of(batch, "fp"):
+                np.add.at(total, _places(fp, plan).ravel(), 1)
+        blocks = total.reshape(-1, COUNTED)
+        some = np.flatnonzero(blocks.any(axis=1))
+        packed = [zlib.compress(blocks[i].astype("<u4").tobytes(), 1) for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed, pa.binary())], ["block", "packed"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(packed), "<u4")
+        packed = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(packed, pa.binary())], ["block", "packed"])
+
+    kind = "block long, packed binary"
+    got = classes.select("fp").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).toArrow()
+    total = np.zeros(size, np.uint32)
+    for block, packed in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+        total[block * COUNTED : (block + 1) * COUNTED] = np.frombuffer(zlib.decompress(packed), "<u4")
+    return total
+
+
+def _block_counts(counts: np.ndarray, chosen: np.ndarray, most: int = 0) -> np.ndarray:
+    """For every place the blocks of at most so many rows, about, into which its bucket falls (0: one block); none where not chosen."""
+    blocks = -(-counts.astype(np.int64) // most) if most else np.ones(len(counts), np.int64)
+    return np.where(chosen, blocks, 0).astype(np.uint8 if blocks.max(initial=0) < 256 else np.uint32)
+
+
+def _bucket_rows(members: DataFrame, plan: list[tuple[int, list[int], int]], blocks: np.ndarray, words: int) -> DataFrame:
+    """bucket, root, node and the first words of each member (root, node, fp) for each of its places that has blocks.
+
+    Every two blocks of a place meet in a bucket of their own, so that no task holds a large one: a row of a place with several
+    blocks goes once to each block. The array of blocks has the size of place_counts and travels to the tasks.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(blocks)
+    names = [f"w{i}" for i in range(words)]
+
+    def rows_of(part: pa.RecordBatch, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        root, node = (part.column(i).to_numpy() for i in range(2))
+        places = _places(fp, plan).ravel()
+        times = shared.value[places].astype(np.int64)
+        at = np.flatnonzero(times)
+        done = np.append(0, np.cumsum(times[at]))
+        begin = 0
+        while begin < len(at):
+            upto = max(begin + 1, int(np.searchsorted(done, done[begin] + HANDED_ROWS, side="right")) - 1)
+            some = at[begin:upto]
+            each = np.repeat(some, times[some])
+            other = np.arange(len(each)) - np.repeat(done[begin:upto] - done[begin], times[some])
+            row = each // len(plan)
+            own = (mixed(node[row].view(np.uint64), 1) % times[each].astype(np.uint64)).astype(np.int64)
+            bucket = (places[each] << 2 * BLOCK_BITS) + (np.minimum(own, other) << BLOCK_BITS) + np.maximum(own, other)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, root[row], node[row], *fp[row, :words].T)], ["bucket", "root", "node", *names])
+            begin = upto
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, fp in _prints_of(batch, "fp"):
+                yield from rows_of(part, fp)
+
+    kinds = ", ".join(f"{n} long" for n in ("bucket", "root", "node", *names))
+    return members.select("root", "node", "fp").mapInArrow(run, kinds)
 
 
 def _apart(a: list[Column], b: list[Column]) -> Column:
@@ -298,12 +391,14 @@ def _within(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").filter(_close("fp_u", "fp_v", WORDS, distance)).select("u", "v")
 
 
-def leader_pairs(classes: DataFrame, plan: list[tuple[int, list[int], int]]) -> DataFrame:
-    """u, v: members of crowded buckets near the bucket's smallest member, v. One row a member and bucket is joined."""
+def leader_pairs(classes: DataFrame, plan: list[tuple[int, list[int], int]], counts: np.ndarray) -> DataFrame:
+    """u, v: members of larger buckets near the bucket's smallest member, v. One row a member and bucket is joined."""
     words = [f"w{i}" for i in range(MEETING_WORDS)]
-    index = _buckets(classes, [p for p in plan if p[0] < LEADER_WORDS], False, MEETING_WORDS)
-    leaders = index.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", *words)).alias("head"))
-    leaders = leaders.filter(F.col("n") > LEADER_ROWS).select("bucket", "head")
+    plan = [p for p in plan if p[0] < LEADER_WORDS]
+    counts = counts[: len(plan) * KEYS]
+    members = classes.select(F.col("node").alias("root"), "node", "fp")
+    index = _bucket_rows(members, plan, _block_counts(counts, counts > LEADER_ROWS), MEETING_WORDS).drop("root")
+    leaders = index.groupBy("bucket").agg(F.min(F.struct("node", *words)).alias("head"))
     near = _apart([F.col(w) for w in words], [F.col("head")[w] for w in words]) <= MEETING_DISTANCE
     met = index.join(leaders, "bucket").filter(near & (F.col("node") != F.col("head.node")))
     return _within(met.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct(), classes, CANDIDATE_DISTANCE)
@@ -327,12 +422,13 @@ def _first_met(words: np.ndarray, a: np.ndarray, b: np.ndarray, part: np.ndarray
 
 
 def _pairs_across(rows: np.ndarray, masks: list[tuple[int, np.uint64]] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bucket and nodes of near rows of different roots; rows: bucket, root, node, part and words, whole buckets by bucket and root.
+    """Bucket and nodes of near rows of different roots; rows: bucket, root, node and words, whole buckets by bucket and root.
 
     With the masks of all parts, rows have all words: pairs are near as a whole and each is told once, in the first part.
     """
-    bucket, root, node, part = rows[:4]
-    words, n = rows[4:].view(np.uint64), rows.shape[1]
+    bucket, root, node = rows[:3]
+    part = (bucket >> 2 * BLOCK_BITS) // KEYS
+    words, n = rows[3:].view(np.uint64), rows.shape[1]
     other = np.append(True, bucket[1:] != bucket[:-1])
 
     def ends(starts: np.ndarray) -> np.ndarray:
@@ -448,48 +544,47 @@ def _across(masks: list[tuple[int, np.uint64]] | None = None):
     return run
 
 
-def _in_blocks(rows: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
-    """Rows of crowded buckets (n: their number) with each bucket as cells of two blocks of its rows.
+def group_pairs(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]]) -> DataFrame:
+    """u, v: all near classes of different groups (led: node, root) that share a bucket of any part of any word."""
+    counts = place_counts(classes, plan)
+    crowds = crowded_partners(classes, led, plan, counts)
+    return few_pairs(classes, led, plan, counts).union(crowds.select(F.col("node").alias("u"), F.explode("partners").alias("v"))).distinct()
 
-    A block has `most` rows, about; every two blocks meet in a cell of their own, so that no task holds a large bucket.
-    """
-    count = F.ceil(F.col("n") / most).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit("block")), count).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))
-    return rows.withColumn("bucket", F.explode(F.when(count > 1, cells).otherwise(F.array("bucket")))).drop("n")
 
+def _members(classes: DataFrame, led: DataFrame) -> DataFrame:
+    return classes.select("node", "fp").join(led, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "fp")
 
-def group_pairs(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]]) -> DataFrame:
-    """u, v: all near classes of different groups (led: node, root) that share a bucket of any part of any word."""
-    few, crowds = met_groups(classes, led, plan)
-    return few.union(crowds.select(F.col("node").alias("u"), F.explode("partners").alias("v"))).distinct()
 
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "root")
 
-def met_groups(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]]) -> tuple[DataFrame, DataFrame]:
-    """The pairs of group_pairs in two parts: u, v from small buckets; cell, node, partners from crowded ones.
 
-    No pairs form within a group, so a large group of copies costs its members and not their pairs. Where few rows share a
-    bucket they carry their first words, and what is near in these is looked at as a whole afterwards. Rows of crowded
-    buckets, if these have more than one group, carry all words, and each of them lists its partners, near as a whole: the
-    comparisons of a cell stay in its task, and it sends a row for each member at most.
+def few_pairs(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]], counts: np.ndarray) -> DataFrame:
+    """u, v: the pairs of group_pairs from buckets of few rows.
+
+    Rows carry their first words, and what is near in these is looked at as a whole afterwards.
     """
-    members = classes.select("node", "fp").join(led, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = [f"w{i}" for i in range(WORDS)]
-    index = _buckets(members, plan, False, MEETING_WORDS, ("root",))
-    index = index.select("bucket", "root", "node", F.col("part").cast("long").alias("part"), *names[:MEETING_WORDS])
-    sizes = index.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    crowded = saved(sizes.filter(F.col("n") > CROWD_ROWS).select("bucket", "n", (F.col("low") < F.col("high")).alias("mixed")), "crowded")
+    rows = _bucket_rows(_members(classes, led), plan, _block_counts(counts, (counts > 1) & (counts <= CROWD_ROWS)), MEETING_WORDS)
+    return _within(_by_bucket(rows).mapInArrow(_across(), "u long, v long").distinct(), classes, CANDIDATE_DISTANCE)
 
-    few = index.join(crowded, "bucket", "left_anti")
-    few = few.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(_across(), "u long, v long")
-    few = _within(few.distinct(), classes, CANDIDATE_DISTANCE)
 
+def crowded_partners(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]], counts: np.ndarray) -> DataFrame:
+    """cell, node, partners: the pairs of group_pairs from crowded buckets.
+
+    No pairs form within a group, so a large group of copies costs its members and not their pairs. Rows of crowded
+    buckets, if these have more than one group, carry all words, and each of them lists its partners, near as a whole: the
+    comparisons of a cell stay in its task, and it sends a row for each member at most.
+    """
+    counts = counts[: len(plan) * KEYS]
+    members = _members(classes, led)
+    seen = _bucket_rows(members, plan, _block_counts(counts, counts > CROWD_ROWS), 0)
+    ends = seen.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    # Places, of which there are so many at most as the array of counts has.
+    mixed_ = np.zeros(len(counts), bool)
+    mixed_[ends.select("bucket").toArrow().column(0).to_numpy() >> 2 * BLOCK_BITS] = True
+    rows = _bucket_rows(members, plan, _block_counts(counts, mixed_, BLOCK_ROWS), WORDS)
     masks = [(word, np.uint64(_mask(bits) % (1 << BITS))) for word, bits, _ in plan]
-    many = index.drop(*names).join(crowded.filter("mixed").drop("mixed"), "bucket")
-    many = _in_blocks(many).join(classes.select("node", "fp"), "node")
-    many = many.select("bucket", "root", "node", "part", *[F.col("fp")[i].alias(w) for i, w in enumerate(names)])
-    many = many.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(_across(masks), "cell long, node long, partners array<long>")
-    return few, many
+    return _by_bucket(rows).mapInArrow(_across(masks), "cell long, node long, partners array<long>")
 
 
 def grouped(prints: DataFrame, key: str, linker) -> DataFrame:
@@ -567,13 +662,13 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
 
     def links(classes: DataFrame) -> DataFrame:
         plan = word_plan(*bit_counts(classes, WORDS))
-        found = alike(leader_pairs(classes, plan))
+        counts = place_counts(classes, plan)
+        found = alike(leader_pairs(classes, plan, counts))
         # Crowded buckets of ever more words: what is linked by the first ones does not meet in the others again.
-        for words in CROWD_WAVES:
-            _, crowds = met_groups(classes, components(found), [p for p in plan if p[0] < words])
-            found = found.union(alike_in_cells(crowds))
-        few, crowds = met_groups(classes, components(found), plan)
-        return alike(few).union(alike_in_cells(crowds)).union(found)
+        for words in (*CROWD_WAVES, WORDS):
+            led = components(found)
+            found = found.union(alike_in_cells(crowded_partners(classes, led, [p for p in plan if p[0] < words], counts)))
+        return found.union(alike(few_pairs(classes, led, plan, counts)))
 
     groups = grouped(prints, "key", links).select("node", "root")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")

@@ -502,6 +502,44 @@ def test_every_member_of_a_group_meets_other_groups(spark):
     assert {tuple(r) for r in simhash.group_pairs(classes, led, plan).collect()} == {(1000 + i, i) for i in range(200)}
 
 
+def near_prints(n: int):
+    """Fingerprints around one, so that they share many buckets, with their pairs that are near and share a part."""
+    random = np.random.default_rng(16)
+    flips = random.random((n, simhash.WORDS * 64)) < random.choice([0.02, 0.1, 0.15], n)[:, None]
+    bits = (random.random(simhash.WORDS * 64) < 0.5) ^ flips
+    prints = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    apart = (bits[:, None] != bits[None]).reshape(n, n, -1, 16).sum(axis=3)
+    first = apart[:, :, : simhash.MEETING_WORDS * 4].sum(axis=2) <= simhash.MEETING_DISTANCE
+    near = (apart == 0).any(axis=2) & first & (apart.sum(axis=2) <= simhash.CANDIDATE_DISTANCE)
+    return prints, near
+
+
+@pytest.mark.parametrize(("crowd", "block"), [(64, 512), (8, 512), (8, 16), (0, 5)])
+def test_pairs_do_not_hang_on_what_counts_as_a_crowd(spark, monkeypatch, crowd, block):
+    prints, near = near_prints(150)
+    monkeypatch.setattr(simhash, "CROWD_ROWS", crowd)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    plan = [(w, list(range(16 * part, 16 * part + 16)), 0) for w in range(simhash.WORDS) for part in range(4)]
+    classes = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prints)], "node long, fp array<long>")
+    led = spark.createDataFrame([(i, 0) for i in range(1, 40)], "node long, root long")
+    root = np.where(np.arange(150) < 40, 0, np.arange(150))
+    wanted = {(i, j) for i in range(150) for j in range(i) if near[i, j] and root[i] != root[j]}
+    assert {tuple(r) for r in simhash.group_pairs(classes, led, plan).collect()} == wanted and len(wanted) > 1000
+
+
+def test_counts_of_places_equal_counts_of_keys(spark):
+    prints, _ = near_prints(60)
+    plan = [(w, list(range(part, 64, 4)), 0) for w in range(3) for part in range(4)]
+    classes = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prints)], "node long, fp array<long>").repartition(3)
+    wanted = Counter()
+    for p in prints.view(np.uint64):
+        for i, (word, bits, _) in enumerate(plan):
+            wanted[i * simhash.KEYS + sum((int(p[word]) >> b & 1) << at for at, b in enumerate(bits))] += 1
+    counts = simhash.place_counts(classes, plan)
+    assert {int(i): int(counts[i]) for i in np.flatnonzero(counts)} == wanted
+    assert not simhash.place_counts(classes.limit(0), plan).any()
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101 + i) for i in range(50)]
     out = {r["node"]: r["root"] for r in connected.components(spark.createDataFrame(links, "u long, v long")).collect()}

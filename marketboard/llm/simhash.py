@@ -59,6 +59,8 @@ FOUND_ROWS, HANDED_ROWS = 1 << 12, 1 << 16
 COUNTED = 1 << 12
 #: Words whose crowded buckets are linked before those of all words.
 CROWD_WAVES = (1, 4)
+#: Cells of marks that travel to all tasks at most; beyond so many texts they sort out ever fewer.
+MARK_CELLS = 1 << 20
 #: Pairs of a bucket's rows that are compared at once.
 MET_PAIRS = 1 << 20
 
@@ -641,7 +643,11 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
         """node, set: the shingles of one text of each class."""
         # Saved, so that its size is known when the join with all texts is planned.
         chosen = saved(prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")), "chosen")
-        texts = documents.select(mark.alias("mark"), body.alias("body")).join(chosen, "mark").dropDuplicates(["node"])
+        # Cells of marks, of which there are MARK_CELLS at most, keep most texts that are not asked for out of the exchange.
+        cell = F.pmod("mark.a", F.lit(MARK_CELLS)).alias("cell")
+        texts = documents.select(mark.alias("mark"), body.alias("body")).select("*", cell)
+        texts = texts.join(F.broadcast(chosen.select(cell).distinct()), "cell", "left_semi").drop("cell")
+        texts = texts.join(chosen, "mark").dropDuplicates(["node"])
         return saved(appended(texts.select("node", "body"), "body", "set", "array<long>", shingles_of).select("node", "set"), "shingles")
 
     def alike(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ come from candidate counts estimated from the bits of all classes.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 from math import comb
 
@@ -463,6 +463,13 @@ def _as_pairs(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["u", "v"])
 
 
+def _as_met(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """bucket, node: a row for each node that is in a pair of the bucket, so as many as there are members at most."""
+    for bucket, one, two in found:
+        met = np.unique(np.concatenate([np.stack([bucket, one], 1), np.stack([bucket, two], 1)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(met[:, i].copy()) for i in range(2)], ["bucket", "node"])
+
+
 def _as_partners(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """cell, node, partners: a row for each node that is in a pair of the cell, so as many as there are members at most."""
     found = list(found)
@@ -518,14 +525,12 @@ def _link_rows(rows: list[tuple[int, list[int], np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["u", "v"])
 
 
-def _across(masks: list[tuple[int, np.uint64]] | None = None):
-    """A task's work on rows that come by bucket and root: their pairs, or with masks the partners of each node.
+def _across(told: Callable[..., Iterator[pa.RecordBatch]], masks: list[tuple[int, np.uint64]] | None = None):
+    """A task's work on rows that come by bucket and root: what is told of their pairs.
 
     A bucket may go over several batches.
     """
 
-    told = _as_partners if masks else _as_pairs
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
@@ -553,6 +558,10 @@ def group_pairs(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[i
     return few_pairs(classes, led, plan, counts).union(crowds.select(F.col("node").alias("u"), F.explode("partners").alias("v"))).distinct()
 
 
+def _masks(plan: list[tuple[int, list[int], int]]) -> list[tuple[int, np.uint64]]:
+    return [(word, np.uint64(_mask(bits) % (1 << BITS))) for word, bits, _ in plan]
+
+
 def _members(classes: DataFrame, led: DataFrame) -> DataFrame:
     return classes.select("node", "fp").join(led, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "fp")
 
@@ -564,10 +573,16 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
 def few_pairs(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]], counts: np.ndarray) -> DataFrame:
     """u, v: the pairs of group_pairs from buckets of few rows.
 
-    Rows carry their first words, and what is near in these is looked at as a whole afterwards.
+    Rows carry their first words, and of each bucket only those that are near another one in these come to it a second time,
+    with all words. No row is made for a pair before it is known to be near as a whole, so a group of rows that are
+    near in the first words alone costs its members and not their pairs.
     """
-    rows = _bucket_rows(_members(classes, led), plan, _block_counts(counts, (counts > 1) & (counts <= CROWD_ROWS)), MEETING_WORDS)
-    return _within(_by_bucket(rows).mapInArrow(_across(), "u long, v long").distinct(), classes, CANDIDATE_DISTANCE)
+    members = _members(classes, led)
+    rows = _bucket_rows(members, plan, _block_counts(counts, (counts > 1) & (counts <= CROWD_ROWS)), MEETING_WORDS)
+    met = _by_bucket(rows).mapInArrow(_across(_as_met), "bucket long, node long")
+    asked = members.join(met.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node")
+    whole = asked.select(F.explode("buckets").alias("bucket"), "root", "node", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)])
+    return _by_bucket(whole).mapInArrow(_across(_as_pairs, _masks(plan)), "u long, v long")
 
 
 def crowded_partners(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int], int]], counts: np.ndarray) -> DataFrame:
@@ -585,8 +600,7 @@ def crowded_partners(classes: DataFrame, led: DataFrame, plan: list[tuple[int, l
     mixed_ = np.zeros(len(counts), bool)
     mixed_[ends.select("bucket").toArrow().column(0).to_numpy() >> 2 * BLOCK_BITS] = True
     rows = _bucket_rows(members, plan, _block_counts(counts, mixed_, BLOCK_ROWS), WORDS)
-    masks = [(word, np.uint64(_mask(bits) % (1 << BITS))) for word, bits, _ in plan]
-    return _by_bucket(rows).mapInArrow(_across(masks), "cell long, node long, partners array<long>")
+    return _by_bucket(rows).mapInArrow(_across(_as_partners, _masks(plan)), "cell long, node long, partners array<long>")
 
 
 def grouped(prints: DataFrame, key: str, linker) -> DataFrame:

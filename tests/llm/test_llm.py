@@ -527,6 +527,38 @@ def test_pairs_do_not_hang_on_what_counts_as_a_crowd(spark, monkeypatch, crowd,
     assert {tuple(r) for r in simhash.group_pairs(classes, led, plan).collect()} == wanted and len(wanted) > 1000
 
 
+def rows_of_joins(df):
+    """Rows that each join of a plan has made once the frame was collected."""
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from walk(node.executedPlan())
+        elif "QueryStage" in name:
+            yield from walk(node.plan())
+        elif "Join" in name:
+            yield node.metrics().apply("numOutputRows").value()
+        below = node.children()
+        for i in range(below.length()):
+            yield from walk(below.apply(i))
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_rows_near_in_their_first_words_alone_cost_their_number(spark):
+    random = np.random.default_rng(17)
+    prints = random.integers(-(1 << 62), 1 << 62, (60, simhash.WORDS))
+    prints[:, : simhash.MEETING_WORDS] = prints[0, : simhash.MEETING_WORDS]
+    prints[59] = prints[7] ^ np.append(np.zeros(simhash.WORDS - 1, np.int64), 1)
+    plan = [(w, list(range(16 * part, 16 * part + 16)), 0) for w in range(simhash.WORDS) for part in range(4)]
+    classes = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prints)], "node long, fp array<long>")
+    led = spark.createDataFrame([], "node long, root long")
+    pairs = simhash.few_pairs(classes, led, plan, simhash.place_counts(classes, plan))
+    assert {tuple(r) for r in pairs.collect()} == {(59, 7)}
+    made = rows_of_joins(pairs)
+    assert made and max(made) <= len(prints)
+
+
 def test_counts_of_places_equal_counts_of_keys(spark):
     prints, _ = near_prints(60)
     plan = [(w, list(range(part, 64, 4)), 0) for w in range(3) for part in range(4)]

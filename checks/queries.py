@@ -232,7 +232,8 @@ def json_price_records(spark, sf):
         ).alias("records")
     )
     path = work_path(spark, "replies")
-    replies.write.json(path)
+    # Names of fields and half of the values repeat, so compressed replies are a small part of the plain ones.
+    replies.write.option("compression", "gzip").json(path)
     return prices.read_price_json(spark, path)
 
 

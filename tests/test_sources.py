@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from marketboard.operators import audit, outlook
 from marketboard.sources import dimensions, prices, storage, tables
 from marketboard.streaming.ingest import ingest_price_csv
@@ -209,3 +210,14 @@ def test_a_failed_batch_is_repeated_without_copies(spark, tmp_path):
     ingest.ingest_evolving_csv(spark, str(tmp_path / "in"), target, progress, max_files_per_batch=2)
     rows = evolved(spark, target)
     assert rows.count() == rows.select("crop", "date", "mandi").distinct().count() == 4
+
+
+def test_replies_are_written_compressed(spark, tmp_path, monkeypatch):
+    row = ("2024-01-01", "Onion", "ASIA", 10.0, 9.0, 11.0, 3.0)
+    kinds = "date string, crop string, mandi string, modal_price double, min_price double, max_price double, arrivals_tonnes double"
+    monkeypatch.setattr(queries, "ticks", lambda *_: spark.createDataFrame([row] * 500, kinds))
+    monkeypatch.setattr(queries, "work_path", lambda _, name: str(tmp_path / name))
+    read = queries.json_price_records(spark, "").collect()
+    assert {tuple(r) for r in read} == {row, (*row[:4], None, None, row[6])} and len(read) == 1000
+    files = [f for f in (tmp_path / "replies").iterdir() if f.name.startswith("part-")]
+    assert sum(f.stat().st_size for f in files) < 1000 * 20

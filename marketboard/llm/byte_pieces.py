@@ -7,6 +7,8 @@ Its subsets are determinised when a text first asks for them. A state holds, for
 trie node and what would be written before it; what all of them agree on is written at once. A token that may be open reaches
 back no further than the longest token, which bounds how far the output lags behind.
 
+Matches of a few bytes are merged pair by pair, which is less than making the states of each.
+
 Decoding steps over ids in the same way: a state is the bytes of a character that is not complete yet.
 """
 
@@ -34,6 +36,8 @@ PATTERN = public_tokenizers.PATTERN
 MOST_STATES = 200_000
 #: Distinct matches whose ids are remembered, of at most so many bytes each.
 MOST_REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+#: Matches of so many bytes at most are merged pair by pair: most are met but once or twice, and states made for them are not met again.
+SHORT_BYTES = 48
 #: Bytes of text whose ids are held at once when ids themselves are returned.
 SLICE_BYTES = 2 << 20
 NEVER = 1 << 60
@@ -163,15 +167,36 @@ class Transducer:
         """Tokens that a state holds back at most."""
         return max(len(waiting) for _, waiting in self.states[state >> 8][1])
 
+    def merged(self, piece: bytes) -> list[int]:
+        """Ids of a short match by merging neighbours, the lowest rank first and the left one among equals."""
+        ranks = self.ranks
+        if piece in ranks:
+            return [ranks[piece]]
+        row = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [ranks.get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+        while pairs and (rank := min(pairs)) != NEVER:
+            at = pairs.index(rank)
+            row[at : at + 2] = [row[at] + row[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = ranks.get(row[at - 1] + row[at], NEVER)
+            if at < len(pairs):
+                pairs[at] = ranks.get(row[at] + row[at + 1], NEVER)
+        return [ranks[token] for token in row]
+
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match. As in the library, a match that is in the vocabulary is that token, mergeable or not."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, ids = 0, []
+        state, ids, known = 0, [], self.steps.get
         for byte in piece:
-            # Asked anew each time, as the table is another one after _forget.
-            state, written = self.steps.get(state | byte) or self._step(state, byte)
+            step = known(state | byte)
+            if step is None:
+                step = self._step(state, byte)
+                # Asked anew, as the table is another one after _forget.
+                known = self.steps.get
+            state, written = step
             if written:
                 ids += written
         ids += self.states[state >> 8][1][-1][1]
@@ -296,7 +321,8 @@ class Encoding:
         return self.findall(text)
 
     def _ids(self, piece: str) -> list[int]:
-        ids = self.machine.encode(piece.encode())
+        data = piece.encode()
+        ids = self.machine.merged(data) if len(data) <= SHORT_BYTES else self.machine.encode(data)
         if len(piece) <= REMEMBERED_BYTES:
             if len(self.remembered) >= MOST_REMEMBERED:
                 self.remembered.clear()

@@ -83,6 +83,16 @@ def test_odd_vocabularies_and_few_states():
         Transducer({b"a": 0})
 
 
+def test_short_matches_are_merged_without_states(library):
+    one = Encoding(RANKS)
+    text = "Ndessh thattionble, erhendon 漢字 अआइ"
+    assert one.encode(text) == library.encode_ordinary(text) and len(one.machine.states) == 1
+    random.seed(10)
+    for _ in range(2000):
+        piece = random.choice([random.randbytes, lambda n: bytes(random.choices(b"etaoin shrdlu", k=n))])(random.randint(1, 60))
+        assert one.machine.merged(piece) == library._core_bpe.encode_single_piece(piece)
+
+
 def test_output_lags_by_the_longest_token_at_most(known):
     known.encode("internationalisation of unbelievably longwinded wordings")
     longest = max(map(len, known.machine.ranks))

@@ -13,11 +13,21 @@ from marketboard.functions.numbers import int_div
 WORD_BREAK = (
     r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 )
+# Bytes without which a text has no such character but the blank. A text with one of them may have none.
+BREAK_BYTES = (
+    *(bytes([b]) for b in (*range(0x09, 0x0E), *range(0x1C, 0x20))),
+    b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80",
+)
 
 
 def words(text: Column) -> Column:
-    """Words of a text in order, without empty ones."""
-    return F.array_remove(F.split(text, WORD_BREAK), "")
+    """Words of a text in order, without empty ones. `text` should be a column or lambda variable, as it is read repeatedly.
+
+    Most texts are split at blanks alone, for which Spark needs no regular expression.
+    """
+    data = text.cast("binary")
+    breaks = reduce(lambda a, b: a | b, [F.contains(data, F.lit(b)) for b in BREAK_BYTES])
+    return F.array_remove(F.when(breaks, F.split(text, WORD_BREAK)).otherwise(F.split(text, " ")), "")
 
 
 def word_windows(word_list: Column, size: int, overlap: int, min_chars: int | None) -> Column:

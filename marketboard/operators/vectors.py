@@ -39,7 +39,8 @@ HITS = "query_id bigint, id bigint, score double"
 
 def _tokens(texts: DataFrame, text: str) -> DataFrame:
     """A NULL text has no words, like an empty one."""
-    return texts.withColumn("_tokens", words(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    lowered = texts.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    return lowered.withColumn("_tokens", words(F.col("_lower"))).drop("_lower")
 
 
 def fit_encoder(texts: DataFrame, text: str = "text", size: int = VECTOR_SIZE) -> PipelineModel:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from marketboard.config import LANGUAGE_CODES, PROTECTED_TERMS
-from marketboard.functions.text import mask_terms, restore_terms
+from marketboard.functions.text import WORD_BREAK, mask_terms, restore_terms, words
 from marketboard.operators import advice, chunks, retrieval
 
 
@@ -308,3 +308,11 @@ def test_no_translator_and_one_that_cannot_start(spark):
     assert routed(spark, lambda: lambda texts, code: texts[1:])[1]["texts"]["advice"] == "Sell Onion in Pune"
     waiting = routed(spark)
     assert waiting[1]["texts"] == {"advice": None, "passage": None} and waiting[3]["texts"]["advice"] == "Wait in Pune"
+
+
+def test_words_are_split_at_blanks_without_a_regular_expression(spark):
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x10000))]
+    rows = spark.createDataFrame([(f"ab{c}cd  e{c}",) for c in every] + [("",), (" ",), (None,)], "text string")
+    by_pattern = F.array_remove(F.split("text", WORD_BREAK), "")
+    assert rows.filter(~words(F.col("text")).eqNullSafe(by_pattern)).count() == 0
+    assert "split(text" in (plan := plan_of(rows.select(words(F.col("text"))))) and ",  , -1)" in plan

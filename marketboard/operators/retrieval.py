@@ -28,8 +28,8 @@ def retrieve(
     after, so a query may get fewer than top_k passages. With `prefilter`, only vectors of the
     wanted crop compete, for a query without a crop all of them.
 
-    The queries are saved first, so they are computed once; hits join their passages as Spark sees
-    fit when it knows how many there are.
+    The queries are saved first, so they are computed once, and so are the hits: their size is then known when the join
+    with the passages is planned, and a few of them meet these where they lie.
     """
     path = work_path(queries.sparkSession, "queries")
     queries.select("query_id", "embedding", "crop").write.parquet(path)
@@ -45,7 +45,9 @@ def retrieve(
     else:
         hits = nearest(queries, vectors, top_k * over_fetch, **search)
     wanted = queries.select("query_id", F.col("crop").alias("_wanted"))
-    asked = hits.drop("rank").join(wanted, "query_id")
+    found = work_path(queries.sparkSession, "hits")
+    hits.drop("rank").join(wanted, "query_id").write.parquet(found)
+    asked = queries.sparkSession.read.parquet(found)
     fitting = vectors.drop("embedding").join(asked, "id").filter(
         F.col("_wanted").isNull() | same_name(F.col("crop"), F.col("_wanted"))
     )

@@ -145,18 +145,20 @@ def centroids(vectors: DataFrame, label: str, column: str = "embedding") -> Data
 def _searcher(k: int, digits: int = SCORE_DIGITS, block: int = 256):
     """Build search(query_frame, vector_batches) -> hit frames, with the k best hits per query.
 
-    A vector that is NULL or holds NULL, NaN or an infinite element takes no part, on either side.
+    If the frames have a column tag, queries and vectors meet that have the same tag. A vector that is
+    NULL or holds NULL, NaN or an infinite element takes no part, on either side.
     The search is a nested function, so tasks get it by value and need not import this package.
     """
 
     def usable(frame: pd.DataFrame, key: str, width: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and the matrix of the vectors that take part."""
         frame = frame[frame["embedding"].notna()]
-        rows = [np.asarray(v, dtype=np.float64) for v in frame["embedding"]]
-        widths = {len(row) for row in rows} | ({width} if width else set())
+        rows = frame["embedding"].tolist()
+        widths = set(map(len, rows)) | ({width} if width else set())
         if len(widths) > 1:
             raise ValueError(f"vectors have different dimensions: {sorted(widths)}")
-        matrix = np.stack(rows) if rows else np.empty((0, width or 0))
+        flat = np.concatenate(rows).astype(np.float64) if rows else np.empty(0)
+        matrix = flat.reshape(len(rows), widths.pop() if widths else 0)
         finite = np.isfinite(matrix).all(axis=1)
         return frame[key].to_numpy()[finite], matrix[finite]
 
@@ -177,22 +179,31 @@ def _searcher(k: int, digits: int = SCORE_DIGITS, block: int = 256):
             asked, at = (x.ravel() for x in np.indices(scores.shape))
         return best(asked + start, ids[at], np.round(scores[asked, at], digits) + 0.0)
 
+    def by_tag(frame: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
+        return iter(frame.groupby("tag", sort=False)) if "tag" in frame.columns else iter([(None, frame)])
+
     def search(queries: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, matrix = usable(queries, "query_id", None)
-        if not len(query_ids):
+        asking = {tag: usable(some, "query_id", None) for tag, some in by_tag(queries)}
+        asking = {tag: found for tag, found in asking.items() if len(found[0])}
+        if not asking:
             return
-        starts = range(0, len(query_ids), block)
-        held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * len(starts)
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        held = {tag: [none] * -(-len(ids) // block) for tag, (ids, _) in asking.items()}
         for batch in batches:
-            ids, rows = usable(batch, "id", matrix.shape[1])
-            if not len(ids):
-                continue
-            for i, start in enumerate(starts):
-                more = met(matrix, rows, ids, start)
-                held[i] = best(*(np.concatenate(pair) for pair in zip(held[i], more, strict=True)))
-        for asked, ids, scores in held:
-            if len(asked):
-                yield pd.DataFrame({"query_id": query_ids[asked], "id": ids, "score": scores})
+            for tag, some in by_tag(batch):
+                if tag not in asking:
+                    continue
+                matrix, best_yet = asking[tag][1], held[tag]
+                ids, rows = usable(some, "id", matrix.shape[1])
+                if not len(ids):
+                    continue
+                for i in range(len(best_yet)):
+                    more = met(matrix, rows, ids, i * block)
+                    best_yet[i] = best(*(np.concatenate(pair) for pair in zip(best_yet[i], more, strict=True)))
+        for tag, found in held.items():
+            for asked, ids, scores in found:
+                if len(asked):
+                    yield pd.DataFrame({"query_id": asking[tag][0][asked], "id": ids, "score": scores})
 
     return search
 
@@ -225,8 +236,8 @@ def nearest(
     lengths end the job with an error.
 
     The query side is counted first (a job of its own). If it fits `max_shipped` values it goes to
-    every task and the vectors are scanned in place, each task passing on k hits per query.
-    Otherwise, and with tags, both sides are cut into cells of about `cell_rows` rows that meet
+    every task and the vectors are scanned in place, each task passing on k hits per query, with tags as without.
+    Otherwise both sides are cut into cells of about `cell_rows` rows that meet
     pairwise by an equi-join on the cell number and the tag; each cell passes on k hits per query
     as well.
     """
@@ -234,8 +245,10 @@ def nearest(
     queries = queries.select("query_id", "embedding", *extra)
     vectors = vectors.select("id", "embedding", *extra)
     size = size or query_size(queries)
-    if size.rows * size.dimensions <= max_shipped and not tagged:
-        hits = _scan(queries.toPandas(), vectors, k)
+    if size.rows * size.dimensions <= max_shipped:
+        # a missing tag equals no other
+        some, among = (x.filter(F.col("tag").isNotNull()) if tagged else x for x in (queries, vectors))
+        hits = _scan(some.toPandas(), among, k)
     else:
         hits = _grid(queries, vectors, k, extra, size.rows, cell_rows)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

@@ -169,3 +169,18 @@ def test_plugged_encoder_gets_bounded_batches_and_is_made_once_a_worker(spark):
     assert len(made) <= 6
     empty = vectors.encode_with(texts, lambda: lambda batch: [[0.0, 0.0] for _ in batch]).filter("id < 10").collect()
     assert all(r["embedding"] == [0.0, 0.0] for r in empty)
+
+
+def test_passages_of_a_crop_are_searched_in_place(spark, data):
+    asks, rows, corpus, asked, crops = data
+    tagged = [x.withColumn("tag", x["crop"]) for x in (asks, rows)]
+    plan = plan_of(vectors.nearest(*tagged, 3, tagged=True)).split("Initial Plan")[0]
+    assert "CoGroup" not in plan and plan[plan.index("MapInPandas"):].count("hashpartitioning") == 0
+    cells = vectors.nearest(*tagged, 3, tagged=True, max_shipped=0, cell_rows=2)
+    assert ranked(vectors.nearest(*tagged, 3, tagged=True)) == ranked(cells)
+
+
+def test_texts_of_passages_are_not_shuffled(data):
+    asks, rows, *_ = data
+    plan = plan_of(retrieval.retrieve(asks, rows, top_k=3, prefilter=True)).split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "MapInPandas" not in plan

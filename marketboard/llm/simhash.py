@@ -339,43 +339,72 @@ def place_counts(classes: DataFrame, plan: list[tuple[int, list[int], int]]) ->
     return total
 
 
-def _block_counts(counts: np.ndarray, chosen: np.ndarray, most: int = 0) -> np.ndarray:
-    """For every place the blocks of at most so many rows, about, into which its bucket falls (0: one block); none where not chosen."""
-    blocks = -(-counts.astype(np.int64) // most) if most else np.ones(len(counts), np.int64)
-    return np.where(chosen, blocks, 0).astype(np.uint8 if blocks.max(initial=0) < 256 else np.uint32)
+def _bucket_rows(members: DataFrame, plan: list[tuple[int, list[int], int]], chosen: np.ndarray, words: int) -> DataFrame:
+    """bucket, root, node and the first words of each member (root, node, fp) for each of its chosen places.
 
+    The array of chosen places has the size of place_counts and travels to the tasks.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(chosen)
+    names = [f"w{i}" for i in range(words)]
 
-def _bucket_rows(members: DataFrame, plan: list[tuple[int, list[int], int]], blocks: np.ndarray, words: int) -> DataFrame:
-    """bucket, root, node and the first words of each member (root, node, fp) for each of its places that has blocks.
+    def rows_of(part: pa.RecordBatch, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        root, node = (part.column(i).to_numpy() for i in range(2))
+        places = _places(fp, plan).ravel()
+        at = np.flatnonzero(shared.value[places])
+        for begin in range(0, len(at), HANDED_ROWS):
+            some = at[begin : begin + HANDED_ROWS]
+            row, bucket = some // len(plan), places[some] << 2 * BLOCK_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, root[row], node[row], *fp[row, :words].T)], ["bucket", "root", "node", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, fp in _prints_of(batch, "fp"):
+                yield from rows_of(part, fp)
 
-    Every two blocks of a place meet in a bucket of their own, so that no task holds a large one: a row of a place with several
-    blocks goes once to each block. The array of blocks has the size of place_counts and travels to the tasks.
+    kinds = ", ".join(f"{n} long" for n in ("bucket", "root", "node", *names))
+    return members.select("root", "node", "fp").mapInArrow(run, kinds)
+
+
+def _crowd_rows(members: DataFrame, plan: list[tuple[int, list[int], int]], crowds: np.ndarray) -> DataFrame:
+    """bucket, root, node and all words of each member (root, node, fp) for each of its crowded places, in cells of two blocks.
+
+    crowds: ascending places, the largest group (root) of each, and the blocks into which its rows and those of all others
+    fall. Rows of the largest group meet the others alone, so each of them goes to as many cells as the others have blocks: a
+    group of copies with a few strangers in its buckets costs its members, however large it is. The others also meet each
+    other. The array travels to the tasks.
     """
-    shared = members.sparkSession.sparkContext.broadcast(blocks)
-    names = [f"w{i}" for i in range(words)]
+    shared = members.sparkSession.sparkContext.broadcast(crowds)
+    names = [f"w{i}" for i in range(WORDS)]
 
     def rows_of(part: pa.RecordBatch, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        crowded, largest, most, rest = shared.value
         root, node = (part.column(i).to_numpy() for i in range(2))
         places = _places(fp, plan).ravel()
-        times = shared.value[places].astype(np.int64)
-        at = np.flatnonzero(times)
-        done = np.append(0, np.cumsum(times[at]))
+        found = np.minimum(np.searchsorted(crowded, places), len(crowded) - 1)
+        at = np.flatnonzero(crowded[found] == places)
+        found, row = found[at], at // len(plan)
+        main = root[row] == largest[found]
+        blocks = np.where(main, most[found], rest[found])
+        own = (mixed(node[row].view(np.uint64), 1) % blocks.astype(np.uint64)).astype(np.int64) + np.where(main, 0, most[found])
+        # the others of one block meet in its cells with the largest group, so they need none of their own
+        times = np.where(main, rest[found], most[found] + rest[found] - 1)
+        done = np.append(0, np.cumsum(times))
         begin = 0
         while begin < len(at):
             upto = max(begin + 1, int(np.searchsorted(done, done[begin] + HANDED_ROWS, side="right")) - 1)
-            some = at[begin:upto]
-            each = np.repeat(some, times[some])
-            other = np.arange(len(each)) - np.repeat(done[begin:upto] - done[begin], times[some])
-            row = each // len(plan)
-            own = (mixed(node[row].view(np.uint64), 1) % times[each].astype(np.uint64)).astype(np.int64)
-            bucket = (places[each] << 2 * BLOCK_BITS) + (np.minimum(own, other) << BLOCK_BITS) + np.maximum(own, other)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, root[row], node[row], *fp[row, :words].T)], ["bucket", "root", "node", *names])
+            each = np.repeat(np.arange(begin, upto), times[begin:upto])
+            other = np.arange(len(each)) - (done[each] - done[begin])
+            other += np.where(main[each], most[found[each]], other >= own[each])
+            bucket = (places[at[each]] << 2 * BLOCK_BITS) + (np.minimum(own[each], other) << BLOCK_BITS) + np.maximum(own[each], other)
+            of = row[each]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, root[of], node[of], *fp[of].T)], ["bucket", "root", "node", *names])
             begin = upto
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, fp in _prints_of(batch, "fp"):
-                yield from rows_of(part, fp)
+            if shared.value.size:
+                for part, fp in _prints_of(batch, "fp"):
+                    yield from rows_of(part, fp)
 
     kinds = ", ".join(f"{n} long" for n in ("bucket", "root", "node", *names))
     return members.select("root", "node", "fp").mapInArrow(run, kinds)
@@ -399,7 +428,7 @@ def leader_pairs(classes: DataFrame, plan: list[tuple[int, list[int], int]], cou
     plan = [p for p in plan if p[0] < LEADER_WORDS]
     counts = counts[: len(plan) * KEYS]
     members = classes.select(F.col("node").alias("root"), "node", "fp")
-    index = _bucket_rows(members, plan, _block_counts(counts, counts > LEADER_ROWS), MEETING_WORDS).drop("root")
+    index = _bucket_rows(members, plan, counts > LEADER_ROWS, MEETING_WORDS).drop("root")
     leaders = index.groupBy("bucket").agg(F.min(F.struct("node", *words)).alias("head"))
     near = _apart([F.col(w) for w in words], [F.col("head")[w] for w in words]) <= MEETING_DISTANCE
     met = index.join(leaders, "bucket").filter(near & (F.col("node") != F.col("head.node")))
@@ -578,7 +607,7 @@ def few_pairs(classes: DataFrame, led: DataFrame, plan: list[tuple[int, list[int
     near in the first words alone costs its members and not their pairs.
     """
     members = _members(classes, led)
-    rows = _bucket_rows(members, plan, _block_counts(counts, (counts > 1) & (counts <= CROWD_ROWS)), MEETING_WORDS)
+    rows = _bucket_rows(members, plan, (counts > 1) & (counts <= CROWD_ROWS), MEETING_WORDS)
     met = _by_bucket(rows).mapInArrow(_across(_as_met), "bucket long, node long")
     asked = members.join(met.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node")
     whole = asked.select(F.explode("buckets").alias("bucket"), "root", "node", *[F.col("fp")[i].alias(f"w{i}") for i in range(WORDS)])
@@ -592,14 +621,14 @@ def crowded_partners(classes: DataFrame, led: DataFrame, plan: list[tuple[int, l
     buckets, if these have more than one group, carry all words, and each of them lists its partners, near as a whole: the
     comparisons of a cell stay in its task, and it sends a row for each member at most.
     """
-    counts = counts[: len(plan) * KEYS]
     members = _members(classes, led)
-    seen = _bucket_rows(members, plan, _block_counts(counts, counts > CROWD_ROWS), 0)
-    ends = seen.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    seen = _bucket_rows(members, plan, counts > CROWD_ROWS, 0)
+    sizes = seen.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    ends = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots"))
     # Places, of which there are so many at most as the array of counts has.
-    mixed_ = np.zeros(len(counts), bool)
-    mixed_[ends.select("bucket").toArrow().column(0).to_numpy() >> 2 * BLOCK_BITS] = True
-    rows = _bucket_rows(members, plan, _block_counts(counts, mixed_, BLOCK_ROWS), WORDS)
+    got = ends.filter("roots > 1").select(F.shiftright("bucket", 2 * BLOCK_BITS).alias("place"), "most.root", "most.n", F.col("n") - F.col("most.n")).toArrow()
+    place, root, most, rest = (c.to_numpy().astype(np.int64) for c in got.columns)
+    rows = _crowd_rows(members, plan, np.stack([place, root, -(-most // BLOCK_ROWS), -(-rest // BLOCK_ROWS)])[:, np.argsort(place)])
     return _by_bucket(rows).mapInArrow(_across(_as_partners, _masks(plan)), "cell long, node long, partners array<long>")
 
 
@@ -685,9 +714,12 @@ def distinct_documents(documents: DataFrame, key: str = "doc_id", text: str = "t
         counts = place_counts(classes, plan)
         found = alike(leader_pairs(classes, plan, counts))
         # Crowded buckets of ever more words: what is linked by the first ones does not meet in the others again.
+        # All similar pairs of a wave's buckets are connected by its links, so the next one leaves out its parts.
+        done = 0
         for words in (*CROWD_WAVES, WORDS):
-            led = components(found)
-            found = found.union(alike_in_cells(crowded_partners(classes, led, [p for p in plan if p[0] < words], counts)))
+            led, upto = components(found), sum(p[0] < words for p in plan)
+            crowds = crowded_partners(classes, led, plan[done:upto], counts[done * KEYS : upto * KEYS])
+            found, done = found.union(alike_in_cells(crowds)), upto
         return found.union(alike(few_pairs(classes, led, plan, counts)))
 
     groups = grouped(prints, "key", links).select("node", "root")

@@ -527,6 +527,25 @@ def test_pairs_do_not_hang_on_what_counts_as_a_crowd(spark, monkeypatch, crowd,
     assert {tuple(r) for r in simhash.group_pairs(classes, led, plan).collect()} == wanted and len(wanted) > 1000
 
 
+def test_large_group_with_strangers_costs_its_members(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD_ROWS", 8)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    made, across = [], simhash._by_bucket
+    monkeypatch.setattr(simhash, "_by_bucket", lambda rows: made.append(rows) or across(rows))
+    base = np.random.default_rng(17).integers(-(1 << 62), 1 << 62, simhash.WORDS)
+    base[0] = 0
+    # nodes differ in one word's bits alone; the last three are strangers to the group
+    classes = spark.createDataFrame([(i, [i, *base[1:].tolist()]) for i in range(200)], "node long, fp array<long>")
+    led = spark.createDataFrame([(i, 0) for i in range(1, 197)], "node long, root long")
+    plan = [(1, list(range(16)), 0)]
+    counts = simhash.place_counts(classes, plan)
+    pairs = simhash.crowded_partners(classes, led, plan, counts).collect()
+    found = {(r["node"], v) for r in pairs for v in r["partners"]}
+    assert found == {(i, j) for i in (197, 198, 199) for j in range(i)}
+    # 197 members once, each stranger once for each of the 13 blocks
+    assert made[-1].count() == 197 + 3 * 13
+
+
 def rows_of_joins(df):
     """Rows that each join of a plan has made once the frame was collected."""
 

@@ -18,7 +18,7 @@ import base64
 import hashlib
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 from os.path import commonprefix
 
 import numpy as np
@@ -57,6 +57,8 @@ class Transducer:
             raise ValueError("the vocabulary lacks a byte")
         self.ranks, self.most_states = ranks, most_states
         self.spelled = {rank: token for token, rank in ranks.items()}
+        # The ranks of all pairs of bytes.
+        self.two = [[ranks.get(bytes([a, b]), NEVER) for b in range(256)] for a in range(256)]
         # The trie: child by node and byte, and the token that ends at a node.
         self.child: dict[int, int] = {}
         self.ends = [-1]
@@ -169,20 +171,20 @@ class Transducer:
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a short match by merging neighbours, the lowest rank first and the left one among equals."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        row = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+        ranks, two = self.ranks.get, self.two
+        whole = ranks(piece)
+        if whole is not None:
+            return [whole]
+        cuts = list(range(len(piece) + 1))
+        pairs = [two[a][b] for a, b in pairwise(piece)]
         while pairs and (rank := min(pairs)) != NEVER:
             at = pairs.index(rank)
-            row[at : at + 2] = [row[at] + row[at + 1]]
-            del pairs[at]
+            del pairs[at], cuts[at + 1]
             if at:
-                pairs[at - 1] = ranks.get(row[at - 1] + row[at], NEVER)
+                pairs[at - 1] = ranks(piece[cuts[at - 1] : cuts[at + 1]], NEVER)
             if at < len(pairs):
-                pairs[at] = ranks.get(row[at] + row[at + 1], NEVER)
-        return [ranks[token] for token in row]
+                pairs[at] = ranks(piece[cuts[at] : cuts[at + 2]], NEVER)
+        return [ranks(piece[a:b]) for a, b in pairwise(cuts)]
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match. As in the library, a match that is in the vocabulary is that token, mergeable or not."""
@@ -268,7 +270,10 @@ class Decoder:
         """Texts of more ids, and the state to go on from; an id that is not in the vocabulary raises KeyError."""
         told, steps = [], self.steps
         for token in ids:
-            state, text = steps.get(state + token) or self._step(state, token)
+            try:
+                state, text = steps[state + token]
+            except KeyError:
+                state, text = self._step(state, token)
             told.append(text)
         return told, state
 

@@ -148,3 +148,22 @@ def test_rows_of_all_kinds(spark, library):
 def test_characters_of_another_unicode_version_are_split_as_in_the_library():
     one = Encoding(RANKS)
     assert all(one.stand_in[ord(c)] in "a1　͸" for c in one.odd)
+
+
+def test_pairs_of_bytes_are_ranked_once_for_all_matches():
+    machine = byte_pieces.Transducer(byte_pieces.read_ranks(byte_pieces.RANKS))
+    asked = []
+
+    class Watched(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    machine.ranks = Watched(machine.ranks)
+    for piece in (b"\xff\xc0" * 10, b" unremarkableness", b"zqxjkvb"):
+        asked.clear()
+        ids = machine.merged(piece)
+        assert b"".join(machine.spelled[i] for i in ids) == piece
+        begun = [k for k in asked if len(k) == 2 and k not in {machine.spelled[i] for i in ids}]
+        # those asked for are neighbours of a merge, of which there are fewer than bytes
+        assert len(begun) <= 2 * (len(piece) - len(ids))

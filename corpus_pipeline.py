@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketboard.llm import mixing, pieces, quality, secrets, simhash
-from marketboard.llm.common import saved, shipped
+from marketboard.llm.common import saved, shipped_to_stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a good verdict."""
-    shipped(spark)
+    shipped_to_stage(spark)
     return quality.good_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    shipped(spark)
+    shipped_to_stage(spark)
     return simhash.distinct_documents(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced; n_chars follows the text."""
-    shipped(spark)
+    shipped_to_stage(spark)
     cleaned = secrets.redacted(docs)
     if "n_chars" not in docs.columns:
         return cleaned
@@ -32,7 +32,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass that the mix makes over a document."""
-    shipped(spark)
+    shipped_to_stage(spark)
     mixed = mixing.mixed_documents(docs)
     if "n_chars" not in docs.columns:
         return mixed
@@ -41,7 +41,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents and their token ids."""
-    shipped(spark)
+    shipped_to_stage(spark)
     return pieces.encoded(docs)
 
 

@@ -19,6 +19,9 @@ from marketboard.sources.storage import work_path
 BATCH_BYTES = 8 << 20
 #: Rows that a function of another column gets at most.
 SLICE_ROWS = 256
+#: In a chain of stages: bytes of a batch for Python, and rows that a Parquet reader decodes at once. An executor keeps what the
+#: largest buffers of any stage took, in its heap, its native memory and its Python workers.
+STAGE_BATCH_BYTES, STAGE_READ_ROWS = 1 << 20, 512
 
 
 _SHIPPED: set[str] = set()
@@ -38,6 +41,13 @@ def shipped(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+def shipped_to_stage(spark: SparkSession) -> None:
+    """The same for a stage of a chain, with small buffers: all stages run on the same executors."""
+    shipped(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(STAGE_BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(STAGE_READ_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

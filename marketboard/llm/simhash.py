@@ -62,7 +62,7 @@ CROWD_WAVES = (1, 4)
 #: Cells of marks that travel to all tasks at most; beyond so many texts they sort out ever fewer.
 MARK_CELLS = 1 << 20
 #: Pairs of a bucket's rows that are compared at once.
-MET_PAIRS = 1 << 20
+MET_PAIRS = 1 << 18
 
 
 def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -630,3 +631,20 @@ def test_near_copies_equal_brute_force_on_shingles(spark):
     assert not wanted - kept
     # What differs may only be links that no bucket showed.
     assert len(kept - wanted) <= 0.02 * len(wanted)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_run_with_small_buffers(spark, tmp_path, name, stage):
+    """Neither a batch for Python nor a read holds many long texts, as executors keep what the largest buffers took."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([len(batch)])], ["bytes", "rows"])
+
+    path = str(tmp_path / "texts")
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text")).coalesce(1).write.parquet(path)
+    stage(spark, frame(spark, [(1, PROSE, "a")]), "")
+    seen = spark.read.parquet(path).mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(r["rows"] for r in seen) == 3000
+    assert max(r["bytes"] for r in seen) < 3 << 19
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
